@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
 from footfall.functions.runtimelog import shown_objects
 from footfall.operators import models, values
+from footfall.operators.lookup import Lookup
 from footfall.schemas import ENRICHED
 
 HIT_COLUMNS = (
@@ -25,52 +26,61 @@ HIT_COLUMNS = (
 EVENT_KEYS = ("time", "session_id", "requested_page_id")
 
 
-@dataclass(frozen=True)
 class Site:
-    """The design model and the dumped values of one site."""
+    """The design model and the dumped values of one site, and the lookups made from them.
+
+    A subclass says where the relations come from. Whatever a query does not need is not read.
+    """
 
     pages: DataFrame
     links: DataFrame
     units: DataFrame
     attributes: DataFrame
-    values: DataFrame
-    limits: Limits = Limits()
+    dumps: Mapping[str, DataFrame]
+
+    def __init__(self, spark: SparkSession, limits: Limits = Limits()):
+        self.spark = spark
+        self.limits = limits
 
     @cached_property
     def combined(self) -> DataFrame:
         return models.combined_model(self.units, self.attributes)
 
     @cached_property
-    def requested_pages(self):
-        return models.page_lookup(self.pages, "requested_page_id", "requested_page_name", self.limits)
+    def known_pages(self) -> Lookup:
+        return models.page_lookup(self.pages, self.limits)
+
+    @cached_property
+    def requested_pages(self) -> Lookup:
+        return self.known_pages.renamed("requested_page_id", "requested_page_name")
 
     @cached_property
-    def source_pages(self):
-        return models.page_lookup(self.pages, "source_page_id", "source_page_name", self.limits)
+    def source_pages(self) -> Lookup:
+        return self.known_pages.renamed("source_page_id", "source_page_name")
 
     @cached_property
-    def displayed_pages(self):
-        return models.page_lookup(self.pages, "displayed_page_id", "displayed_page_name", self.limits)
+    def displayed_pages(self) -> Lookup:
+        return self.known_pages.renamed("displayed_page_id", "displayed_page_name")
 
     @cached_property
-    def clicked_links(self):
+    def clicked_links(self) -> Lookup:
         return models.link_lookup(self.links, self.limits)
 
     @cached_property
-    def clicked_entities(self):
+    def clicked_entities(self) -> Lookup:
         return models.clicked_entity_lookup(self.attributes, self.limits)
 
     @cached_property
-    def clicked_columns(self):
+    def clicked_columns(self) -> Lookup:
         return models.clicked_column_lookup(self.combined, self.limits)
 
     @cached_property
-    def shown_units(self):
+    def shown_units(self) -> Lookup:
         return models.unit_lookup(self.combined, self.limits)
 
     @cached_property
-    def stored_values(self):
-        return values.value_lookup(self.values, self.combined, self.limits)
+    def stored_values(self) -> Lookup:
+        return values.value_lookup(self.spark, self.dumps, self.combined, self.limits)
 
 
 def distinct_hits(parsed: DataFrame) -> DataFrame:

@@ -24,15 +24,15 @@ def page_names(pages: DataFrame) -> DataFrame:
     return pages.groupBy("page_id").agg(F.min("page_name").alias("page_name"))
 
 
-def page_lookup(pages: DataFrame, id_column: str, name_column: str, limits: Limits) -> Lookup:
-    return Lookup(page_names(pages).toDF(id_column, name_column), [id_column], limits)
+def page_lookup(pages: DataFrame, limits: Limits) -> Lookup:
+    return Lookup(page_names(pages), ["page_id"], limits, bound=pages)
 
 
 def link_lookup(links: DataFrame, limits: Limits) -> Lookup:
     frame = links.select(
         F.col("link_id").alias("clicked_link_id"), F.col("link_name").alias("clicked_link_name"), "target_unit"
     )
-    return Lookup(frame.distinct(), ["clicked_link_id"], limits)
+    return Lookup(frame.distinct(), ["clicked_link_id"], limits, bound=frame)
 
 
 def clicked_entity_lookup(attributes: DataFrame, limits: Limits) -> Lookup:
@@ -41,12 +41,12 @@ def clicked_entity_lookup(attributes: DataFrame, limits: Limits) -> Lookup:
         F.col("entity_id").alias("clicked_entity_id"),
         F.col("entity_name").alias("clicked_entity_name"),
     )
-    return Lookup(frame.distinct(), ["clicked_attribute_id"], limits)
+    return Lookup(frame.distinct(), ["clicked_attribute_id"], limits, bound=frame)
 
 
 def clicked_column_lookup(combined: DataFrame, limits: Limits) -> Lookup:
     frame = displayed_columns(combined).toDF("_entity", "clicked_table", "clicked_column")
-    return Lookup(frame, ["_entity"], limits)
+    return Lookup(frame, ["_entity"], limits, bound=combined)
 
 
 def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:

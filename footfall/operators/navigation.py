@@ -17,8 +17,8 @@ def page_flow(log: DataFrame) -> DataFrame:
     )
 
 
-def next_navigation(flow: DataFrame) -> DataFrame:
-    """Per visit, the first later second with another page, and the smallest such page id.
+def next_navigation(log: DataFrame) -> DataFrame:
+    """Per visit (page, session, second), the first later second with another page, and the smallest such page id.
 
     The answer is less than an hour away, so it lies in the visit's own hour or in the one after.
     Each second of a session is therefore put into its own hour and the hour before, and the
@@ -30,7 +30,7 @@ def next_navigation(flow: DataFrame) -> DataFrame:
     """
     visit = F.struct(*PAGE)
     seconds = (
-        flow.where(F.col("session_id").isNotNull())
+        log.where(F.col("session_id").isNotNull())
         .groupBy("session_id", F.unix_timestamp("time").alias("at"))
         .agg(F.sort_array(F.collect_set(visit)).alias("visits"))
     )
@@ -76,7 +76,7 @@ def residence_time(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     """Per page, the mean seconds to the next page; repeated views count from the first."""
     session = [] if merge_sessions else ["session_id"]
     stays = (
-        next_navigation(page_flow(log))
+        next_navigation(log)
         .groupBy(*PAGE, "next_time", "next_page_id", *session)
         .agg(F.min("time").alias("time"))
     )

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
 from footfall.operators.lookup import Lookup
-from footfall.operators.models import displayed_columns
+from footfall.sources.dumps import dump_columns, dump_values, one_row_per_object
 
 KEYS = ["oid", "value_table", "value_column"]
 
 
-def needed_values(values: DataFrame, combined: DataFrame, limits: Limits) -> DataFrame:
-    """One value per object and displayed column; of several, the smallest.
+def needed_columns(dumps: Mapping[str, DataFrame], combined: DataFrame) -> dict[str, list[str]]:
+    """Per dump, those of its columns that some component displays.
 
-    Columns that no component displays are left out before anything is shuffled.
+    Only names that occur in the dumps are collected, so there are no more than the dumps have
+    columns. With them the CSV scans read the columns they need and no others.
     """
-    columns = (
-        displayed_columns(combined)
-        .select(F.upper("table_db").alias("value_table"), F.upper("attribute_database_column").alias("value_column"))
-        .distinct()
+    headers = {table: {c.upper(): c for c in dump_columns(dump)} for table, dump in dumps.items()}
+    table, column = F.upper("table_db"), F.upper("attribute_database_column")
+    known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers.items()]
+    if not known:
+        return {}
+    rows = combined.where(reduce(or_, known)).select(table, column).distinct().collect()
+    shown = {tuple(row) for row in rows}
+    return {
+        t: [name for upper, name in names.items() if (t.upper(), upper) in shown] for t, names in headers.items()
+    }
+
+
+def value_lookup(spark: SparkSession, dumps: Mapping[str, DataFrame], combined: DataFrame, limits: Limits) -> Lookup:
+    """One value per object and displayed column; of several, the smallest."""
+    columns = needed_columns(dumps, combined)
+    wanted = {table: dumps[table] for table, names in columns.items() if names}
+    single = {table: one_row_per_object(dump, columns[table]) for table, dump in wanted.items()}
+    return Lookup(
+        dump_values(spark, single, columns), KEYS, limits, bound=dump_values(spark, wanted, columns)
     )
-    wanted = Lookup(columns, ["value_table", "value_column"], limits)
-    return wanted.join(values, "left_semi").groupBy(*KEYS).agg(F.min("value").alias("value"))
-
-
-def value_lookup(values: DataFrame, combined: DataFrame, limits: Limits) -> Lookup:
-    return Lookup(needed_values(values, combined, limits), KEYS, limits)
 
 
 def lookup_keys(hits: DataFrame, shown: DataFrame) -> DataFrame:

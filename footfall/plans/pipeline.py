@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Settings
@@ -9,6 +11,7 @@ from footfall.functions.accesslog import parse_access_log
 from footfall.functions.runtimelog import parse_runtime_log
 from footfall.operators.combined import all_reports, combined_analysis
 from footfall.operators.enrich import Site, enriched_log
+from footfall.operators.models import combined_model
 from footfall.sinks.enriched import save_cutoff, write_batch
 from footfall.sinks.reports import write_csv, write_json, write_parquet
 from footfall.sources import dumps, logs, models
@@ -25,16 +28,42 @@ VISIT = (
     "clicked_link_name",
 )
 
-def read_site(spark: SparkSession, settings: Settings) -> Site:
-    tables = dumps.read_dumps(spark, settings.dumps, settings.dump_tables)
-    return Site(
-        pages=models.read_pages(spark, settings.web_model),
-        links=models.read_links(spark, settings.web_model),
-        units=models.read_units(spark, settings.web_model),
-        attributes=models.read_attributes(spark, settings.data_model),
-        values=dumps.dump_values(spark, tables),
-        limits=settings.limits,
-    )
+class FileSite(Site):
+    """A site whose model and dumps are in files.
+
+    The model's relations are parsed once and stored, as several joins of a run read them.
+    """
+
+    def __init__(self, spark: SparkSession, settings: Settings):
+        super().__init__(spark, settings.limits)
+        self.settings = settings
+
+    def _stored(self, name: str, relation: DataFrame) -> DataFrame:
+        return write_parquet(relation, f"{self.settings.output}/model/{name}")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self._stored("pages", models.read_pages(self.spark, self.settings.web_model))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self._stored("links", models.read_links(self.spark, self.settings.web_model))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return self._stored("units", models.read_units(self.spark, self.settings.web_model))
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        return self._stored("attributes", models.read_attributes(self.spark, self.settings.data_model))
+
+    @cached_property
+    def combined(self) -> DataFrame:
+        return self._stored("combined", combined_model(self.units, self.attributes))
+
+    @cached_property
+    def dumps(self) -> dict[str, DataFrame]:
+        return dumps.read_dumps(self.spark, self.settings.dumps, self.settings.dump_tables)
 
 
 def enrich(access_lines: DataFrame, runtime_lines: DataFrame, site: Site, cutoff: int = 0) -> DataFrame:
@@ -88,7 +117,7 @@ def _store(report: DataFrame, name: str, settings: Settings) -> DataFrame:
 
 def run(spark: SparkSession, settings: Settings) -> int:
     """Takes in what is new in the logs and renews the reports; returns the new cutoff."""
-    site = read_site(spark, settings)
+    site = FileSite(spark, settings)
     access = logs.read_lines(spark, settings.access_logs)
     runtime = logs.read_lines(spark, settings.runtime_logs)
     cutoff = take_in(access, runtime, site, settings)

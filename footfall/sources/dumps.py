@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.schemas import VALUE
+from footfall.sources.files import exists
 
 KEY = "OID"
 TABLE = "table_name"
@@ -21,36 +21,47 @@ def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def read_dumps(spark: SparkSession, folder: str, tables: Iterable[str]) -> dict[str, DataFrame]:
     """All tables that are there; a table without a file is left out."""
-    found = {}
-    for table in tables:
-        try:
-            found[table] = read_dump(spark, f"{folder}/{table}.csv", table)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return found
+    paths = {table: f"{folder}/{table}.csv" for table in tables}
+    return {table: read_dump(spark, path, table) for table, path in paths.items() if exists(spark, path)}
 
 
-def dump_values(spark: SparkSession, dumps: Mapping[str, DataFrame]) -> DataFrame:
-    """All stored values as rows (``value_table``, ``value_column``, ``oid``, ``value``).
+def dump_columns(dump: DataFrame) -> list[str]:
+    return [c for c in dump.columns if c != TABLE]
+
+
+def _key(dump: DataFrame) -> Column:
+    """The object id; null where the dump has none or no number."""
+    name = next(c for c in dump.columns if c.upper() == KEY)
+    return F.col(f"`{name}`").try_cast("bigint")
+
+
+def one_row_per_object(dump: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` by object id; of an object's several values, the smallest."""
+    smallest = [F.min(f"`{c}`").alias(c) for c in columns if c.upper() != KEY]
+    return dump.groupBy(_key(dump).alias(KEY)).agg(F.count(F.lit(1)).alias("_rows"), *smallest)
+
+
+def dump_values(
+    spark: SparkSession, dumps: Mapping[str, DataFrame], columns: Mapping[str, list[str]]
+) -> DataFrame:
+    """The values of ``columns`` as rows (``oid``, ``value_table``, ``value_column``, ``value``).
 
     Table and column names are in upper case, the way the joins compare them.
     """
-    empty = spark.createDataFrame([], VALUE)
-    return reduce(DataFrame.unionByName, [_values(t, d) for t, d in dumps.items()], empty)
+    parts = [_values(table, dump, columns[table]) for table, dump in dumps.items()]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], VALUE))
 
 
-def _values(table: str, dump: DataFrame) -> DataFrame:
-    key = next(c for c in dump.columns if c.upper() == KEY)
-    columns = [F.col(f"`{c}`") for c in dump.columns if c != TABLE]
-    return (
-        dump.select(F.col(f"`{key}`").try_cast("bigint").alias("_oid"), *columns)
-        .unpivot(["_oid"], columns, "value_column", "value")
-        .select(
-            F.lit(table.upper()).alias("value_table"),
-            F.upper("value_column").alias("value_column"),
-            F.col("_oid").alias("oid"),
-            "value",
+def _values(table: str, dump: DataFrame, columns: list[str]) -> DataFrame:
+    cells = [
+        F.struct(
+            F.lit(c.upper()).alias("value_column"),
+            (_key(dump) if c.upper() == KEY else F.col(f"`{c}`")).cast("string").alias("value"),
         )
+        for c in columns
+    ]
+    return (
+        dump.select(_key(dump).alias("oid"), F.inline(F.array(*cells)))
         .where(F.col("oid").isNotNull() & F.col("value").isNotNull())
+        .select("oid", F.lit(table.upper()).alias("value_table"), "value_column", "value")
     )

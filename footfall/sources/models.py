@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from footfall.functions.text import bare_id
 from footfall.schemas import ENTITY_ROW, LINK_ROW, PAGE_ROW, UNIT_ROW
+from footfall.sources.files import present
 
 # Element names of the design model.
 PAGE_TAGS = ("Page", "MasterPage")
@@ -38,7 +39,7 @@ def read_rows(spark: SparkSession, paths: Iterable[str], tags: Iterable[str], sc
 
     A missing element gives no rows, a missing attribute null.
     """
-    paths = list(paths)
+    paths = present(spark, paths)
     kinds = [
         spark.read.format("xml").option("rowTag", tag).schema(schema).load(paths).withColumn("kind", F.lit(tag))
         for tag in tags

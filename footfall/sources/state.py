@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.schemas import STATE
+from footfall.sources.files import exists
 
 
 def read_cutoff(spark: SparkSession, path: str) -> int:
     """The stored cutoff in epoch seconds: the first second not yet taken in; 0 without one."""
-    try:
-        stored = spark.read.schema(STATE).csv(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return 0
+    stored = spark.read.schema(STATE).csv(path)
     return stored.agg(F.coalesce(F.max("cutoff"), F.lit(0))).first()[0]
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from footfall.config import Settings
+from footfall.config import Limits, Settings
 from footfall.operators.enrich import Site
 from footfall.sources import dumps, models
 
@@ -198,15 +199,32 @@ def dump_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def site(spark: SparkSession, sf_dir: str, **more) -> Site:
-    return Site(
-        pages=models.pages(page_rows(spark, sf_dir)),
-        links=models.links(link_rows(spark, sf_dir)),
-        units=models.units(unit_rows(spark, sf_dir)),
-        attributes=models.attributes(entity_rows(spark, sf_dir)),
-        values=dumps.dump_values(spark, dump_tables(spark, sf_dir)),
-        **more,
-    )
+class TableSite(Site):
+    """A site whose model and dumps are taken from the tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, limits: Limits = Limits()):
+        super().__init__(spark, limits)
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return models.pages(page_rows(self.spark, self.sf_dir))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return models.links(link_rows(self.spark, self.sf_dir))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return models.units(unit_rows(self.spark, self.sf_dir))
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        return models.attributes(entity_rows(self.spark, self.sf_dir))
+
+    @cached_property
+    def dumps(self) -> dict[str, DataFrame]:
+        return dump_tables(self.spark, self.sf_dir)
 
 
 def write_model(spark: SparkSession, sf_dir: str, folder: str) -> None:

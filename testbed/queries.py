@@ -33,7 +33,7 @@ class Data:
 
     @cached_property
     def site(self) -> enrich.Site:
-        return inputs.site(self.spark, self.sf_dir)
+        return inputs.TableSite(self.spark, self.sf_dir)
 
     @cached_property
     def access(self) -> DataFrame:
@@ -160,7 +160,7 @@ def enriched_roundtrip(d: Data) -> DataFrame:
 def incremental_cutoff(d: Data) -> DataFrame:
     """The logs arrive twice, the second time with all that came since; each event is stored once."""
     settings = inputs.write_files(d.spark, d.sf_dir, d.scratch)
-    site = pipeline.read_site(d.spark, settings)
+    site = pipeline.FileSite(d.spark, settings)
     for until in (ARRIVAL, None):
         pipeline.take_in(
             inputs.access_lines(d.spark, d.sf_dir, until),
@@ -221,7 +221,7 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "entrance_rate": lambda d: sessions.entrance_rate(d.page_log),
     "average_visits": lambda d: sessions.average_visits(d.page_log),
     "page_flow": lambda d: navigation.page_flow(d.page_log),
-    "next_navigation": lambda d: navigation.next_navigation(navigation.page_flow(d.page_log)),
+    "next_navigation": lambda d: navigation.next_navigation(d.page_log),
     "residence_time": lambda d: navigation.residence_time(d.page_log),
     "link_counts": lambda d: links.link_counts(d.link_log),
     "link_counts_merged": lambda d: links.link_counts(d.link_log, merge_sessions=True),
