@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.text import blank_to_null, groups, pinned
 
@@ -20,6 +20,11 @@ URL_SESSION = r"^;jsessionid=(\S+) "
 PLAIN_PAGE = r"^m?page"
 
 
+def _parameter(url: Column, mark: str, pattern: str) -> Column:
+    """What ``pattern`` finds; a plain search for ``mark`` spares most requests the pattern."""
+    return F.when(url.contains(mark), F.regexp_extract(url, pattern, 1)).otherwise("")
+
+
 def parse_access_log(lines: DataFrame) -> DataFrame:
     """One row per line of column ``value``; ``shape`` is null where no shape fits.
 
@@ -42,9 +47,9 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
             blank_to_null(F.get("f", 5)).alias("tail"),
             rest.startswith("?").alias("has_query"),
             (rest.startswith(" HTTP") & F.get("f", 3).rlike(PLAIN_PAGE)).alias("plain"),
-            F.regexp_extract(url, SOURCE, 1).alias("sp"),
-            F.regexp_extract(url, LINK, 1).alias("link"),
-            F.regexp_extract(url, OBJECT, 1).alias("object"),
+            _parameter(url, "sp=", SOURCE).alias("sp"),
+            _parameter(url, "link=", LINK).alias("link"),
+            _parameter(url, "att", OBJECT).alias("object"),
             F.when(rest.startswith(";"), F.regexp_extract(rest, URL_SESSION, 1)).alias("url_session"),
         )
     )
