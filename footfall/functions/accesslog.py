@@ -8,13 +8,14 @@ from footfall.functions.text import blank_to_null, groups, pinned
 
 # Form of a line and of the request parameters.
 #   ip ... [day/Mon/year:h:m:s zone] "GET /dir/<page>.do<rest>" <status> <bytes> <session>
+# What is in (?>...) is not tried again, so that a long line that fits nothing takes linear time.
 LINE = (
-    r"(?s)^\s*(\S+).*?\[(\d+/\w+/\d+:\d+:\d+:\d+)[^\]]*\].*?"
-    r"/([^/ ]*)\.do([?; ].*?)(?:\" \d+ \d+ (\S+).*)?$"
+    r"(?s)^\s*(\S+)\s(?>.*?\[(\d+/\w+/\d+:\d+:\d+:\d+)[^\]]*\])"
+    r"(?>.*?/([^/ ]*)\.do(?=[?; ]))(.*?)(?:\" \d+ \d+ (\S+).*)?$"
 )
 TIME = "d/MMM/yyyy:H:m:s"
-SOURCE = r".*[?&]sp=(\w+)"
-LINK = r".*[?&]link=(\w+)"
+SOURCE = r"(?s)^.*[?&]sp=(\w+)"
+LINK = r"(?s)^.*[?&]link=(\w+)"
 OBJECT = r"[?&](att\d+=\d+)"
 URL_SESSION = r"^;jsessionid=(\S+) "
 PLAIN_PAGE = r"^m?page"

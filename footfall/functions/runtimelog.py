@@ -8,10 +8,15 @@ from footfall.functions.text import blank_to_null, groups, pinned
 
 # Form of a line.
 #   day Mon year h:m:s[,fraction]  LEVEL [host]  (class) - <one of four rests>
-HEAD = r"(?s)^.*?(\w+ \w+ \d+ \d+:\d+:\d+)\S*  (\w+) \[([^\]]+)\]  \((.*?)\) - "
+# What is in (?>...) or followed by ++ is not tried again, so that a long line that fits nothing
+# takes linear time.
+HEAD = (
+    r"(?s)^(?>.*?(?<!\w)(\w++ \w++ \d++ \d++:\d++:\d++)\S*+  (\w++) \[([^\]]++)\]  \()"
+    r"(?>(.*?)\) - (?=\[))"
+)
 UNIT = r"\[(\w+)\](?:\[(\w+)\])?\[(\w+)\]\[(\w+)\]"
 TRACE = r"\[\w+\]\[([^\]]+)\]"
-OBJECTS = UNIT + TRACE + r"(.*\[(.+)\]\}).*"
+OBJECTS = UNIT + TRACE + r"(.*\[([^\[]+)\]\}).*"
 NO_OBJECTS = UNIT + TRACE + r"(.*\{\}).*"
 NO_TRACE = UNIT + r"(.*)"
 NO_UNIT = r"\[(\w+)\]\[(\w+)\](.*)"

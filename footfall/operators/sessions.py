@@ -48,8 +48,11 @@ def entrance_rate(log: DataFrame) -> DataFrame:
 def average_visits(log: DataFrame) -> DataFrame:
     """Per page, visits (one per session and second) divided by all sessions."""
     visits = log.select("session_id", "time", *PAGE).distinct()
-    pages = visits.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("visits"))
-    sessions = log.select("session_id").distinct().agg(F.count(F.lit(1)))
+    per_session = visits.groupBy("session_id", *PAGE).agg(F.count(F.lit(1)).alias("visits"))
+    pages = per_session.groupBy(*PAGE).agg(F.sum("visits").alias("visits"))
+    # Counting by way of the visits lets both counts share one pass over the log.
+    sessions = per_session.groupBy("session_id").agg(F.sum("visits").alias("visits")).where("visits > 0")
+    total = sessions.agg(F.count(F.lit(1)))
     return pages.select(
-        page_label().alias("unit_id"), _share(F.col("visits"), sessions).alias("average_visits_per_session")
+        page_label().alias("unit_id"), _share(F.col("visits"), total).alias("average_visits_per_session")
     )

@@ -81,3 +81,34 @@ def test_separator_characters_in_a_line_do_no_harm(lines):
     rows = parse_access_log(lines(mark * 8 + "x", HEAD + f"page9.do?sp=p{mark}q" + TAIL)).collect()
     assert rows[0].shape is None
     assert (rows[1].shape, rows[1].source_page_id, rows[1].session_id) == (4, "p", "s1")
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "x" * LONG,
+        "x " * (LONG // 2),
+        "/" * LONG,
+        HEAD + "/" * LONG,
+        HEAD + "a/" * (LONG // 2),
+        HEAD + "page9.do?" + "&sp=" * (LONG // 4),
+        HEAD + "page9.do?" + '" 2' * (LONG // 3),
+        "1 " + "[01/Jan/2024:00:00:07] " * (LONG // 23),
+    ],
+    ids=["word", "words", "slashes", "path", "segments", "parameters", "quotes", "times"],
+)
+def test_long_lines_take_linear_time(lines, line):
+    import time
+
+    start = time.monotonic()
+    assert parse_access_log(lines(line)).first().shape is None
+    assert time.monotonic() - start < 20
+
+
+def test_whole_texts_are_read(lines):
+    pad = "x" * LONG
+    row = parse_access_log(lines(HEAD + f"page9.do?pad={pad}&sp=page1&link=ln5&att4=29&q={pad}" + TAIL)).first()
+    assert (row.shape, row.source_page_id, row.clicked_oid, row.session_id) == (1, "page1", 29, "s1")

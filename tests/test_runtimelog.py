@@ -39,3 +39,29 @@ def test_objects_become_rows_without_those_that_are_no_numbers(lines):
 
 def test_single_spaces_do_not_make_a_line(lines):
     assert parse_runtime_log(lines((HEAD + "[s1][page1]x").replace("  ", " "))).first().shape is None
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "line, shape",
+    [
+        ("x" * LONG, None),
+        ("x " * (LONG // 2), None),
+        ("03 Jan 2024 10:11:12 " * (LONG // 21), None),
+        (HEAD + "[" * LONG, None),
+        (HEAD + ") - [" * (LONG // 5), None),
+        (HEAD + "[s1][page1]" + "[x" * (LONG // 2), 4),
+        (HEAD + "[s1][page1][dau1][step][t-1]" + "[x" * (LONG // 2), 3),
+        (HEAD + "[s1][page1][dau1][step][t-1]" + "{" * LONG, 3),
+        (HEAD + "[s1][page1][dau1][step][t-1]" + "x" * LONG + "[1, 2]}", 1),
+    ],
+    ids=["word", "words", "times", "brackets", "dashes", "open", "open after trace", "braces", "message"],
+)
+def test_long_lines_take_linear_time(lines, line, shape):
+    import time
+
+    start = time.monotonic()
+    assert parse_runtime_log(lines(line)).first().shape == shape
+    assert time.monotonic() - start < 20
