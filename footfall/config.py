@@ -24,6 +24,14 @@ DUMP_TABLES = (
 )
 
 
+# What a session should have set. Log times are read as UTC. A stage of generated code that is
+# too long for the JVM to compile (8000 bytes) is better run operator by operator.
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 @dataclass(frozen=True)
 class Limits:
     """When a lookup side is broadcast, and how a shuffled one is salted.

@@ -73,13 +73,3 @@ def parse_runtime_log(lines: DataFrame) -> DataFrame:
         split_oids(field(6)).alias("oids"),
     )
     return pinned(fields)
-
-
-def shown_objects(parsed: DataFrame) -> DataFrame:
-    """One row per object a line shows; lines without objects drop out."""
-    return (
-        parsed.drop("shape")
-        .withColumn("oid", F.explode("oids"))
-        .drop("oids")
-        .where(F.col("oid").isNotNull())
-    )

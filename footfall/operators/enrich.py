@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
-from footfall.functions.runtimelog import shown_objects
 from footfall.operators import models, values
 from footfall.operators.lookup import Lookup
 from footfall.schemas import ENRICHED
@@ -115,20 +114,31 @@ def with_clicked_link(hits: DataFrame, site: Site) -> DataFrame:
     return site.clicked_links.join(hits, "left")
 
 
-def described_hits(parsed: DataFrame, site: Site) -> DataFrame:
+def described_hits(hits: DataFrame, site: Site) -> DataFrame:
     """All that the design model says about a hit."""
-    hits = with_requested_page(distinct_hits(parsed), site)
+    hits = with_requested_page(hits, site)
     hits = with_source_page(with_clicked_entity(hits, site), site)
     return with_clicked_link(with_displayed_columns(hits, site), site)
 
 
-def valued_hits(parsed: DataFrame, site: Site) -> DataFrame:
-    return values.clicked_values(described_hits(parsed, site), site.stored_values)
+def valued_hits(hits: DataFrame, site: Site) -> DataFrame:
+    return values.clicked_values(described_hits(hits, site), site.stored_values)
+
+
+def shown_objects(parsed: DataFrame) -> DataFrame:
+    """One row per object a runtime line shows; lines without objects drop out."""
+    return (
+        parsed.drop("shape")
+        .withColumnRenamed("page_id", "displayed_page_id")
+        .withColumn("oid", F.explode("oids"))
+        .drop("oids")
+        .where(F.col("oid").isNotNull())
+    )
 
 
 def distinct_shown(parsed: DataFrame) -> DataFrame:
-    """One row per shown object; equal ones of one second count once."""
-    return shown_objects(parsed).withColumnRenamed("page_id", "displayed_page_id").distinct()
+    """Equal shown objects of one second count once."""
+    return shown_objects(parsed).distinct()
 
 
 def with_displayed_page(shown: DataFrame, site: Site) -> DataFrame:
@@ -140,12 +150,12 @@ def with_unit(shown: DataFrame, site: Site) -> DataFrame:
     return site.shown_units.join(shown, "inner")
 
 
-def described_shown(parsed: DataFrame, site: Site) -> DataFrame:
-    return with_unit(with_displayed_page(distinct_shown(parsed), site), site)
+def described_shown(shown: DataFrame, site: Site) -> DataFrame:
+    return with_unit(with_displayed_page(shown, site), site)
 
 
-def valued_shown(parsed: DataFrame, site: Site) -> DataFrame:
-    return values.displayed_values(described_shown(parsed, site), site.stored_values)
+def valued_shown(shown: DataFrame, site: Site) -> DataFrame:
+    return values.displayed_values(described_shown(shown, site), site.stored_values)
 
 
 def enriched_log(access: DataFrame, runtime: DataFrame, site: Site) -> DataFrame:
@@ -154,16 +164,21 @@ def enriched_log(access: DataFrame, runtime: DataFrame, site: Site) -> DataFrame
     Both sides hold no row twice, so neither does the result, and the wide rows need no further
     shuffle to remove duplicates.
     """
-    hits = valued_hits(access, site)
-    shown = valued_shown(runtime, site).withColumn("requested_page_id", F.col("displayed_page_id"))
-    return hits.join(shown, list(EVENT_KEYS), "left").select(*ENRICHED.names)
+    hits = valued_hits(distinct_hits(access), site)
+    shown = valued_shown(distinct_shown(runtime), site)
+    return hits.join(_on_hit(shown), list(EVENT_KEYS), "left").select(*ENRICHED.names)
 
 
 def shown_on_hits(access: DataFrame, runtime: DataFrame, site: Site) -> DataFrame:
     """The shown objects that the enriched log holds, without the hits they belong to.
 
-    Enough for the reports on shown values, and free of the pairs with every hit of the second.
+    Enough for the reports on shown values, which collapse repeated events themselves, and free
+    of the pairs with every hit of the second.
     """
     hits = access.select(*EVENT_KEYS).distinct()
-    shown = valued_shown(runtime, site).withColumn("requested_page_id", F.col("displayed_page_id"))
-    return shown.join(hits, list(EVENT_KEYS), "left_semi")
+    shown = valued_shown(shown_objects(runtime), site)
+    return _on_hit(shown).join(hits, list(EVENT_KEYS), "left_semi")
+
+
+def _on_hit(shown: DataFrame) -> DataFrame:
+    return shown.withColumn("requested_page_id", F.col("displayed_page_id"))

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from footfall.config import SESSION
 from testbed import oracle
 from testbed.queries import queries
 
@@ -22,7 +23,7 @@ def session(cpus: int = 8) -> SparkSession:
         .appName("footfall")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SESSION)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

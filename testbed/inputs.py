@@ -14,7 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from footfall.config import Limits, Settings
+from footfall.config import SESSION, Limits, Settings
 from footfall.operators.enrich import Site
 from footfall.sources import dumps, models
 
@@ -22,7 +22,8 @@ DUMPS = ("PART", "CUSTOMER", "ORDER")
 
 
 def prepare(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, value in SESSION.items():
+        spark.conf.set(name, value)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -270,7 +270,10 @@ SELECTS = {
         UNION ALL SELECT 0, count(*) FROM lines WHERE et = 'error' AND m = 7 HAVING count(*) > 0
     """,
     "runtime_log_parse": f"SELECT * REPLACE ({TIME}, array_to_string(oids, ',') AS oids) FROM runtime",
-    "runtime_oids": "SELECT * EXCLUDE (shape, oids) REPLACE (" + TIME + "), unnest(oids) AS oid FROM runtime",
+    "runtime_oids": f"""
+        SELECT * EXCLUDE (shape, oids, page_id) REPLACE ({TIME}), page_id AS displayed_page_id, unnest(oids) AS oid
+        FROM runtime
+    """,
     "hits_requested_page": f"SELECT {TIMED} FROM known_hits",
     "hits_clicked_entity": f"SELECT {TIMED} FROM entity_hits",
     "hits_source_page": f"SELECT {TIMED} FROM source_hits",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, TimestampType
 
 from footfall.functions.accesslog import count_shapes, parse_access_log
-from footfall.functions.runtimelog import parse_runtime_log, shown_objects
+from footfall.functions.runtimelog import parse_runtime_log
 from footfall.functions.text import last_segment
 from footfall.operators import enrich, instances, links, navigation, sessions, values
 from footfall.operators.combined import all_reports, combined_analysis
@@ -72,6 +72,10 @@ class Data:
     def clicked_log(self) -> DataFrame:
         return enrich.valued_hits(self.access, self.site)
 
+    @cached_property
+    def distinct_shown(self) -> DataFrame:
+        return enrich.distinct_shown(self.runtime)
+
     @cached_property
     def shown_log(self) -> DataFrame:
         return enrich.shown_on_hits(self.access, self.runtime, self.site)
@@ -124,12 +128,12 @@ def segments(d: Data) -> DataFrame:
 
 def oid_values(d: Data) -> DataFrame:
     hits = enrich.with_clicked_link(d.model_hits, d.site)
-    keys = values.lookup_keys(hits, enrich.described_shown(d.runtime, d.site))
+    keys = values.lookup_keys(hits, enrich.described_shown(d.distinct_shown, d.site))
     return values.oid_values(keys, d.site.stored_values)
 
 
 def oid_values_joined(d: Data) -> DataFrame:
-    clicked = d.clicked_log.select(
+    clicked = enrich.valued_hits(enrich.distinct_hits(d.access), d.site).select(
         F.lit("access").alias("log"),
         "time",
         "session_id",
@@ -137,7 +141,7 @@ def oid_values_joined(d: Data) -> DataFrame:
         F.col("clicked_type_oid").alias("type_oid"),
         F.col("clicked_oid_value").alias("oid_value"),
     )
-    shown = enrich.valued_shown(d.runtime, d.site).select(
+    shown = enrich.valued_shown(d.distinct_shown, d.site).select(
         F.lit("runtime"), "time", "session_id", "displayed_oid", "displayed_type_oid", "displayed_oid_value"
     )
     return clicked.union(shown)
@@ -204,14 +208,14 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "access_log_parse": lambda d: d.access,
     "access_log_shapes": lambda d: count_shapes(parse_access_log(inputs.access_lines(d.spark, d.sf_dir))),
     "runtime_log_parse": lambda d: d.runtime,
-    "runtime_oids": lambda d: shown_objects(d.runtime),
+    "runtime_oids": lambda d: enrich.shown_objects(d.runtime),
     "hits_requested_page": lambda d: d.hits,
     "hits_clicked_entity": lambda d: d.entity_hits,
     "hits_source_page": lambda d: d.source_hits,
     "hits_models": lambda d: d.model_hits,
     "hits_links": lambda d: enrich.with_clicked_link(d.model_hits, d.site),
-    "runtime_pages": lambda d: enrich.with_displayed_page(enrich.distinct_shown(d.runtime), d.site),
-    "runtime_enriched": lambda d: enrich.described_shown(d.runtime, d.site),
+    "runtime_pages": lambda d: enrich.with_displayed_page(d.distinct_shown, d.site),
+    "runtime_enriched": lambda d: enrich.described_shown(d.distinct_shown, d.site),
     "oid_values": oid_values,
     "oid_values_joined": oid_values_joined,
     "enriched_log": lambda d: d.enriched,

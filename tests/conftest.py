@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from footfall.config import SESSION  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def spark():
         .appName("footfall-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SESSION)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", shared)

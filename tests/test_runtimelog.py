@@ -1,7 +1,8 @@
 from datetime import datetime
 
 import pytest
-from footfall.functions.runtimelog import parse_runtime_log, shown_objects
+from footfall.functions.runtimelog import parse_runtime_log
+from footfall.operators.enrich import shown_objects
 
 HEAD = "03 Jan 2024 10:11:12,345  INFO [h1]  (com.x.Unit) - "
 
