@@ -71,7 +71,7 @@ class Site:
 
     @cached_property
     def clicked_columns(self) -> Lookup:
-        return models.clicked_column_lookup(self.combined, self.limits)
+        return models.clicked_column_lookup(self.combined, self.shown_units, self.limits)
 
     @cached_property
     def shown_units(self) -> Lookup:

@@ -18,12 +18,18 @@ class Lookup:
 
     A lookup that proves small when measured is broadcast. Otherwise both sides are shuffled,
     with every key spread over several partitions, so that one key with a large share of the
-    facts does not end in one task. ``bound`` is what to measure: a frame with at least the rows
-    and the values of the lookup that is cheaper to compute, the lookup itself if left out.
+    facts does not end in one task.
+
+    ``bound`` is what to measure instead, a frame or a lookup with at least the same rows and
+    values: one that is cheaper to compute or measured anyway.
     """
 
     def __init__(
-        self, frame: DataFrame, keys: list[str], limits: Limits = Limits(), bound: DataFrame | None = None
+        self,
+        frame: DataFrame,
+        keys: list[str],
+        limits: Limits = Limits(),
+        bound: DataFrame | Lookup | None = None,
     ):
         self.frame = frame
         self.keys = keys
@@ -33,15 +39,15 @@ class Lookup:
     @cached_property
     def is_small(self) -> bool:
         """Whether rows and bytes are within the limits, by counting them on the executors."""
+        if isinstance(self._bound, Lookup):
+            return self._bound.is_small
         size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in self._bound.columns)
         rows, total = self._bound.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
         return rows <= self.limits.broadcast_rows and total <= self.limits.broadcast_bytes
 
     def renamed(self, *names: str) -> Lookup:
         """The same table under other column names, the keys first; it is not measured again."""
-        other = Lookup(self.frame.toDF(*names), list(names[: len(self.keys)]), self.limits, self._bound)
-        other.is_small = self.is_small
-        return other
+        return Lookup(self.frame.toDF(*names), list(names[: len(self.keys)]), self.limits, bound=self)
 
     def join(self, facts: DataFrame, how: str) -> DataFrame:
         """``facts`` with the columns of this lookup; ``how`` is ``inner``, ``left`` or ``left_semi``."""

@@ -44,9 +44,9 @@ def clicked_entity_lookup(attributes: DataFrame, limits: Limits) -> Lookup:
     return Lookup(frame.distinct(), ["clicked_attribute_id"], limits, bound=frame)
 
 
-def clicked_column_lookup(combined: DataFrame, limits: Limits) -> Lookup:
+def clicked_column_lookup(combined: DataFrame, shown_units: Lookup, limits: Limits) -> Lookup:
     frame = displayed_columns(combined).toDF("_entity", "clicked_table", "clicked_column")
-    return Lookup(frame, ["_entity"], limits, bound=combined)
+    return Lookup(frame, ["_entity"], limits, bound=shown_units)
 
 
 def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:

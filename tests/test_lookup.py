@@ -40,7 +40,7 @@ def test_renamed_lookup_keeps_its_measure(names):
     lookup = Lookup(names, ["key"], NONE_SMALL)
     other = lookup.renamed("k", "n")
     assert other.keys == ["k"] and other.frame.columns == ["k", "n"]
-    assert "is_small" in vars(other) and not other.is_small
+    assert not other.is_small and "is_small" in vars(lookup)
 
 
 def test_a_hot_key_and_null_keys_are_spread(spark, facts, names):
