@@ -1,6 +1,6 @@
 """Runs a site's logs through enrichment and reports, for use with spark-submit.
 
-    spark-submit ... -m footfall BASE WEB_MODEL DATA_MODEL DUMPS ACCESS_LOGS RUNTIME_LOGS OUTPUT
+    spark-submit ... run.py BASE WEB_MODEL DATA_MODEL DUMPS ACCESS_LOGS RUNTIME_LOGS OUTPUT
 """
 
 from __future__ import annotations

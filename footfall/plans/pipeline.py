@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from footfall.config import Settings
 from footfall.functions.accesslog import parse_access_log
 from footfall.functions.runtimelog import parse_runtime_log
-from footfall.operators.combined import all_reports, combined_analysis
+from footfall.operators.combined import MEASURES, all_reports, combined_analysis
 from footfall.operators.enrich import Site, enriched_log
 from footfall.operators.models import combined_model
 from footfall.sinks.enriched import save_cutoff, write_batch
@@ -115,6 +115,20 @@ def _store(report: DataFrame, name: str, settings: Settings) -> DataFrame:
     return stored
 
 
+def register_views(spark: SparkSession, settings: Settings) -> list[str]:
+    """Makes the stored log, the reports and the dumps known to SQL; returns the names.
+
+    A dump has the name of its table, which may have to be quoted.
+    """
+    views = {"enriched_log": logs.read_enriched(spark, settings.enriched)}
+    for name in (*MEASURES, "combined_analysis"):
+        views[name] = spark.read.parquet(f"{settings.reports}/{name}.parquet")
+    views.update(dumps.read_dumps(spark, settings.dumps, settings.dump_tables))
+    for name, view in views.items():
+        view.createOrReplaceTempView(f"`{name}`")
+    return list(views)
+
+
 def run(spark: SparkSession, settings: Settings) -> int:
     """Takes in what is new in the logs and renews the reports; returns the new cutoff."""
     site = FileSite(spark, settings)

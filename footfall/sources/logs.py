@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DateType, LongType, StructType, TimestampType
 
 from footfall.schemas import ENRICHED
-from footfall.sources.files import exists
 
 
 def read_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -27,6 +27,9 @@ def stored_schema() -> StructType:
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     """All batches written so far; no rows before the first one."""
-    if not exists(spark, path):
+    try:
+        return spark.read.schema(stored_schema()).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], stored_schema())
-    return spark.read.schema(stored_schema()).parquet(path)

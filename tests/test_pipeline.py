@@ -11,6 +11,7 @@ from footfall.operators.enrich import enriched_log
 from footfall.plans import pipeline
 from footfall.schemas import ENRICHED
 from footfall.sinks.enriched import write_batch
+from footfall.sinks.reports import write_csv
 from footfall.sources.logs import read_enriched
 from footfall.sources.state import read_cutoff
 from pyspark.sql import functions as F
@@ -109,6 +110,30 @@ def test_a_failed_batch_is_replaced_and_later_events_are_added(spark, settings,
     assert content(log) == content(Data(spark, SMALL).enriched)
 
 
+def test_views(spark, settings, cutoff):
+    names = pipeline.register_views(spark, settings)
+    assert {"enriched_log", "combined_analysis", "ORDER", "PART"} <= set(names)
+    by_name = spark.sql("SELECT count(*) FROM enriched_log JOIN `ORDER` o ON displayed_oid = o.OID AND value_table = 'ORDER'")
+    assert by_name.first()[0] > 0
+
+
+def test_a_large_report_is_not_forced_into_one_file(spark, folder):
+    report = spark.range(100).repartition(4)
+    write_csv(report, f"{folder}/many", Limits(single_file_rows=99))
+    write_csv(report, f"{folder}/one", Limits(single_file_rows=100))
+    assert len(list(Path(f"{folder}/many").glob("part-*"))) == 4
+    assert len(list(Path(f"{folder}/one").glob("part-*"))) == 1
+
+
+def test_no_log_before_the_first_batch(spark, folder):
+    assert read_enriched(spark, f"{folder}/none").count() == 0
+    assert read_cutoff(spark, f"{folder}/none") == 0
+
+
+def test_scratch_is_in_the_shared_folder(spark):
+    assert inputs.scratch(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_shuffled_lookups_give_the_same_log(spark):
     d = Data(spark, SMALL)
     site = inputs.TableSite(spark, SMALL, Limits(broadcast_rows=0, salts=4))
