@@ -43,7 +43,8 @@ class Site:
 
     @cached_property
     def combined(self) -> DataFrame:
-        return models.combined_model(self.units, self.attributes)
+        """The components with what they display; the lookups remove repetitions."""
+        return models.combined_rows(self.units, self.attributes)
 
     @cached_property
     def known_pages(self) -> Lookup:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 from operator import and_
 
@@ -20,21 +21,31 @@ class Lookup:
     with every key spread over several partitions, so that one key with a large share of the
     facts does not end in one task.
 
-    ``bound`` is what to measure instead, a frame or a lookup with at least the same rows and
-    values: one that is cheaper to compute or measured anyway.
+    ``shape`` makes the lookup from ``rows``, for instance by removing repetitions; if the rows
+    prove small one task does that, without a shuffle. ``bound`` is what to measure instead of
+    the rows, a frame or a lookup with at least as many rows and values: one that is cheaper to
+    compute or measured anyway.
     """
 
     def __init__(
         self,
-        frame: DataFrame,
+        rows: DataFrame,
         keys: list[str],
         limits: Limits = Limits(),
+        shape: Callable[[DataFrame], DataFrame] | None = None,
         bound: DataFrame | Lookup | None = None,
     ):
-        self.frame = frame
+        self.rows = rows
         self.keys = keys
         self.limits = limits
-        self._bound = frame if bound is None else bound
+        self.shape = shape
+        self._bound = rows if bound is None else bound
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        if self.shape is None:
+            return self.rows
+        return self.shape(self.rows.coalesce(1) if self.is_small else self.rows)
 
     @cached_property
     def is_small(self) -> bool:

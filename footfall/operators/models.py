@@ -8,15 +8,14 @@ from footfall.config import Limits
 from footfall.operators.lookup import Lookup
 
 
-def combined_model(units: DataFrame, attributes: DataFrame) -> DataFrame:
-    """View components with the attributes they display, where these are stored ones."""
+def combined_rows(units: DataFrame, attributes: DataFrame) -> DataFrame:
     shown = units.select("unit_id", "unit_name", "entity_id", F.col("displayed_attribute").alias("attribute_id"))
-    return shown.join(attributes, ["entity_id", "attribute_id"]).distinct()
+    return shown.join(attributes, ["entity_id", "attribute_id"])
 
 
-def displayed_columns(combined: DataFrame) -> DataFrame:
-    """The database columns of an entity that some component displays."""
-    return combined.select("entity_id", "table_db", "attribute_database_column").distinct()
+def combined_model(units: DataFrame, attributes: DataFrame) -> DataFrame:
+    """View components with the attributes they display, where these are stored ones."""
+    return combined_rows(units, attributes).distinct()
 
 
 def page_names(pages: DataFrame) -> DataFrame:
@@ -25,32 +24,28 @@ def page_names(pages: DataFrame) -> DataFrame:
 
 
 def page_lookup(pages: DataFrame, limits: Limits) -> Lookup:
-    return Lookup(page_names(pages), ["page_id"], limits, bound=pages)
+    return Lookup(pages, ["page_id"], limits, page_names)
 
 
 def link_lookup(links: DataFrame, limits: Limits) -> Lookup:
-    frame = links.select(
+    rows = links.select(
         F.col("link_id").alias("clicked_link_id"), F.col("link_name").alias("clicked_link_name"), "target_unit"
     )
-    return Lookup(frame.distinct(), ["clicked_link_id"], limits, bound=frame)
+    return Lookup(rows, ["clicked_link_id"], limits, DataFrame.distinct)
 
 
 def clicked_entity_lookup(attributes: DataFrame, limits: Limits) -> Lookup:
-    frame = attributes.select(
+    rows = attributes.select(
         F.col("attribute_id").alias("clicked_attribute_id"),
         F.col("entity_id").alias("clicked_entity_id"),
         F.col("entity_name").alias("clicked_entity_name"),
     )
-    return Lookup(frame.distinct(), ["clicked_attribute_id"], limits, bound=frame)
-
-
-def clicked_column_lookup(combined: DataFrame, shown_units: Lookup, limits: Limits) -> Lookup:
-    frame = displayed_columns(combined).toDF("_entity", "clicked_table", "clicked_column")
-    return Lookup(frame, ["_entity"], limits, bound=shown_units)
+    return Lookup(rows, ["clicked_attribute_id"], limits, DataFrame.distinct)
 
 
 def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:
-    frame = combined.select(
+    """What each component displays."""
+    rows = combined.select(
         "unit_id",
         F.col("unit_name").alias("displayed_unit_name"),
         F.col("entity_id").alias("displayed_entity_id"),
@@ -60,4 +55,14 @@ def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:
         F.col("attribute_name").alias("displayed_attribute_name"),
         "attribute_database_column",
     )
-    return Lookup(frame, ["unit_id"], limits)
+    return Lookup(rows, ["unit_id"], limits, DataFrame.distinct)
+
+
+def clicked_column_lookup(combined: DataFrame, shown_units: Lookup, limits: Limits) -> Lookup:
+    """The database columns of an entity that some component displays."""
+    rows = combined.select(
+        F.col("entity_id").alias("_entity"),
+        F.col("table_db").alias("clicked_table"),
+        F.col("attribute_database_column").alias("clicked_column"),
+    )
+    return Lookup(rows, ["_entity"], limits, DataFrame.distinct, bound=shown_units)

@@ -13,6 +13,7 @@ from footfall.functions.runtimelog import parse_runtime_log
 from footfall.functions.text import last_segment
 from footfall.operators import enrich, instances, links, navigation, sessions, values
 from footfall.operators.combined import all_reports, combined_analysis
+from footfall.operators.models import combined_model
 from footfall.plans import pipeline
 from footfall.sinks import reports as sinks
 from footfall.sinks.enriched import write_batch
@@ -203,7 +204,7 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "model_units": model(models.read_units, "web/units"),
     "data_model_attributes": model(models.read_attributes, "data"),
     "db_dump_scan": db_dump_scan,
-    "combined_model": lambda d: d.site.combined,
+    "combined_model": lambda d: combined_model(d.site.units, d.site.attributes),
     "last_segment": segments,
     "access_log_parse": lambda d: d.access,
     "access_log_shapes": lambda d: count_shapes(parse_access_log(inputs.access_lines(d.spark, d.sf_dir))),
