@@ -16,8 +16,7 @@ def write_parquet(report: DataFrame, path: str) -> DataFrame:
 
 def one_file(report: DataFrame, limits: Limits) -> DataFrame:
     """A report of proven small size in one partition; a larger one as it is."""
-    rows = report.limit(limits.single_file_rows + 1).count()
-    return report.coalesce(1) if rows <= limits.single_file_rows else report
+    return report.coalesce(1) if report.count() <= limits.single_file_rows else report
 
 
 def write_csv(report: DataFrame, path: str, limits: Limits = Limits()) -> None:

@@ -50,8 +50,8 @@ def clicks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFr
     u, k, m = F.col("user_id"), F.col("k"), F.col("k") % 10
     events = table(spark, sf_dir, "events")
     cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:
-        # A table in one small file would be parsed by one task.
+    if events.rdd.getNumPartitions() < cores:
+        # So small a table would be parsed by one task or a few.
         events = events.repartition(cores, "event_id")
     if until:
         events = events.where(F.col("ts") < until)

@@ -41,6 +41,17 @@ def test_run_and_reports_only(spark, folder):
     assert spark.read.parquet(f"{folder}/out/reports/combined_analysis.parquet").count() == 4
 
 
+def test_logs_without_a_usable_line(spark, folder):
+    put(folder, "web/site/area/page1.wr", WEB)
+    put(folder, "data/Properties.wr", DATA)
+    put(folder, "dumps/ORDER.csv", "OID;NAME\n5;Tea\n")
+    put(folder, "logs/localhost_1.txt", "junk\n")
+    put(folder, "logs/RTX.1", "junk\n")
+    main([folder, "web", "data", "dumps", "logs", "logs", "out"])
+    assert spark.read.parquet(f"{folder}/out/reports/combined_analysis.parquet").count() == 0
+    assert spark.read.parquet(f"{folder}/out/reports/output_link.parquet").columns[-1] == "link_out"
+
+
 def test_options():
     settings = settings_of(arguments(["b", "w", "d", "u", "a", "r", "o", "--merge-sessions", "--tables", "A", "B"]))
     assert settings.merge_sessions and settings.dump_tables == ("A", "B")
