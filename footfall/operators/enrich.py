@@ -80,7 +80,7 @@ class Site:
 
     @cached_property
     def stored_values(self) -> Lookup:
-        return values.value_lookup(self.spark, self.dumps, self.combined, self.limits)
+        return values.value_lookup(self.spark, self.dumps, self.shown_units.frame, self.limits)
 
 
 def distinct_hits(parsed: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from footfall.sources.dumps import dump_columns, dump_values, one_row_per_object
 KEYS = ["oid", "value_table", "value_column"]
 
 
-def needed_columns(dumps: Mapping[str, DataFrame], combined: DataFrame) -> dict[str, list[str]]:
-    """Per dump, those of its columns that some component displays.
+def needed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[str, list[str]]:
+    """Per dump, those of its columns that ``shown``, the model's displayed attributes, name.
 
     Only names that occur in the dumps are collected, so there are no more than the dumps have
     columns. With them the CSV scans read the columns they need and no others.
@@ -26,16 +26,16 @@ def needed_columns(dumps: Mapping[str, DataFrame], combined: DataFrame) -> dict[
     known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers.items()]
     if not known:
         return {}
-    rows = combined.where(reduce(or_, known)).select(table, column).distinct().collect()
-    shown = {tuple(row) for row in rows}
+    rows = shown.where(reduce(or_, known)).select(table, column).distinct().collect()
+    found = {tuple(row) for row in rows}
     return {
-        t: [name for upper, name in names.items() if (t.upper(), upper) in shown] for t, names in headers.items()
+        t: [name for upper, name in names.items() if (t.upper(), upper) in found] for t, names in headers.items()
     }
 
 
-def value_lookup(spark: SparkSession, dumps: Mapping[str, DataFrame], combined: DataFrame, limits: Limits) -> Lookup:
+def value_lookup(spark: SparkSession, dumps: Mapping[str, DataFrame], shown: DataFrame, limits: Limits) -> Lookup:
     """One value per object and displayed column; of several, the smallest."""
-    columns = needed_columns(dumps, combined)
+    columns = needed_columns(dumps, shown)
     wanted = {table: dumps[table] for table, names in columns.items() if names}
     single = {table: one_row_per_object(dump, columns[table]) for table, dump in wanted.items()}
     return Lookup(

@@ -15,7 +15,10 @@ def write_parquet(report: DataFrame, path: str) -> DataFrame:
 
 
 def one_file(report: DataFrame, limits: Limits) -> DataFrame:
-    """A report of proven small size in one partition; a larger one as it is."""
+    """A report of proven small size in one partition; a larger one as it is.
+
+    The size is counted, so the report should be a stored one.
+    """
     return report.coalesce(1) if report.count() <= limits.single_file_rows else report
 
 

@@ -320,6 +320,28 @@ SELECTS = {
         WHERE clicked_link_id IS NOT NULL AND source_page_id <> requested_page_id
         GROUP BY ALL
     """,
+    "residence_time_merged": """
+        SELECT unit_id, sum(seconds)::BIGINT / count(*) AS residence_time
+        FROM (SELECT requested_page_id || ': ' || requested_page_name AS unit_id,
+                     (epoch(next_time) - epoch(min(time)))::BIGINT AS seconds
+              FROM next_page GROUP BY requested_page_id, requested_page_name, next_time, next_page_id)
+        GROUP BY unit_id
+    """,
+    "displayed_counts_merged": """
+        SELECT unit_id, displayed_unit_name, displayed_oid_value AS value,
+               count(DISTINCT (time, displayed_attribute_name))::INT AS n
+        FROM enriched
+        WHERE displayed_oid_value <> 'NULL' AND displayed_attribute_name IN ('name', 'title', 'category')
+        GROUP BY ALL
+    """,
+    "clicked_counts_merged": """
+        SELECT clicked_link_id, clicked_link_name, clicked_oid_value AS value,
+               count(DISTINCT (time, clicked_type_oid))::INT AS n
+        FROM enriched
+        WHERE clicked_oid_value <> 'NULL' AND clicked_link_name IS NOT NULL
+              AND clicked_type_oid IN ('NAME', 'TITLE', 'CATEGORY')
+        GROUP BY ALL
+    """,
     "output_link": "SELECT * FROM link_out",
     "input_link": "SELECT * FROM link_in",
     "displayed_counts": "SELECT * FROM shown_values",

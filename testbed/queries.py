@@ -187,13 +187,13 @@ def sink_parquet(d: Data) -> DataFrame:
 
 
 def sink_csv(d: Data) -> DataFrame:
-    sinks.write_csv(instances.top10_displayed(d.shown_log), f"{d.scratch}/report")
-    # The values hold quotes, which the CSV sink escapes with a backslash.
+    report = sinks.write_parquet(instances.top10_displayed(d.shown_log), f"{d.scratch}/stored")
+    sinks.write_csv(report, f"{d.scratch}/report")
     return d.spark.read.csv(f"{d.scratch}/report", sep=";", header=True)
 
 
 def sink_json(d: Data) -> DataFrame:
-    report = combined(d)
+    report = sinks.write_parquet(combined(d), f"{d.scratch}/stored")
     sinks.write_json(report, f"{d.scratch}/report")
     return d.spark.read.schema(report.schema).json(f"{d.scratch}/report")
 
@@ -230,6 +230,9 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "residence_time": lambda d: navigation.residence_time(d.page_log),
     "link_counts": lambda d: links.link_counts(d.link_log),
     "link_counts_merged": lambda d: links.link_counts(d.link_log, merge_sessions=True),
+    "residence_time_merged": lambda d: navigation.residence_time(d.page_log, merge_sessions=True),
+    "displayed_counts_merged": lambda d: instances.displayed_counts(d.shown_log, merge_sessions=True),
+    "clicked_counts_merged": lambda d: instances.clicked_counts(d.clicked_log, merge_sessions=True),
     "output_link": lambda d: links.output_link(d.link_log),
     "input_link": lambda d: links.input_link(d.link_log),
     "displayed_counts": lambda d: instances.displayed_counts(d.shown_log),
