@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -33,7 +34,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about that many bytes of text, so that memory does not follow the batch."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             held += n or 0
