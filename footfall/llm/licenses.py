@@ -2,9 +2,8 @@
 
 A rule is a regex over the normalised words of a text (A-Z in lower case, one blank between words), a
 label, a priority and a confidence. Rules are gated by keywords: a rule is tried only if its keyword
-is among the text's words, and a text with no keyword at all is not searched. Of overlapping
-detections the one of the rule that comes first stays, and suppresses every later one whose interval
-it contains. The order is: identifier tags, full phrases with a version, licence texts, links, names.
+is among the text's words, and a text with no keyword at all is not searched. A
+detection is suppressed if its interval lies in that of a rule that comes earlier. The order is: identifier tags, full phrases with a version, licence texts, links, names.
 
 The base phrases are counted apart, at all places; their labels always stay. Null and empty texts have
 no words, no labels and score 0. Repeated rows are searched each; other columns do not matter.
@@ -204,25 +203,40 @@ def detections(text: bytes, keywords: set[bytes]) -> list[tuple[int, int, Rule]]
     found = []
     for keyword in keywords:
         for place, rule, pattern in gated()[keyword]:
-            found += [(place, m.start() - m.end(), m.start(), m.end(), rule) for m in pattern.finditer(text)]
+            found += [(m.start(), -m.end(), place, rule) for m in pattern.finditer(text)]
+    # What contains an interval comes before it here, and still reaches beyond its start.
     kept: list[tuple[int, int, Rule]] = []
-    for _, _, start, end, rule in sorted(found, key=lambda f: f[:3]):
-        if not any(s <= start and end <= e for s, e, _ in kept):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda f: (f[0], f[1]))
+    reaching: list[tuple[int, int]] = []
+    for start, back, place, rule in sorted(found, key=lambda f: f[:3]):
+        reaching = [(end, order) for end, order in reaching if end > start]
+        if not any(end >= -back and order < place for end, order in reaching):
+            kept.append((start, -back, rule))
+        reaching.append((-back, place))
+    return kept
 
 
 def base_places(text: bytes) -> list[tuple[int, str]]:
     """(word, label) of every place of a base phrase in normalised text."""
-    places = []
+    places: list[tuple[int, str]] = []
     if b" license " not in text:
         return places
     for phrase, label in BASE.items():
         at = text.find(b" " + phrase + b" ")
         while at >= 0:
-            places.append((text.count(b" ", 0, at), label))
+            places.append((at, label))
             at = text.find(b" " + phrase + b" ", at + 1)
-    return sorted(places)
+    word_at = words_before(text, [at for at, _ in places])
+    return sorted((word_at[at], label) for at, label in places)
+
+
+def words_before(text: bytes, offsets: list[int]) -> dict[int, int]:
+    """How many blanks come before each offset, in one pass."""
+    counts, at, n = {}, 0, 0
+    for offset in sorted(set(offsets)):
+        n += text.count(b" ", at, offset)
+        at = offset
+        counts[offset] = n
+    return counts
 
 
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -238,9 +252,9 @@ def scan_text(text: bytes) -> dict:
     base = base_places(normal)
     kept = detections(normal, gates & set(words))
     base_labels = {label for _, label in base}
+    word_at = words_before(normal, [x for s, e, _ in kept for x in (s, e)])
     result["matches"] = [
-        {"start": normal.count(b" ", 0, s), "end": normal.count(b" ", 0, e), "label": r.label, "rule": r.kind}
-        for s, e, r in kept
+        {"start": word_at[s], "end": word_at[e], "label": r.label, "rule": r.kind} for s, e, r in kept
     ]
     result["labels"] = ",".join(sorted(base_labels | {r.label for _, _, r in kept}))
     result["score"] = max([r.confidence for _, _, r in kept] + [0.9] * bool(base), default=0.0)

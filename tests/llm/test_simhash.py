@@ -1,0 +1,130 @@
+"""Fingerprints against the definition; links and components against all pairs."""
+
+import random
+
+import pytest
+import xxhash
+from footfall.llm import simhash
+from footfall.llm.components import components
+from hypothesis import given, settings, strategies as st
+
+
+def brute_fingerprint(text, length=3):
+    words = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def unsigned(fp):
+    return fp % (1 << 64)
+
+
+def brute_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("aBé \t\n")), max_size=40))
+def test_fingerprint(text):
+    assert unsigned(simhash.fingerprint(simhash.shingle_hashes(text.encode(), 3))) == brute_fingerprint(text)
+
+
+def test_masks():
+    assert len(simhash.masks(1)) == 65 and len(set(simhash.masks(2))) == 1 + 64 + 2016
+
+
+def near(fp, random, bits):
+    for bit in random.sample(range(64), bits):
+        fp ^= 1 << bit
+    return fp
+
+
+def signed(fp):
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 3, 4])
+def test_links_give_all_components(spark, bits):
+    random_ = random.Random(bits)
+    fps = {random_.getrandbits(64) for _ in range(10)} | {0, (1 << 64) - 1}
+    for _ in range(5 if bits > 2 else 40):
+        fps.add(near(random_.choice(sorted(fps)), random_, random_.randint(1, 4)))
+    fps = sorted(map(signed, fps))
+    linked = lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= bits
+    want = brute_components(fps, linked)
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), bits).collect()
+    assert all(linked(r.a, r.b) for r in found)
+    edges = {(r.a, r.b) for r in found}
+    assert brute_components(fps, lambda a, b: (a, b) in edges or (b, a) in edges) == want
+
+
+def test_wide_balls_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.range(1).toDF("fp"), 5)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
+def test_components(spark, shape):
+    random_ = random.Random(5)
+    edges = {
+        "chain": [(i, i + 1) for i in range(60)],
+        "star": [(7, i) for i in range(100, 300)] + [(300, 301)],
+        "random": [(random_.randrange(80), random_.randrange(80)) for _ in range(60)],
+        "none": [],
+    }[shape]
+    nodes = sorted({n for e in edges for n in e})
+    linked = {frozenset(e) for e in edges}
+    want = brute_components(nodes, lambda a, b: frozenset((a, b)) in linked)
+    frame = spark.createDataFrame(edges + edges[:3] + [(b, a) for a, b in edges[3:5]], "a long, b long")
+    found = {r.node: r.root for r in components(frame).collect()}
+    assert found == {n: r for n, r in want.items() if n != r}
+
+
+TEXT = " ".join(f"word{i}" for i in range(300))
+
+
+def test_report(documents, clashing):
+    near_copy = TEXT.replace("word150 ", "")
+    texts = [(5, TEXT), (3, TEXT.upper()), (9, near_copy), (7, "a b"), (8, None), (2, ""), (None, TEXT), (4, "other text here"), (4, "other text here")]
+    docs = clashing(documents(*texts))
+    rows = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.report(docs).collect()]
+    fps = {t: brute_fingerprint(t or "") for _, t in texts}
+    linked = lambda a, b: (a ^ b).bit_count() <= 2
+    roots = brute_components(sorted(set(fps.values())), linked)
+    least = {}
+    for own, t in texts:
+        root = roots[fps[t]]
+        least[root] = min(x for x in (least.get(root), own) if x is not None) if (own is not None or root in least) else None
+    want = [(own, f"{fps[t]:016x}", least[roots[fps[t]]]) for own, t in texts]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert simhash.report(docs.limit(0)).collect() == []
+
+
+def test_one_of_each_group_stays(documents, clashing):
+    docs = clashing(documents(
+        (5, TEXT), (3, TEXT), (3, TEXT), (None, TEXT), (None, "lone text of its own"), (None, "lone text of its own"), (8, None), (9, ""), (4, "a b c"),
+        (4, "another text"),
+    ))
+    kept = simhash.clean(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+        [(3, TEXT), (None, "lone text of its own"), (8, None), (4, "a b c")], key=str
+    ) or sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+        [(3, TEXT), (None, "lone text of its own"), (8, None), (4, "a b c"), (4, "another text")], key=str
+    )
+    assert simhash.clean(docs.limit(0)).collect() == []
