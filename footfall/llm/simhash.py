@@ -83,27 +83,27 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, length: int = 3, bits: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """``id``, ``fp`` and ``component`` of each row."""
+    """``id``, ``fp``, ``root`` and ``component`` of each row: its component's first fingerprint and smallest id."""
     rows = cut(fingerprints(docs, length, id_col))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp"), bits))
-    # Classes without links are their own roots.
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
-    names = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.select("fp", new_key(F.col("root")).alias("k")).join(
-        names.select(new_key(F.col("root")).alias("k"), "component"), "k"
-    )
-    labels = (
-        classes.join(named.select(F.col("fp").alias("linked"), "component"), F.col("fp") == F.col("linked"), "left")
-        .withColumn("named", F.col("linked").isNotNull())
-        .select(
-            new_key(F.col("fp")).alias("k"), F.when(F.col("named"), F.col("component")).otherwise(F.col("least")).alias("component")
+    # Classes in no link are their own roots; only those in one need the smallest id of several classes.
+    linked = roots.union(roots.select("root", "root").distinct())
+    rooted = cut(
+        classes.join(linked, F.col("fp") == F.col("node"), "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")
         )
     )
-    return rows.withColumn("k", new_key(F.col("fp"))).join(labels, "k").select("id", "fp", "component")
+    names = rooted.where("linked").groupBy("root").agg(F.min("least").alias("component"))
+    named = (
+        rooted.where("linked")
+        .select("fp", "root", new_key(F.col("root")).alias("k"))
+        .join(names.select(new_key(F.col("root")).alias("k"), "component"), "k")
+        .select("fp", "root", "component")
+    )
+    labels = rooted.where("not linked").select("fp", "root", F.col("least").alias("component")).union(named)
+    labels = labels.select(new_key(F.col("fp")).alias("k"), "root", "component")
+    return rows.withColumn("k", new_key(F.col("fp"))).join(labels, "k").select("id", "fp", "root", "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -118,39 +118,35 @@ def report(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, length: int = 3, bits: int = 2) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Of rows that repeat an id in a component one stays. Of a component without any id, one row stays.
+    Where several rows have that id, or none of the component's rows has one, one of them stays.
     """
     found = cut(duplicates(docs, length, bits))
-    chosen = found.where("id <=> component").groupBy("id", "fp").agg(F.count("*").alias("n"))
+    first = cut(found.where("id <=> component").select("id", "fp", "root"))
     ids = found.groupBy("id").agg(F.count("*").alias("n"))
-    once = ids.where("n = 1 and id is not null").select("id")
-    single = chosen.join(once, "id", "left_semi").select(F.col("id").alias("_kept_id"))
-    kept = docs.join(single, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    # Ids that several rows have, and missing ones, need the fingerprint to tell rows apart.
-    again = ids.where("n > 1 or id is null").select(F.col("id").alias("_id"))
-    unclear = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.unionByName(_first_of_each(unclear, found.join(again, F.expr("id <=> _id"), "left_semi"), length))
-
-
-def _first_of_each(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Of rows with unclear ids, one for each component that is named by its id."""
-    roots = found.where("id <=> component").groupBy("id", "fp").agg(F.min("component").alias("component"))
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").alias("text"))
+    once = ids.where("n = 1 and id is not null").select(F.col("id").alias("own"))
+    single = first.join(once, F.col("id") == F.col("own"), "left_semi").select(F.col("id").alias("own"))
+    kept = docs.join(single, F.col("doc_id") == F.col("own"), "left_semi")
+    # Where rows share an id, or have none, the fingerprint tells them apart.
+    unclear = ids.where("n > 1 or id is null").select(F.col("id").alias("own"))
+    again = docs.join(unclear, F.expr("doc_id <=> own"), "left_semi")
+    several = first.join(unclear, F.expr("id <=> own"), "left_semi")
+    return kept.union(_one_of_each(again, several, length))
+
+
+def _one_of_each(docs: DataFrame, first: DataFrame, length: int) -> DataFrame:
+    """One row of ``docs`` for each root of ``first`` (id, fp, root), the first by its hashes."""
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("text")
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [fingerprint(shingle_hashes(t, length)) for t in raw_texts(batch.column("text"))]
         return pa.RecordBatch.from_pydict(
-            {"row": batch.column("row"), "text": batch.column("text"), "fp": pa.array(made, pa.int64())}
+            {"row": batch.column("row"), "own_id": batch.column("own_id"), "own_fp": pa.array(made, pa.int64())}
         )
 
-    rows = map_texts(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, fp bigint")
-    rows = rows.alias("r").join(
-        roots.alias("c"), F.expr("r.row.doc_id <=> c.id and r.fp = c.fp"), "left_semi"
-    )
-    first = rows.groupBy("row.doc_id", F.when(F.col("row.doc_id").isNull(), F.col("fp")).alias("own")).agg(
-        F.min_by(F.struct("row", "text"), F.struct("fp", F.xxhash64("text"))).alias("kept")
-    )
-    return first.select(
-        *[F.col("kept.text") if c == "text" else F.col(f"kept.row.`{c}`").alias(c) for c in docs.columns]
-    )
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("row", "own_id")}
+    hashed = map_texts(rows, run, f"row {kinds['row']}, own_id {kinds['own_id']}, own_fp bigint")
+    rooted = hashed.join(first.distinct(), F.expr("own_id <=> id and own_fp = fp"))
+    chosen = rooted.groupBy("root").agg(F.min_by("row", F.struct("fp", F.xxhash64("row"))).alias("row"))
+    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
