@@ -34,17 +34,14 @@ SESSION = {
 
 @dataclass(frozen=True)
 class Limits:
-    """When a lookup side is broadcast, and how a shuffled one is salted.
+    """When a lookup side is broadcast.
 
     A lookup is broadcast only if counting it shows at most ``broadcast_rows`` rows and
-    ``broadcast_bytes`` bytes of values. Anything larger is joined by a shuffle in which every
-    key is spread over ``salts`` partitions.
+    ``broadcast_bytes`` bytes of values. Anything larger is joined by a shuffle.
     """
 
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 * 1024 * 1024
-    salts: int = 32
-    single_file_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +53,7 @@ class Settings:
     globs. ``output`` holds the enriched log, the reports and the state of incremental runs.
     ``merge_sessions`` leaves the session out of the keys by which repeated events of one second
     are collapsed, so that equal events of two sessions in the same second count once.
+    ``single_file`` writes each CSV and JSON report as one file, by one task.
     """
 
     web_model: tuple[str, ...]
@@ -66,12 +64,25 @@ class Settings:
     output: str
     dump_tables: tuple[str, ...] = DUMP_TABLES
     merge_sessions: bool = False
+    single_file: bool = False
     limits: Limits = Limits()
 
     @property
     def enriched(self) -> str:
         return f"{self.output}/enriched"
 
+    @property
+    def parsed(self) -> str:
+        return f"{self.output}/parsed"
+
+    @property
+    def extracts(self) -> str:
+        return f"{self.output}/extracts"
+
+    @property
+    def line_counts(self) -> str:
+        return f"{self.output}/lines"
+
     @property
     def reports(self) -> str:
         return f"{self.output}/reports"

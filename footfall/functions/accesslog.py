@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.functions.text import blank_to_null, groups, pinned
+from footfall.functions.text import blank_to_null, groups, pinned, utc_time
 
 # Form of a line and of the request parameters.
 #   ip ... [day/Mon/year:h:m:s zone] "GET /dir/<page>.do<rest>" <status> <bytes> <session>
@@ -13,7 +13,7 @@ LINE = (
     r"(?s)^\s*(\S+)\s(?>.*?\[(\d+/\w+/\d+:\d+:\d+:\d+)[^\]]*\])"
     r"(?>.*?/([^/ ]*)\.do(?=[?; ]))(.*?)(?:\" \d+ \d+ (\S+).*)?$"
 )
-TIME = "d/MMM/yyyy:H:m:s"
+TIME = "d/MMM/yyyy:H:m:s Z"
 SOURCE = r"(?s)^.*[?&]sp=(\w+)"
 LINK = r"(?s)^.*[?&]link=(\w+)"
 OBJECT = r"[?&](att\d+=\d+)"
@@ -43,7 +43,7 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     fields = pinned(
         framed.select(
             F.get("f", 1).alias("ip"),
-            F.try_to_timestamp(F.get("f", 2), F.lit(TIME)).alias("time"),
+            utc_time(F.get("f", 2), TIME).alias("time"),
             F.get("f", 3).alias("page"),
             blank_to_null(F.get("f", 5)).alias("tail"),
             rest.startswith("?").alias("has_query"),
@@ -81,8 +81,3 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def count_shapes(parsed: DataFrame) -> DataFrame:
-    """Lines per shape; shape 0 holds the lines no shape fits."""
-    return parsed.groupBy(F.coalesce("shape", F.lit(0)).alias("shape")).agg(
-        F.count(F.lit(1)).alias("lines")
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.functions.text import blank_to_null, groups, pinned
+from footfall.functions.text import blank_to_null, groups, pinned, utc_time
 
 # Form of a line.
 #   day Mon year h:m:s[,fraction]  LEVEL [host]  (class) - <one of four rests>
@@ -21,7 +21,7 @@ NO_OBJECTS = UNIT + TRACE + r"(.*\{\}).*"
 NO_TRACE = UNIT + r"(.*)"
 NO_UNIT = r"\[(\w+)\]\[(\w+)\](.*)"
 LINE = f"{HEAD}(?:{OBJECTS}|{NO_OBJECTS}|{NO_TRACE}|{NO_UNIT})$"
-TIME = "d MMM yyyy H:m:s"
+TIME = "d MMM yyyy H:m:s Z"
 
 # Group numbers in LINE of (session, miu, page, unit, trace, message, objects) per shape.
 GROUPS = {
@@ -60,7 +60,7 @@ def parse_runtime_log(lines: DataFrame) -> DataFrame:
 
     fields = framed.select(
         shape.alias("shape"),
-        F.try_to_timestamp(group(1), F.lit(TIME)).alias("time"),
+        utc_time(group(1), TIME).alias("time"),
         group(2).alias("log_level"),
         group(3).alias("host"),
         group(4).alias("java_class"),

@@ -30,6 +30,14 @@ def counted(value: Column | str, n: Column | str) -> Column:
     return F.concat(value, F.lit(": "), F.col(n) if isinstance(n, str) else n)
 
 
+def utc_time(text: Column, form: str) -> Column:
+    """A moment written without a zone, read as UTC whatever the session's zone; null if there is no such date.
+
+    ``form`` ends with the zone's letter.
+    """
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(form))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

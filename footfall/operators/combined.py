@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.config import Limits
 from footfall.operators.instances import top10_clicked, top10_displayed
 from footfall.operators.links import input_link, output_link
 from footfall.operators.navigation import residence_time
@@ -32,7 +31,6 @@ def all_reports(
     clicked: DataFrame,
     shown: DataFrame,
     merge_sessions: bool = False,
-    limits: Limits = Limits(),
 ) -> dict[str, DataFrame]:
     """The reports on pages and links, on clicked values and on shown values.
 
@@ -43,8 +41,8 @@ def all_reports(
         "average_visits": average_visits(visits),
         "bounce_rate": bounce_rate(visits),
         "entrance_rate": entrance_rate(visits),
-        "output_link": output_link(visits, merge_sessions, limits),
-        "input_link": input_link(visits, merge_sessions, limits),
+        "output_link": output_link(visits, merge_sessions),
+        "input_link": input_link(visits, merge_sessions),
         "top10_clicked": top10_clicked(clicked, merge_sessions),
         "top10_displayed": top10_displayed(shown, merge_sessions),
     }
@@ -55,13 +53,15 @@ def combined_analysis(reports: Mapping[str, DataFrame]) -> DataFrame:
 
     This is the full outer join of all reports on ``unit_id``. As each has at most one row per
     unit, stacking them and grouping once gives the same rows with one shuffle instead of one per
-    join. A link's shares are summed over its pages first; rows without a label are left out.
+    join. A link's shares are summed over its pages first, to nine places; rows without a label are left out.
     """
     parts = []
     for report, measure in MEASURES.items():
         part = reports[report].where(F.col("unit_id").isNotNull()).select("unit_id", measure)
         if report in SUMMED:
-            part = part.groupBy("unit_id").agg(F.sum(measure).alias(measure))
+            # Added as decimals, so that the sum does not depend on the order of the rows.
+            total = F.sum(F.col(measure).cast("decimal(28,12)"))
+            part = part.groupBy("unit_id").agg(F.round(total, 9).cast("double").alias(measure))
         parts.append(part)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return stacked.groupBy("unit_id").agg(

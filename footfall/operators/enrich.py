@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
 from footfall.operators import models, values
-from footfall.operators.lookup import Lookup
+from footfall.operators.lookup import Lookup, Sizes
 from footfall.schemas import ENRICHED
 
 HIT_COLUMNS = (
@@ -22,13 +22,16 @@ HIT_COLUMNS = (
     "clicked_attribute_id",
     "clicked_oid",
 )
+# What stored lines have besides.
+STAMPS = ("ingested_at", "batch", "event_date")
 EVENT_KEYS = ("time", "session_id", "requested_page_id")
 
 
 class Site:
     """The design model and the dumped values of one site, and the lookups made from them.
 
-    A subclass says where the relations come from. Whatever a query does not need is not read.
+    A subclass says where the relations come from. They are read and measured in two groups, pages
+    with links and the rest, when a query needs one of a group.
     """
 
     pages: DataFrame
@@ -46,9 +49,26 @@ class Site:
         """The components with what they display; the lookups remove repetitions."""
         return models.combined_rows(self.units, self.attributes)
 
+    @cached_property
+    def navigation_sizes(self) -> Sizes:
+        return Sizes(lambda: {"pages": self.pages, "links": self.links})
+
+    @cached_property
+    def content_sizes(self) -> Sizes:
+        return Sizes(
+            lambda: {
+                "attributes": self.attributes,
+                "combined": self.combined,
+                "several": models.columns_of_several_tables(self.combined),
+            }
+        )
+
+    def _small(self, sizes: str, name: str) -> Callable[[], bool]:
+        return lambda: getattr(self, sizes).within(self.limits, name)
+
     @cached_property
     def known_pages(self) -> Lookup:
-        return models.page_lookup(self.pages, self.limits)
+        return models.page_lookup(self.pages, self.limits, self._small("navigation_sizes", "pages"))
 
     @cached_property
     def requested_pages(self) -> Lookup:
@@ -64,28 +84,42 @@ class Site:
 
     @cached_property
     def clicked_links(self) -> Lookup:
-        return models.link_lookup(self.links, self.limits)
+        return models.link_lookup(self.links, self.limits, self._small("navigation_sizes", "links"))
 
     @cached_property
     def clicked_entities(self) -> Lookup:
-        return models.clicked_entity_lookup(self.attributes, self.limits)
+        return models.clicked_entity_lookup(self.attributes, self.limits, self._small("content_sizes", "attributes"))
 
     @cached_property
     def clicked_columns(self) -> Lookup:
-        return models.clicked_column_lookup(self.combined, self.shown_units, self.limits)
+        return models.clicked_column_lookup(self.combined, self.limits, self._small("content_sizes", "combined"))
 
     @cached_property
     def shown_units(self) -> Lookup:
-        return models.unit_lookup(self.combined, self.limits)
+        return models.unit_lookup(self.combined, self.limits, self._small("content_sizes", "combined"))
+
+    @property
+    def one_table(self) -> bool:
+        """Whether each displayed column of an entity is in one table only."""
+        return self.content_sizes.measured["several"][0] == 0
+
+    def dump_bytes(self) -> int | None:
+        """The bytes of the dumps' files; none if they are not files."""
+        return None
 
     @cached_property
-    def stored_values(self) -> Lookup:
-        return values.value_lookup(self.spark, self.dumps, self.shown_units.frame, self.limits)
+    def stored_values(self) -> values.StoredValues:
+        return values.StoredValues(self.spark, self.dumps, self.shown_units.frame, self.limits, self.dump_bytes)
 
 
-def distinct_hits(parsed: DataFrame) -> DataFrame:
-    """Equal hits of one second count once. Repeats are removed before anything is joined."""
-    return parsed.select(*HIT_COLUMNS).distinct()
+def distinct_hits(parsed: DataFrame, stamps: Sequence[str] = ()) -> DataFrame:
+    """Equal hits of one second count once. Repeats are removed before anything is joined.
+
+    Of the ``stamps``, columns that say when a line came in, a hit keeps the earliest.
+    """
+    if not stamps:
+        return parsed.select(*HIT_COLUMNS).distinct()
+    return parsed.groupBy(*HIT_COLUMNS).agg(*[F.min(s).alias(s) for s in stamps])
 
 
 def with_requested_page(hits: DataFrame, site: Site) -> DataFrame:
@@ -123,13 +157,15 @@ def described_hits(hits: DataFrame, site: Site) -> DataFrame:
 
 
 def valued_hits(hits: DataFrame, site: Site) -> DataFrame:
-    return values.clicked_values(described_hits(hits, site), site.stored_values)
+    described = described_hits(hits, site)
+    stored = site.stored_values.lookup(lambda: values.clicked_keys(described))
+    return values.clicked_values(described, stored, site.one_table)
 
 
 def shown_objects(parsed: DataFrame) -> DataFrame:
     """One row per object a runtime line shows; lines without objects drop out."""
     return (
-        parsed.drop("shape")
+        parsed.drop("shape", *STAMPS)
         .withColumnRenamed("page_id", "displayed_page_id")
         .withColumn("oid", F.explode("oids"))
         .drop("oids")
@@ -156,18 +192,22 @@ def described_shown(shown: DataFrame, site: Site) -> DataFrame:
 
 
 def valued_shown(shown: DataFrame, site: Site) -> DataFrame:
-    return values.displayed_values(described_shown(shown, site), site.stored_values)
+    described = described_shown(shown, site)
+    return values.displayed_values(described, site.stored_values.lookup(lambda: values.displayed_keys(described)))
 
 
-def enriched_log(access: DataFrame, runtime: DataFrame, site: Site) -> DataFrame:
-    """Every hit with what the same session was shown on that page in that second.
+def enriched_log(access: DataFrame, runtime: DataFrame, site: Site, stamps: Sequence[str] = ()) -> DataFrame:
+    """Every hit with what the same session was shown on that page in that second, and its ``stamps``.
 
     Both sides hold no row twice, so neither does the result, and the wide rows need no further
     shuffle to remove duplicates.
     """
-    hits = valued_hits(distinct_hits(access), site)
-    shown = valued_shown(distinct_shown(runtime), site)
-    return hits.join(_on_hit(shown), list(EVENT_KEYS), "left").select(*ENRICHED.names)
+    hits = described_hits(distinct_hits(access, stamps), site)
+    shown = described_shown(distinct_shown(runtime), site)
+    stored = site.stored_values.lookup(lambda: values.lookup_keys(hits, shown))
+    hits = values.clicked_values(hits, stored, site.one_table)
+    shown = values.displayed_values(shown, stored)
+    return hits.join(_on_hit(shown), list(EVENT_KEYS), "left").select(*ENRICHED.names, *stamps)
 
 
 def shown_on_hits(access: DataFrame, runtime: DataFrame, site: Site) -> DataFrame:

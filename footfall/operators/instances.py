@@ -18,32 +18,79 @@ def _known(value: str) -> Column:
     return F.col(value).isNotNull() & (F.col(value) != NO_VALUE)
 
 
+# The narrow extract of the log that the counts below need, for either kind of value.
+EXTRACT = ("kind", "time", "session_id", "unit_id", "unit_name", "type", "value")
+SHOWN = {
+    "unit_id": "unit_id",
+    "unit_name": "displayed_unit_name",
+    "type": "displayed_attribute_name",
+    "value": "displayed_oid_value",
+}
+CLICKED = {
+    "unit_id": "clicked_link_id",
+    "unit_name": "clicked_link_name",
+    "type": "clicked_type_oid",
+    "value": "clicked_oid_value",
+}
+
+
+def _is_shown() -> Column:
+    return _known("displayed_oid_value") & F.col("displayed_attribute_name").isin(*NAMING_ATTRIBUTES)
+
+
+def _is_clicked() -> Column:
+    return (
+        _known("clicked_oid_value")
+        & F.col("clicked_link_name").isNotNull()
+        & F.col("clicked_type_oid").isin(*NAMING_COLUMNS)
+    )
+
+
+def extract(log: DataFrame, *keep: str) -> DataFrame:
+    """The different shown and clicked naming values of a second, in one pass over the log."""
+
+    def part(kind: str, wanted: Column, names: dict[str, str]) -> Column:
+        fields = F.struct(F.lit(kind).alias("kind"), *[F.col(c).alias(name) for name, c in names.items()])
+        return F.when(wanted, fields)
+
+    both = F.array(part("shown", _is_shown(), SHOWN), part("clicked", _is_clicked(), CLICKED))
+    rows = log.select(*keep, "time", "session_id", F.inline(F.array_compact(both)))
+    return rows.select(*keep, *EXTRACT).distinct()
+
+
+def shown_values(extracted: DataFrame) -> DataFrame:
+    return _named(extracted, "shown", SHOWN)
+
+
+def clicked_values(extracted: DataFrame) -> DataFrame:
+    return _named(extracted, "clicked", CLICKED)
+
+
+def _named(extracted: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
+    rows = extracted.where(F.col("kind") == kind)
+    return rows.select("time", "session_id", *[F.col(name).alias(c) for name, c in names.items()])
+
+
 def _count(events: DataFrame, once: list[str], unit: tuple[str, str], value: str, merge_sessions: bool) -> DataFrame:
     session = [] if merge_sessions else ["session_id"]
     return (
         events.select("time", *session, *unit, value, *once)
         .distinct()
         .groupBy(*unit, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).cast("int").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def displayed_counts(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     """How often each component showed each naming value; once per session, second and attribute."""
-    shown = log.where(
-        _known("displayed_oid_value") & F.col("displayed_attribute_name").isin(*NAMING_ATTRIBUTES)
-    )
+    shown = log.where(_is_shown())
     unit = ("unit_id", "displayed_unit_name")
     return _count(shown, ["displayed_attribute_name"], unit, "displayed_oid_value", merge_sessions)
 
 
 def clicked_counts(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     """How often each named link was clicked on each naming value; once per session, second and column."""
-    clicked = log.where(
-        _known("clicked_oid_value")
-        & F.col("clicked_link_name").isNotNull()
-        & F.col("clicked_type_oid").isin(*NAMING_COLUMNS)
-    )
+    clicked = log.where(_is_clicked())
     unit = ("clicked_link_id", "clicked_link_name")
     return _count(clicked, ["clicked_type_oid"], unit, "clicked_oid_value", merge_sessions)
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.config import Limits
 from footfall.functions.text import unit_label
-from footfall.operators.lookup import salted_join
+from footfall.operators.lookup import shuffled_join
 
 STEP = ("source_page_id", "requested_page_id", "clicked_link_id", "clicked_link_name")
 
@@ -25,9 +24,9 @@ def link_counts(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     )
 
 
-def _link_share(counts: DataFrame, page: str, name: str, limits: Limits) -> DataFrame:
+def _link_share(counts: DataFrame, page: str, name: str) -> DataFrame:
     totals = counts.groupBy(page).agg(F.sum("clicks").alias("page_clicks"))
-    return salted_join(counts, totals, [page], "inner", limits.salts).select(
+    return shuffled_join(counts, totals, [page], "inner").select(
         "source_page_id",
         "requested_page_id",
         unit_label("clicked_link_id", "clicked_link_name").alias("unit_id"),
@@ -35,11 +34,11 @@ def _link_share(counts: DataFrame, page: str, name: str, limits: Limits) -> Data
     )
 
 
-def output_link(log: DataFrame, merge_sessions: bool = False, limits: Limits = Limits()) -> DataFrame:
+def output_link(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     """Per (source, target, link), its share of the clicks that leave the source page."""
-    return _link_share(link_counts(log, merge_sessions), "source_page_id", "link_out", limits)
+    return _link_share(link_counts(log, merge_sessions), "source_page_id", "link_out")
 
 
-def input_link(log: DataFrame, merge_sessions: bool = False, limits: Limits = Limits()) -> DataFrame:
+def input_link(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
     """Per (source, target, link), its share of the clicks that lead to the target page."""
-    return _link_share(link_counts(log, merge_sessions), "requested_page_id", "link_in", limits)
+    return _link_share(link_counts(log, merge_sessions), "requested_page_id", "link_in")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property, reduce
 from operator import and_
 
@@ -14,17 +14,43 @@ from footfall.config import Limits
 LOOSE_PLACES = 1 << 20
 
 
+def row_bytes(frame: DataFrame) -> Column:
+    """The bytes of a row's values as text."""
+    return sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in frame.columns)
+
+
+class Sizes:
+    """Rows and bytes of several relations, counted on the executors in one pass when first asked for."""
+
+    def __init__(self, relations: Callable[[], Mapping[str, DataFrame]]):
+        self._relations = relations
+
+    @cached_property
+    def measured(self) -> dict[str, tuple[int, int]]:
+        relations = self._relations()
+        parts = [r.select(F.lit(name).alias("name"), row_bytes(r).alias("bytes")) for name, r in relations.items()]
+        if not parts:
+            return {}
+        sums = reduce(DataFrame.union, parts).groupBy("name").agg(F.count(F.lit(1)), F.sum("bytes")).collect()
+        return {name: (0, 0) for name in relations} | {name: (rows, total) for name, rows, total in sums}
+
+    def within(self, limits: Limits, *names: str) -> bool:
+        """Whether the relations so named, or all, are small together."""
+        sizes = [self.measured[name] for name in names or self.measured]
+        return (
+            sum(rows for rows, _ in sizes) <= limits.broadcast_rows
+            and sum(total for _, total in sizes) <= limits.broadcast_bytes
+        )
+
+
 class Lookup:
     """A lookup table whose ``keys`` carry the names of the fact columns they are joined with.
 
-    A lookup that proves small when measured is broadcast. Otherwise both sides are shuffled,
-    with every key spread over several partitions, so that one key with a large share of the
-    facts does not end in one task.
+    A lookup that proves small when measured is broadcast. Otherwise both sides are shuffled, and
+    adaptive execution splits a key with a large share of the facts.
 
-    ``shape`` makes the lookup from ``rows``, for instance by removing repetitions; if the rows
-    prove small one task does that, without a shuffle. ``bound`` is what to measure instead of
-    the rows, a frame or a lookup with at least as many rows and values: one that is cheaper to
-    compute or measured anyway.
+    ``shape`` makes the lookup from ``rows``, for instance by removing repetitions. ``small`` says
+    whether the rows are few enough, if something else has measured them; else they are counted.
     """
 
     def __init__(
@@ -33,53 +59,41 @@ class Lookup:
         keys: list[str],
         limits: Limits = Limits(),
         shape: Callable[[DataFrame], DataFrame] | None = None,
-        bound: DataFrame | Lookup | None = None,
+        small: Callable[[], bool] | None = None,
     ):
         self.rows = rows
         self.keys = keys
         self.limits = limits
         self.shape = shape
-        self._bound = rows if bound is None else bound
+        self._small = small or (lambda: Sizes(lambda: {"rows": rows}).within(limits))
 
     @cached_property
     def frame(self) -> DataFrame:
-        if self.shape is None:
-            return self.rows
-        return self.shape(self.rows.coalesce(1) if self.is_small else self.rows)
+        return self.rows if self.shape is None else self.shape(self.rows)
 
     @cached_property
     def is_small(self) -> bool:
-        """Whether rows and bytes are within the limits, by counting them on the executors."""
-        if isinstance(self._bound, Lookup):
-            return self._bound.is_small
-        size = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in self._bound.columns)
-        rows, total = self._bound.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-        return rows <= self.limits.broadcast_rows and total <= self.limits.broadcast_bytes
+        return self._small()
 
     def renamed(self, *names: str) -> Lookup:
         """The same table under other column names, the keys first; it is not measured again."""
-        return Lookup(self.frame.toDF(*names), list(names[: len(self.keys)]), self.limits, bound=self)
+        return Lookup(self.frame.toDF(*names), list(names[: len(self.keys)]), self.limits, small=lambda: self.is_small)
 
     def join(self, facts: DataFrame, how: str) -> DataFrame:
         """``facts`` with the columns of this lookup; ``how`` is ``inner``, ``left`` or ``left_semi``."""
         if self.is_small:
             return facts.join(F.broadcast(self.frame), self.keys, how)
-        return salted_join(facts, self.frame, self.keys, how, self.limits.salts)
+        return shuffled_join(facts, self.frame, self.keys, how)
 
 
-def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, salts: int) -> DataFrame:
-    """An equi-join in which every fact goes to one of ``salts`` copies of its lookup row.
+def shuffled_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """An equi-join in which a hot key can be split and no row is copied before it is.
 
-    The place follows from the fact itself, so a task that is run again sends it the same way.
-    Facts with a null key match nothing and are spread widely.
+    The hash of the keys is joined on as well. That gives both sides a shuffle of this join's own,
+    even where a grouping by the keys came before, and only such shuffles are split by adaptive
+    execution. Facts with a null key match nothing and are spread widely by their other columns.
     """
-    place = F.xxhash64(*[c for c in facts.columns if c not in keys] or keys)
     complete = reduce(and_, (F.col(k).isNotNull() for k in keys))
-    salt = F.when(complete, F.pmod(place, F.lit(salts))).otherwise(-1 - F.pmod(place, F.lit(LOOSE_PLACES)))
-    copies = lookup.withColumn("_salt", F.explode(_numbers(salts)))
-    joined = facts.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
-    return joined
-
-
-def _numbers(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+    loose = F.pmod(F.xxhash64(*[c for c in facts.columns if c not in keys] or keys), F.lit(LOOSE_PLACES))
+    placed = facts.withColumn("_place", F.when(complete, F.xxhash64(*keys)).otherwise(loose))
+    return placed.join(lookup.withColumn("_place", F.xxhash64(*keys)), [*keys, "_place"], how).drop("_place")

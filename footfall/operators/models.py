@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.config import Limits
@@ -23,27 +25,38 @@ def page_names(pages: DataFrame) -> DataFrame:
     return pages.groupBy("page_id").agg(F.min("page_name").alias("page_name"))
 
 
-def page_lookup(pages: DataFrame, limits: Limits) -> Lookup:
-    return Lookup(pages, ["page_id"], limits, page_names)
+def columns_of_several_tables(combined: DataFrame) -> DataFrame:
+    """The displayed columns of an entity that several tables have."""
+    tables = combined.groupBy("entity_id", "attribute_database_column").agg(
+        F.min(F.coalesce("table_db", F.lit(""))).alias("first"), F.max("table_db").alias("last")
+    )
+    return tables.where("first <> last").select("entity_id", "attribute_database_column")
+
+
+Small = Callable[[], bool] | None
+
+
+def page_lookup(pages: DataFrame, limits: Limits, small: Small = None) -> Lookup:
+    return Lookup(pages, ["page_id"], limits, page_names, small)
 
 
-def link_lookup(links: DataFrame, limits: Limits) -> Lookup:
+def link_lookup(links: DataFrame, limits: Limits, small: Small = None) -> Lookup:
     rows = links.select(
         F.col("link_id").alias("clicked_link_id"), F.col("link_name").alias("clicked_link_name"), "target_unit"
     )
-    return Lookup(rows, ["clicked_link_id"], limits, DataFrame.distinct)
+    return Lookup(rows, ["clicked_link_id"], limits, DataFrame.distinct, small)
 
 
-def clicked_entity_lookup(attributes: DataFrame, limits: Limits) -> Lookup:
+def clicked_entity_lookup(attributes: DataFrame, limits: Limits, small: Small = None) -> Lookup:
     rows = attributes.select(
         F.col("attribute_id").alias("clicked_attribute_id"),
         F.col("entity_id").alias("clicked_entity_id"),
         F.col("entity_name").alias("clicked_entity_name"),
     )
-    return Lookup(rows, ["clicked_attribute_id"], limits, DataFrame.distinct)
+    return Lookup(rows, ["clicked_attribute_id"], limits, DataFrame.distinct, small)
 
 
-def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:
+def unit_lookup(combined: DataFrame, limits: Limits, small: Small = None) -> Lookup:
     """What each component displays."""
     rows = combined.select(
         "unit_id",
@@ -55,14 +68,14 @@ def unit_lookup(combined: DataFrame, limits: Limits) -> Lookup:
         F.col("attribute_name").alias("displayed_attribute_name"),
         "attribute_database_column",
     )
-    return Lookup(rows, ["unit_id"], limits, DataFrame.distinct)
+    return Lookup(rows, ["unit_id"], limits, DataFrame.distinct, small)
 
 
-def clicked_column_lookup(combined: DataFrame, shown_units: Lookup, limits: Limits) -> Lookup:
+def clicked_column_lookup(combined: DataFrame, limits: Limits, small: Small = None) -> Lookup:
     """The database columns of an entity that some component displays."""
     rows = combined.select(
         F.col("entity_id").alias("_entity"),
         F.col("table_db").alias("clicked_table"),
         F.col("attribute_database_column").alias("clicked_column"),
     )
-    return Lookup(rows, ["_entity"], limits, DataFrame.distinct, bound=shown_units)
+    return Lookup(rows, ["_entity"], limits, DataFrame.distinct, small)

@@ -46,7 +46,7 @@ def entrance_rate(log: DataFrame) -> DataFrame:
 
 
 def average_visits(log: DataFrame) -> DataFrame:
-    """Per page, visits (one per session and second) divided by all sessions."""
+    """Per page, visits (one per session and second) divided by all sessions; no session counts as one."""
     visits = log.select("session_id", "time", *PAGE).distinct()
     per_session = visits.groupBy("session_id", *PAGE).agg(F.count(F.lit(1)).alias("visits"))
     pages = per_session.groupBy(*PAGE).agg(F.sum("visits").alias("visits"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
+from functools import cached_property, reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
-from footfall.operators.lookup import Lookup
-from footfall.sources.dumps import dump_columns, dump_values, one_row_per_object
+from footfall.operators.lookup import Lookup, Sizes
+from footfall.sources.dumps import dump_columns, dump_values, object_values, one_row_per_object
 
 KEYS = ["oid", "value_table", "value_column"]
 
@@ -33,50 +33,108 @@ def needed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[str
     }
 
 
-def value_lookup(spark: SparkSession, dumps: Mapping[str, DataFrame], shown: DataFrame, limits: Limits) -> Lookup:
-    """One value per object and displayed column; of several, the smallest."""
-    columns = needed_columns(dumps, shown)
-    wanted = {table: dumps[table] for table, names in columns.items() if names}
-    single = {table: one_row_per_object(dump, columns[table]) for table, dump in wanted.items()}
-    return Lookup(
-        dump_values(spark, single, columns), KEYS, limits, bound=dump_values(spark, wanted, columns)
-    )
+class StoredValues:
+    """One value per object and displayed column of the dumps; of several, the smallest.
 
+    ``shown`` is the model's displayed attributes. ``listed`` gives the bytes of the dumps' files, if
+    they are files: dumps that are small by that need not be counted.
+    """
 
-def lookup_keys(hits: DataFrame, shown: DataFrame) -> DataFrame:
-    """The different (object, table, column) that clicks and shown objects refer to."""
-    clicked = hits.where(F.col("clicked_oid") != 0).select(
-        F.col("clicked_oid").alias("oid"),
-        F.upper("clicked_table").alias("value_table"),
-        F.upper("clicked_column").alias("value_column"),
+    def __init__(
+        self,
+        spark: SparkSession,
+        dumps: Mapping[str, DataFrame],
+        shown: DataFrame,
+        limits: Limits,
+        listed: Callable[[], int | None] = lambda: None,
+    ):
+        self.spark = spark
+        self.dumps = dumps
+        self.shown = shown
+        self.limits = limits
+        self.listed = listed
+
+    @cached_property
+    def columns(self) -> dict[str, list[str]]:
+        """By dump, the columns to read; only dumps with any."""
+        return {t: names for t, names in needed_columns(self.dumps, self.shown).items() if names}
+
+    @cached_property
+    def objects(self) -> dict[str, DataFrame]:
+        return {t: one_row_per_object(self.dumps[t], names) for t, names in self.columns.items()}
+
+    @cached_property
+    def is_small(self) -> bool:
+        """Whether all values of the needed columns may be broadcast."""
+        listed = self.listed()
+        # A value takes a byte and a separator at least.
+        if listed is not None and listed <= min(self.limits.broadcast_bytes, 2 * self.limits.broadcast_rows):
+            return True
+        read = Sizes(lambda: {t: self.dumps[t].select(*[f"`{c}`" for c in names]) for t, names in self.columns.items()})
+        values = sum(rows * len(self.columns[t]) for t, (rows, _) in read.measured.items())
+        return values <= self.limits.broadcast_rows and read.within(self.limits)
+
+    def lookup(self, keys: Callable[[], DataFrame]) -> Lookup:
+        """What to join facts with whose (object, table, column) are among ``keys``.
+
+        Small dumps are broadcast as they are. Larger ones are joined with the different keys first,
+        object by object, and the answers, no more than the keys, are joined with the facts.
+        """
+        if self.is_small:
+            return Lookup(dump_values(self.spark, self.objects, self.columns), KEYS, self.limits, small=lambda: True)
+        return Lookup(object_values(self.spark, self.objects, self.columns, keys()), KEYS, self.limits, small=lambda: False)
+
+
+def clicked_keys(hits: DataFrame) -> DataFrame:
+    """The different (object, table, column) that clicks refer to."""
+    return (
+        hits.where(F.col("clicked_oid") != 0)
+        .select(
+            F.col("clicked_oid").alias("oid"),
+            F.upper("clicked_table").alias("value_table"),
+            F.upper("clicked_column").alias("value_column"),
+        )
+        .distinct()
     )
-    displayed = shown.select(
+
+
+def displayed_keys(shown: DataFrame) -> DataFrame:
+    """The different (object, table, column) that shown objects refer to."""
+    return shown.select(
         "oid",
         F.upper("table_db").alias("value_table"),
         F.upper("attribute_database_column").alias("value_column"),
-    )
-    return clicked.union(displayed).distinct()
+    ).distinct()
 
 
-def oid_values(keys: DataFrame, lookup: Lookup) -> DataFrame:
+def lookup_keys(hits: DataFrame, shown: DataFrame) -> DataFrame:
+    return clicked_keys(hits).union(displayed_keys(shown)).distinct()
+
+
+def oid_values(keys: DataFrame, stored: StoredValues) -> DataFrame:
     """Each key with its value; null if the dumps have none."""
-    return lookup.join(keys, "left")
+    return stored.lookup(lambda: keys).join(keys, "left")
 
 
-def clicked_values(hits: DataFrame, lookup: Lookup) -> DataFrame:
-    """Hits with the column and the value of the clicked object."""
+def clicked_values(hits: DataFrame, lookup: Lookup, one_table: bool = True) -> DataFrame:
+    """Hits with the column and the value of the clicked object.
+
+    The table does not stay. Where an entity has one column in several tables, hits that only
+    differed in it are made one again; ``one_table`` says that the model has no such entity.
+    """
     keyed = (
         hits.withColumn("oid", F.when(F.col("clicked_oid") != 0, F.col("clicked_oid")))
         .withColumn("value_table", F.upper("clicked_table"))
         .withColumn("value_column", F.upper("clicked_column"))
     )
     known = F.col("oid").isNotNull() & F.col("clicked_table").isNotNull()
-    return (
+    valued = (
         lookup.join(keyed, "left")
         .withColumn("clicked_type_oid", F.when(known, F.col("clicked_column")))
         .withColumnRenamed("value", "clicked_oid_value")
         .drop("oid", "value_table", "value_column", "clicked_table", "clicked_column")
     )
+    return valued if one_table else valued.distinct()
 
 
 def displayed_values(shown: DataFrame, lookup: Lookup) -> DataFrame:

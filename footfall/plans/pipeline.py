@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from footfall.config import Settings
 from footfall.functions.accesslog import parse_access_log
 from footfall.functions.runtimelog import parse_runtime_log
+from footfall.operators import instances
 from footfall.operators.combined import MEASURES, all_reports, combined_analysis
 from footfall.operators.enrich import Site, enriched_log
+from footfall.operators.lines import count_lines
 from footfall.operators.models import combined_model
-from footfall.sinks.enriched import save_cutoff, write_batch
+from footfall.schemas import STORED
+from footfall.sinks.enriched import on_days, write_days, write_enriched, write_parsed
 from footfall.sinks.reports import write_csv, write_json, write_parquet
-from footfall.sources import dumps, logs, models
-from footfall.sources.state import fresh, read_cutoff
+from footfall.sources import dumps, files, logs, models, state
 
 # What reports on pages and links need of the enriched log.
 VISIT = (
@@ -27,6 +31,9 @@ VISIT = (
     "clicked_link_id",
     "clicked_link_name",
 )
+EXTRACTED = StructType([StructField(c, TimestampType() if c == "time" else StringType()) for c in instances.EXTRACT])
+LOGS = {"access": parse_access_log, "runtime": parse_runtime_log}
+
 
 class FileSite(Site):
     """A site whose model and dumps are in files.
@@ -65,75 +72,116 @@ class FileSite(Site):
     def dumps(self) -> dict[str, DataFrame]:
         return dumps.read_dumps(self.spark, self.settings.dumps, self.settings.dump_tables)
 
+    def dump_bytes(self) -> int | None:
+        paths = [f"{self.settings.dumps}/{table}.csv" for table in self.dumps]
+        if not paths:
+            return 0
+        return files.listed(self.spark, paths).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
 
-def enrich(access_lines: DataFrame, runtime_lines: DataFrame, site: Site, cutoff: int = 0) -> DataFrame:
-    """Log lines from ``cutoff`` on as the enriched log."""
+def enrich(access_lines: DataFrame, runtime_lines: DataFrame, site: Site) -> DataFrame:
+    """Log lines as the enriched log."""
     return enriched_log(
-        fresh(parse_access_log(access_lines), cutoff),
-        fresh(parse_runtime_log(runtime_lines), cutoff),
-        site,
+        state.usable(parse_access_log(access_lines)), state.usable(parse_runtime_log(runtime_lines)), site
     )
 
 
-def take_in(access_lines: DataFrame, runtime_lines: DataFrame, site: Site, settings: Settings) -> int:
-    """Adds the lines not yet taken in to the enriched log; returns the new cutoff.
+def take_in(spark: SparkSession, site: Site, settings: Settings) -> list[date]:
+    """Adds the log files that are new, or have changed, to the enriched log; returns the days they touch.
 
-    The cutoff is read off the stored batch and saved after it. It only grows.
+    Lines may come in any order and more than once: the days that a batch touches are made anew from
+    all parsed lines of theirs, in which equal events count once. Only the new files are read as text.
+    A batch counts when its files are recorded, which is done last; if a run fails before that, the
+    next one repeats the batch and replaces what the failed one wrote.
     """
-    spark = access_lines.sparkSession
-    cutoff = read_cutoff(spark, settings.state)
-    write_batch(enrich(access_lines, runtime_lines, site, cutoff), settings.enriched, cutoff)
-    latest = (
-        logs.read_enriched(spark, settings.enriched)
-        .where(F.col("batch") == cutoff)
-        .agg(F.max(F.unix_timestamp("time")))
-        .first()[0]
+    taken = state.read_taken(spark, settings.state)
+    sources = {"access": settings.access_logs, "runtime": settings.runtime_logs}
+    found = {log: state.new_files(spark, taken, log, paths) for log, paths in sources.items()}
+    if not any(found.values()):
+        return []
+    batch = state.next_batch(taken)
+    lines = {log: logs.read_files(spark, [f.path for f in own]) for log, own in found.items()}
+    days = add_lines(lines["access"], lines["runtime"], site, settings, batch)
+    state.save_taken(spark, settings.state, batch, found)
+    return days
+
+
+def add_lines(access: DataFrame, runtime: DataFrame, site: Site, settings: Settings, batch: int) -> list[date]:
+    """Parses and stores the lines of a batch, counts them, and makes the days anew that they touch."""
+    spark = access.sparkSession
+    now = datetime.now(timezone.utc)
+    days = set()
+    counts = []
+    for log, lines in (("access", access), ("runtime", runtime)):
+        write_parsed(LOGS[log](lines), settings.parsed, log, batch, now)
+        own = logs.read_parsed(spark, settings.parsed, log).where(F.col("batch") == batch)
+        counts.append(count_lines(own, log))
+        touched = state.usable(own).select("event_date").distinct()
+        days.update(row[0] for row in touched.collect())
+    counts[0].union(counts[1]).write.mode("overwrite").parquet(f"{settings.line_counts}/batch={batch}")
+    make_days(spark, site, settings, sorted(days))
+    return sorted(days)
+
+
+def make_days(spark: SparkSession, site: Site, settings: Settings, days: list[date]) -> None:
+    """The enriched log of some days from their stored lines, and their part of the extracts.
+
+    They take the place of what there was of these days; a day keeps it if the design model no longer
+    knows any of its pages.
+    """
+    if not days:
+        return
+    access, runtime = (
+        on_days(state.usable(logs.read_parsed(spark, settings.parsed, log)), days) for log in LOGS
     )
-    if latest is None:
-        return cutoff
-    save_cutoff(spark, settings.state, latest + 1)
-    return latest + 1
+    write_enriched(enriched_log(access, runtime, site, ("ingested_at", "batch")), settings.enriched)
+    log = on_days(logs.read_enriched(spark, settings.enriched), days)
+    write_days(log.select("event_date", *VISIT).distinct(), f"{settings.extracts}/visits", "session_id", "time")
+    write_days(instances.extract(log, "event_date"), f"{settings.extracts}/values", "kind", "unit_id")
 
 
 def write_reports(spark: SparkSession, settings: Settings) -> None:
-    """All reports on the enriched log, each as Parquet and CSV, the combined one also as JSON.
+    """All reports, each as Parquet and CSV, the combined one also as JSON.
 
-    The six reports on pages and links read one stored extract without the rows that only differ
-    in what was shown; the combined report reads the stored reports.
+    They read the two extracts of the log, the combined report reads the stored reports. One more
+    report counts the lines of each batch.
     """
-    log = logs.read_enriched(spark, settings.enriched)
-    visits = write_parquet(log.select(*VISIT).distinct(), f"{settings.reports}/_visits")
-    reports = all_reports(visits, log, log, settings.merge_sessions, settings.limits)
+    visits = files.stored(spark, f"{settings.extracts}/visits", StructType([STORED[c] for c in VISIT]))
+    values = files.stored(spark, f"{settings.extracts}/values", EXTRACTED)
+    reports = all_reports(
+        visits, instances.clicked_values(values), instances.shown_values(values), settings.merge_sessions
+    )
     stored = {name: _store(report, name, settings) for name, report in reports.items()}
     combined = _store(combined_analysis(stored), "combined_analysis", settings)
-    write_json(combined, f"{settings.reports}/combined_analysis.json", settings.limits)
+    write_json(combined, f"{settings.reports}/combined_analysis.json", settings.single_file)
+    _store(logs.read_line_counts(spark, settings.line_counts), "lines", settings)
 
 
 def _store(report: DataFrame, name: str, settings: Settings) -> DataFrame:
     stored = write_parquet(report, f"{settings.reports}/{name}.parquet")
-    write_csv(stored, f"{settings.reports}/{name}.csv", settings.limits)
+    write_csv(stored, f"{settings.reports}/{name}.csv", settings.single_file)
     return stored
 
 
 def register_views(spark: SparkSession, settings: Settings) -> list[str]:
-    """Makes the stored log, the reports and the dumps known to SQL; returns the names.
+    """Makes the stored log, the reports, the dumps and the design model known to SQL; returns the names.
 
-    A dump has the name of its table, which may have to be quoted.
+    A dump has the name of its table, which may have to be quoted. The model's relations are
+    ``model_pages``, ``model_links``, ``model_units``, ``model_attributes`` and ``model_combined``.
     """
     views = {"enriched_log": logs.read_enriched(spark, settings.enriched)}
-    for name in (*MEASURES, "combined_analysis"):
+    for name in (*MEASURES, "combined_analysis", "lines"):
         views[name] = spark.read.parquet(f"{settings.reports}/{name}.parquet")
     views.update(dumps.read_dumps(spark, settings.dumps, settings.dump_tables))
+    for name in ("pages", "links", "units", "attributes", "combined"):
+        views[f"model_{name}"] = spark.read.parquet(f"{settings.output}/model/{name}")
     for name, view in views.items():
         view.createOrReplaceTempView(f"`{name}`")
     return list(views)
 
 
-def run(spark: SparkSession, settings: Settings) -> int:
-    """Takes in what is new in the logs and renews the reports; returns the new cutoff."""
-    site = FileSite(spark, settings)
-    access = logs.read_lines(spark, settings.access_logs)
-    runtime = logs.read_lines(spark, settings.runtime_logs)
-    cutoff = take_in(access, runtime, site, settings)
+def run(spark: SparkSession, settings: Settings) -> list[date]:
+    """Takes in what is new in the logs and renews the reports; returns the days that were made anew."""
+    days = take_in(spark, FileSite(spark, settings), settings)
     write_reports(spark, settings)
-    return cutoff
+    return days

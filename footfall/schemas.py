@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    ArrayType,
+    DateType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 
 def strings(*names: str) -> StructType:
@@ -68,4 +77,57 @@ _ENRICHED = (
 )
 ENRICHED = StructType([StructField(name, _TYPES.get(name, StringType())) for name in _ENRICHED])
 
-STATE = StructType([StructField("cutoff", LongType())])
+
+LINE = strings("value")
+
+# Parsed lines as stored. ``shape`` and ``time`` are null where a line has none.
+_STAMPS = [
+    StructField("ingested_at", TimestampType()),
+    StructField("batch", LongType()),
+    StructField("event_date", DateType()),
+]
+PARSED = {
+    "access": StructType(
+        [
+            StructField("shape", IntegerType()),
+            StructField("ip", StringType()),
+            StructField("time", TimestampType()),
+            *strings("session_id", "requested_page_id", "source_page_id", "clicked_link_id", "clicked_attribute_id"),
+            StructField("clicked_oid", LongType()),
+            *_STAMPS,
+        ]
+    ),
+    "runtime": StructType(
+        [
+            StructField("shape", IntegerType()),
+            StructField("time", TimestampType()),
+            *strings("log_level", "host", "java_class", "session_id", "miu_id", "page_id", "unit_id", "trace", "message"),
+            StructField("oids", ArrayType(LongType())),
+            *_STAMPS,
+        ]
+    ),
+}
+STORED = StructType([*ENRICHED, *_STAMPS])
+
+# What became of lines: shape 0 is none; bad objects are those that are no number.
+LINE_COUNTS = StructType(
+    [
+        StructField("log", StringType()),
+        StructField("shape", IntegerType()),
+        StructField("lines", LongType()),
+        StructField("bad_dates", LongType()),
+        StructField("bad_objects", LongType()),
+        StructField("batch", LongType()),
+    ]
+)
+
+# Files taken in, by batch.
+TAKEN = StructType(
+    [
+        StructField("log", StringType()),
+        StructField("path", StringType()),
+        StructField("length", LongType()),
+        StructField("modified", TimestampType()),
+        StructField("batch", LongType()),
+    ]
+)

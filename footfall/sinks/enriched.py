@@ -1,31 +1,51 @@
-"""The enriched log on storage: one folder per batch, partitioned by day."""
+"""Parsed lines by batch and day; the enriched log by day."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import date, datetime
 
-from footfall.schemas import STATE
+from pyspark.sql import Column, DataFrame, functions as F
 
+DAY = 24 * 60 * 60
 
-def write_batch(enriched: DataFrame, path: str, batch: int) -> None:
-    """Adds a batch to the log, or replaces it if it was written before.
 
-    A batch is named by the cutoff it starts from. A run that failed half-way leaves the cutoff
-    as it was, so its repetition writes the same folder and adds nothing twice. The files are
-    balanced over days and sorted by session and time.
-    """
+def day_of(time: str) -> Column:
+    """The day in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_timestamp(time) / DAY).cast("int"))
+
+
+def write_parsed(parsed: DataFrame, path: str, log: str, batch: int, ingested_at: datetime) -> None:
+    """Stores all lines of a batch, also those that cannot be used; replaces it if it was written before."""
     (
-        enriched.withColumn("ingested_at", F.current_timestamp())
-        .withColumn("event_date", F.to_date("time"))
+        parsed.withColumn("ingested_at", F.lit(ingested_at))
+        .withColumn("event_date", day_of("time"))
         .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "session_id", "time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("event_date")
-        .parquet(f"{path}/batch={batch}")
+        .parquet(f"{path}/{log}/batch={batch}")
     )
 
 
-def save_cutoff(spark: SparkSession, path: str, cutoff: int) -> None:
-    """Adds a cutoff to the state; the largest counts, so an old one need not be removed."""
-    spark.createDataFrame([(cutoff,)], STATE).coalesce(1).write.mode("append").csv(path)
+def write_days(rows: DataFrame, path: str, *order: str) -> None:
+    """Replaces the days that the rows are on; other days stay.
+
+    Rows have an ``event_date``. Files are balanced over days, and sorted within by ``order``.
+    """
+    (
+        rows.hint("rebalance", "event_date")
+        .sortWithinPartitions("event_date", *order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(path)
+    )
+
+
+def write_enriched(enriched: DataFrame, path: str) -> None:
+    write_days(enriched.withColumn("event_date", day_of("time")), path, "session_id", "time")
+
+
+def on_days(rows: DataFrame, days: list[date]) -> DataFrame:
+    """The rows of stored days; only their folders are read."""
+    return rows.where(F.col("event_date").isin(days))

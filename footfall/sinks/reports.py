@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
-from footfall.config import Limits
-
 
 def write_parquet(report: DataFrame, path: str) -> DataFrame:
     """Stores the report and returns it as read back, so that it is computed once."""
@@ -14,22 +12,18 @@ def write_parquet(report: DataFrame, path: str) -> DataFrame:
     return report.sparkSession.read.schema(report.schema).parquet(path)
 
 
-def one_file(report: DataFrame, limits: Limits) -> DataFrame:
-    """A report of proven small size in one partition; a larger one as it is.
+def write_csv(report: DataFrame, path: str, single_file: bool = False) -> None:
+    """Semicolon-separated with a header; lists as JSON text, as CSV has none.
 
-    The size is counted, so the report should be a stored one.
+    ``single_file`` has one task write the whole report, which should be a stored one.
     """
-    return report.coalesce(1) if report.count() <= limits.single_file_rows else report
-
-
-def write_csv(report: DataFrame, path: str, limits: Limits = Limits()) -> None:
-    """Semicolon-separated with a header; lists as JSON text, as CSV has none."""
     columns = [
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name)
         for f in report.schema.fields
     ]
-    one_file(report.select(*columns), limits).write.mode("overwrite").csv(path, sep=";", header=True)
+    rows = report.select(*columns)
+    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").csv(path, sep=";", header=True)
 
 
-def write_json(report: DataFrame, path: str, limits: Limits = Limits()) -> None:
-    one_file(report, limits).write.mode("overwrite").json(path)
+def write_json(report: DataFrame, path: str, single_file: bool = False) -> None:
+    (report.coalesce(1) if single_file else report).write.mode("overwrite").json(path)

@@ -52,6 +52,26 @@ def dump_values(
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], VALUE))
 
 
+def object_values(
+    spark: SparkSession, rows_by_object: Mapping[str, DataFrame], columns: Mapping[str, list[str]], keys: DataFrame
+) -> DataFrame:
+    """The values of ``keys`` (``oid``, ``value_table``, ``value_column``), as far as the dumps have them.
+
+    A dump of one row per object is joined with the keys that name it; no dump row is unpivoted.
+    """
+    parts = [spark.createDataFrame([], VALUE)]
+    for table, dump in rows_by_object.items():
+        names = {c: KEY if c.upper() == KEY else c for c in columns[table]}
+        # Under names of their own, as a dump may have columns of any name.
+        cells = [F.col(f"`{name}`").cast("string").alias(f"_cell{i}") for i, name in enumerate(names.values())]
+        objects = dump.select(F.col(KEY).alias("_object"), *cells)
+        own = keys.where(F.col("value_table") == table.upper())
+        value = F.coalesce(*[F.when(F.col("value_column") == c.upper(), F.col(f"_cell{i}")) for i, c in enumerate(names)])
+        found = own.join(objects, F.col("oid") == F.col("_object")).withColumn("value", value)
+        parts.append(found.where(F.col("value").isNotNull()).select(*VALUE.names))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _values(table: str, dump: DataFrame, columns: list[str]) -> DataFrame:
     cells = [
         F.struct(

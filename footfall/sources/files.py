@@ -1,11 +1,13 @@
-"""Which of several paths or globs there are files for."""
+"""What files there are below paths or globs."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,3 +24,24 @@ def present(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The paths that lead to files; all of them if none does, for Spark to say so."""
     paths = list(paths)
     return [p for p in paths if exists(spark, p)] or paths
+
+
+def listed(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """``path``, ``length`` and ``modified`` of the files; their content is not read."""
+    files = spark.read.format("binaryFile").load(present(spark, paths))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def literal(path: str) -> str:
+    """A path as a glob that finds it alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table; no rows if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -1,35 +1,39 @@
-"""The two server logs and the enriched log."""
+"""The two server logs and what is stored of them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DateType, LongType, StructType, TimestampType
 
-from footfall.schemas import ENRICHED
+from footfall.schemas import LINE, LINE_COUNTS, PARSED, STORED
+from footfall.sources.files import literal, present, stored
 
 
 def read_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Text lines as column ``value``; a glob that finds nothing gives an error, as Spark does."""
-    return spark.read.text(list(paths))
+    """Text lines as column ``value``, of all paths and globs that lead to files.
 
+    If none does, this gives an error, as Spark does.
+    """
+    return spark.read.text(present(spark, paths))
 
-def stored_schema() -> StructType:
-    return (
-        StructType(list(ENRICHED.fields))
-        .add("ingested_at", TimestampType())
-        .add("batch", LongType())
-        .add("event_date", DateType())
-    )
+
+def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The lines of the very files named; no rows if there are none."""
+    paths = [literal(p) for p in paths]
+    return spark.read.text(paths) if paths else spark.createDataFrame([], LINE)
+
+
+def read_parsed(spark: SparkSession, path: str, log: str) -> DataFrame:
+    """The parsed lines of ``access`` or ``runtime`` of all batches."""
+    return stored(spark, f"{path}/{log}", PARSED[log])
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
-    """All batches written so far; no rows before the first one."""
-    try:
-        return spark.read.schema(stored_schema()).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], stored_schema())
+    """The enriched log so far; no rows before the first batch."""
+    return stored(spark, path, STORED)
+
+
+def read_line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """What became of the lines of each batch."""
+    return stored(spark, path, LINE_COUNTS)

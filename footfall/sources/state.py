@@ -1,25 +1,39 @@
-"""Up to which event time the logs have been taken in."""
+"""Which log files have been taken in."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterable
 
-from footfall.schemas import STATE
-from footfall.sources.files import exists
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from footfall.schemas import TAKEN
+from footfall.sources.files import listed, stored
 
-def read_cutoff(spark: SparkSession, path: str) -> int:
-    """The stored cutoff in epoch seconds: the first second not yet taken in; 0 without one."""
-    if not exists(spark, path):
-        return 0
-    stored = spark.read.schema(STATE).csv(path)
-    return stored.agg(F.coalesce(F.max("cutoff"), F.lit(0))).first()[0]
 
+def usable(parsed: DataFrame) -> DataFrame:
+    """The lines that fit a shape and have a date."""
+    return parsed.where(F.col("shape").isNotNull() & F.col("time").isNotNull())
 
-def fresh(parsed: DataFrame, cutoff: int) -> DataFrame:
-    """The lines that fit a shape and are not older than the cutoff."""
-    return parsed.where(F.col("shape").isNotNull() & (F.col("time") >= _moment(cutoff)))
 
+def read_taken(spark: SparkSession, path: str) -> DataFrame:
+    """The files of all batches so far; no rows before the first one."""
+    return stored(spark, path, TAKEN)
 
-def _moment(seconds: int) -> Column:
-    return F.timestamp_seconds(F.lit(seconds))
+
+def next_batch(taken: DataFrame) -> int:
+    return taken.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+
+
+def new_files(spark: SparkSession, taken: DataFrame, log: str, paths: Iterable[str]) -> list[Row]:
+    """The files of a log that were not taken in as they are now: new, grown or changed ones.
+
+    Only names, sizes and times are read, and collected, as a scan has to list them anyway.
+    """
+    known = taken.where(F.col("log") == log).select("path", "length", "modified")
+    return listed(spark, paths).join(known, ["path", "length", "modified"], "left_anti").sort("path").collect()
+
+
+def save_taken(spark: SparkSession, path: str, batch: int, files: dict[str, list[Row]]) -> None:
+    """Commits a batch: its files count as taken in from now on."""
+    rows = [(log, f.path, f.length, f.modified, batch) for log, found in files.items() for f in found]
+    spark.createDataFrame(rows, TAKEN).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={batch}")

@@ -8,7 +8,7 @@ dumps are also written as XML and CSV files where a query is about reading them.
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from functools import cached_property
 
@@ -27,13 +27,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the place the session names for shared files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="footfall-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the place the session names for shared files, or else in its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(base, f"footfall-{uuid.uuid4().hex}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,18 +41,14 @@ def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def clicks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    """The fields that the lines of both logs are built from, of events before ``until`` if given."""
+def clicks(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
+    """The fields that the lines of both logs are built from, of the events for which ``part`` holds."""
     u, k, m = F.col("user_id"), F.col("k"), F.col("k") % 10
-    events = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        # So small a table would be parsed by one task or a few.
-        events = events.repartition(cores, "event_id")
-    if until:
-        events = events.where(F.col("ts") < until)
     return (
-        events
+        table(spark, sf_dir, "events")
+        .where(part)
+        # So small a table would be parsed by one task or a few; a large one is split anyway.
+        .hint("rebalance")
         .select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
         .select(
             "ts",
@@ -64,7 +56,7 @@ def clicks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFr
             "event_type",
             "k",
             m.alias("m"),
-            text("s", u, "d", F.dayofmonth("ts")).alias("session"),
+            F.when(u % 25 == 24, "-").otherwise(text("s", u, "d", F.dayofmonth("ts"))).alias("session"),
             F.when(
                 (F.col("event_type") == "view") & (m == 3), text("mpage", u % 28)
             ).otherwise(text("page", F.floor((3 * u + m % 4) / 4))).alias("page"),
@@ -78,12 +70,14 @@ def clicks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFr
     )
 
 
-def access_lines(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+def access_lines(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
     c = F.col
     att = text("att", 10 * c("e") + c("m") % 4)
+    # A number too large for an object.
+    oid = F.when(c("k") == 97, "99999999999999999999").otherwise(c("oid").cast("string"))
     request = (
-        F.when(c("event_type") == "click", text(c("page"), ".do?sp=", c("sp"), "&link=", c("link"), "&", att, "=", c("oid")))
-        .when(c("event_type") == "purchase", text(c("page"), ".do?link=", c("link"), "&", att, "=", c("oid")))
+        F.when(c("event_type") == "click", text(c("page"), ".do?sp=", c("sp"), "&link=", c("link"), "&", att, "=", oid))
+        .when(c("event_type") == "purchase", text(c("page"), ".do?link=", c("link"), "&", att, "=", oid))
         .when(c("event_type") == "view", text(c("page"), ".do"))
         .when((c("event_type") == "error") & (c("m") == 7), F.lit("login.do"))
         .when(c("event_type") == "error", text(c("page"), ".do?sp=", c("sp")))
@@ -92,12 +86,15 @@ def access_lines(spark: SparkSession, sf_dir: str, until: str | None = None) ->
     tail = F.when(c("event_type") == "signup", F.lit("302 -")).otherwise(text("200 512 ", c("session")))
     stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
     line = text("10.0.0.", c("user_id"), " - - [", stamp, ' +0000] "GET /app/', request, ' HTTP/1.1" ', tail)
-    return clicks(spark, sf_dir, until).select(line.alias("value"))
+    no_date = text('10.0.0.1 - - [31/Feb/2024:10:00:00 +0000] "GET /app/', c("page"), '.do HTTP/1.1" 200 512 ', c("session"))
+    more = F.when((c("event_type") == "error") & (c("m") == 8), no_date)
+    return clicks(spark, sf_dir, part).select(F.explode(F.array_compact(F.array(line, more))).alias("value"))
 
 
-def runtime_lines(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+def runtime_lines(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
     c = F.col
-    head = text(F.date_format("ts", "dd MMM yyyy HH:mm:ss"), ",123  INFO [h1]  (com.x.Unit) - [", c("session"), "]")
+    after_date = text(",123  INFO [h1]  (com.x.Unit) - [", c("session"), "]")
+    head = F.concat(F.date_format("ts", "dd MMM yyyy HH:mm:ss"), after_date)
     miu = F.when(c("k") % 3 == 0, "[m1]").otherwise("")
     unit = text(miu, "[", c("page"), "][dau", c("e"), "]")
     shape = c("k") % 8
@@ -107,13 +104,17 @@ def runtime_lines(spark: SparkSession, sf_dir: str, until: str | None = None) ->
         .when(shape == 6, text("[", c("page"), "]no unit"))
         .otherwise(text(unit, "[step][t-1] shown {oid=[", c("oid") + 1, ", ", c("oid") + 2, "]}"))
     )
-    broken = (c("event_type") == "error") & (c("m") == 7)
-    line = F.when(broken, text("java.lang.IllegalStateException: ", c("k"))).otherwise(F.concat(head, rest))
-    return (
-        clicks(spark, sf_dir, until)
-        .where(c("event_type").isin("view", "click") | broken)
-        .select(line.alias("value"))
+    def error(m: int) -> Column:
+        return (c("event_type") == "error") & (c("m") == m)
+
+    plain_unit = text("[", c("page"), "][dau", c("e"), "][step][t-1] shown {oid=[")
+    line = (
+        F.when(error(7), text("java.lang.IllegalStateException: ", c("k")))
+        .when(error(8), text("31 Feb 2024 10:00:00", after_date, plain_unit, "1, 2]}"))
+        .when(error(6), text(head, plain_unit, "x, ", c("oid") + 1, "]}"))
+        .when(c("event_type").isin("view", "click"), F.concat(head, rest))
     )
+    return clicks(spark, sf_dir, part).select(line.alias("value")).where(F.col("value").isNotNull())
 
 
 def in_turn(number: Column, tags: tuple[str, ...]) -> Column:
@@ -124,9 +125,11 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the XML source gives them, with the element's name as ``kind``; so do the next ones."""
     plain, master = (F.lit(tag).alias("kind") for tag in models.PAGE_TAGS)
     s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    # Some pages have two names.
+    names = F.array_compact(F.array("s_name", F.when(s % 10 == 3, text("A ", F.col("s_name")))))
     return (
         table(spark, sf_dir, "supplier")
-        .select(plain, text("sv1#area", s % 7, "#page", s).alias("_id"), F.col("s_name").alias("_name"))
+        .select(plain, text("sv1#area", s % 7, "#page", s).alias("_id"), F.explode(names).alias("_name"))
         .union(table(spark, sf_dir, "nation").select(master, text("sv1#mpage", n), "n_name"))
     )
 
@@ -179,13 +182,20 @@ def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     part, customer, order = (attributes(columns) for columns in kinds.values())
-    return table(spark, sf_dir, "supplier").select(
-        F.lit(models.ENTITY_TAG).alias("kind"),
-        text("dm#ent", s).alias("_id"),
+    kind, entity = F.lit(models.ENTITY_TAG).alias("kind"), text("dm#ent", s).alias("_id")
+    suppliers = table(spark, sf_dir, "supplier")
+    each = suppliers.select(
+        kind,
+        entity,
         text("Kind ", s).alias("_name"),
         in_turn(s, tuple(kinds)).alias("_table"),
         F.when(s % 3 == 0, part).when(s % 3 == 1, customer).otherwise(order).alias("Attribute"),
     )
+    # Some entities have a column in two tables, some have two names.
+    name_only = attributes(kinds["CUSTOMER"][:1])
+    two_tables = suppliers.where(s % 6 == 0).select(kind, entity, text("Kind ", s), F.lit("CUSTOMER"), name_only)
+    two_names = suppliers.where(s % 6 == 1).select(kind, entity, text("Other ", s), F.lit("CUSTOMER"), customer)
+    return each.union(two_tables).union(two_names)
 
 
 def dump_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -195,13 +205,16 @@ def dump_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "CUSTOMER": ("customer", {"OID": "c_custkey", "NAME": "c_name", "CATEGORY": "c_mktsegment"}),
         "ORDER": ("orders", {"OID": "o_orderkey", "TITLE": "o_orderpriority", "STATUS": "o_orderstatus"}),
     }
-    return {
+    tables = {
         name: table(spark, sf_dir, source).select(
             *[F.col(field).cast("string").alias(column) for column, field in columns.items()],
             F.lit(name).alias(dumps.TABLE),
         )
         for name, (source, columns) in sources.items()
     }
+    # Some objects are there twice, with two names.
+    again = tables["PART"].where("OID % 10 = 1").withColumn("NAME", text("A ", F.col("NAME")))
+    return tables | {"PART": tables["PART"].union(again)}
 
 
 class TableSite(Site):
@@ -258,16 +271,28 @@ def write_dumps(spark: SparkSession, sf_dir: str, folder: str) -> None:
 
 def write_files(spark: SparkSession, sf_dir: str, folder: str) -> Settings:
     """All inputs as files below ``folder``, the way a site delivers them."""
+    settings = write_site(spark, sf_dir, folder)
+    for name, part in (("front", "event_id % 2 = 0"), ("back", "event_id % 2 = 1")):
+        deliver(spark, sf_dir, folder, name, part, part)
+    return settings
+
+
+def write_site(spark: SparkSession, sf_dir: str, folder: str) -> Settings:
+    """Design model and dumps as files, and where to look for logs: those of two servers."""
     write_model(spark, sf_dir, folder)
     write_dumps(spark, sf_dir, f"{folder}/dumps")
-    access_lines(spark, sf_dir).write.text(f"{folder}/access")
-    runtime_lines(spark, sf_dir).write.text(f"{folder}/runtime")
     return Settings(
         web_model=(f"{folder}/web/*",),
         data_model=(f"{folder}/data",),
         dumps=f"{folder}/dumps",
-        access_logs=(f"{folder}/access",),
-        runtime_logs=(f"{folder}/runtime",),
+        access_logs=(f"{folder}/access/front*", f"{folder}/access/back*", f"{folder}/access/none*"),
+        runtime_logs=(f"{folder}/runtime/front*", f"{folder}/runtime/back*"),
         output=f"{folder}/output",
         dump_tables=DUMPS,
     )
+
+
+def deliver(spark: SparkSession, sf_dir: str, folder: str, name: str, access: str, runtime: str) -> None:
+    """Log files of a server, with the lines of the events for which the conditions hold."""
+    access_lines(spark, sf_dir, access).write.text(f"{folder}/access/{name}")
+    runtime_lines(spark, sf_dir, runtime).write.text(f"{folder}/runtime/{name}")

@@ -6,7 +6,27 @@ not from text, so these statements share no parsing with the library.
 
 from __future__ import annotations
 
-from footfall.sources.models import DISPLAY_TAGS, ENTITY_TAGS, LINK_TAGS, UNIT_TAGS
+# Fixed values, as FIXTURES.md has them: element names of the design model.
+LINK_TAGS = ("Link", "OKLink", "KOLink")
+DISPLAY_TAGS = (
+    "PowerIndexUnit",
+    "IndexUnit",
+    "HierarchicalIndexUnit",
+    "DataUnit",
+    "MultiDataUnit",
+    "EventCalendarUnit",
+    "MultiChoiceIndexUnit",
+)
+ENTITY_TAGS = ("SelectorUnit", "EntryUnit", "MultiEntryUnit")
+UNIT_TAGS = (
+    *DISPLAY_TAGS,
+    *ENTITY_TAGS,
+    "ModuleInstanceUnit",
+    "MultiMessageUnit",
+    "NoOpContentUnit",
+    "TimeUnit",
+    "GetUnit",
+)
 
 
 def _list(texts) -> str:
@@ -16,7 +36,7 @@ def _list(texts) -> str:
 CTES = {
     "clicks": """
         SELECT date_trunc('second', ts) AS time, user_id AS u, event_type AS et, k, k % 10 AS m,
-               's' || user_id || 'd' || day(ts) AS session,
+               CASE WHEN user_id % 25 = 24 THEN '-' ELSE 's' || user_id || 'd' || day(ts) END AS session,
                CASE WHEN event_type = 'view' AND k % 10 = 3 THEN 'mpage' || (user_id % 28)
                     ELSE 'page' || ((3 * user_id + k % 10 % 4) // 4) END AS page,
                'page' || ((3 * user_id + k % 10 % 3) // 4) AS sp,
@@ -32,7 +52,7 @@ CTES = {
                CASE shape WHEN 1 THEN sp WHEN 4 THEN sp WHEN 2 THEN page END AS source_page_id,
                CASE WHEN shape <= 2 THEN link END AS clicked_link_id,
                CASE WHEN shape <= 2 THEN 'att' || (10 * e + m % 4) END AS clicked_attribute_id,
-               CASE WHEN shape <= 2 THEN oid ELSE 0 END AS clicked_oid
+               CASE WHEN shape > 2 THEN 0 WHEN k <> 97 THEN oid END AS clicked_oid
         FROM (SELECT *, CASE et WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3
                                 WHEN 'signup' THEN 5 ELSE 4 END AS shape
               FROM lines WHERE et <> 'error' OR m <> 7)
@@ -47,11 +67,19 @@ CTES = {
                CASE WHEN shape = 1 THEN [oid + 1, oid + 2] END AS oids
         FROM (SELECT *, CASE k % 8 WHEN 0 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 4 ELSE 1 END AS shape
               FROM lines WHERE et IN ('view', 'click'))
+        UNION ALL
+        SELECT 1, time, 'INFO', 'h1', 'com.x.Unit', session, NULL, page, 'dau' || e, 't-1',
+               ' shown {oid=[x, ' || (oid + 1) || ']}', [NULL, oid + 1]
+        FROM lines WHERE et = 'error' AND m = 6
     """,
     "site_pages": """
         SELECT 'page' || s_suppkey AS page_id, s_name AS page_name, 'Page' AS kind FROM supplier
+        UNION ALL SELECT 'page' || s_suppkey, 'A ' || s_name, 'Page' FROM supplier WHERE s_suppkey % 10 = 3
         UNION ALL SELECT 'mpage' || n_nationkey, n_name, 'MasterPage' FROM nation
     """,
+    "named_pages": """
+        SELECT page_id, min(page_name) AS page_name FROM site_pages GROUP BY page_id
+    """,
     "site_links": f"""
         SELECT 'ln' || p_partkey AS link_id, p_name AS link_name, 'dau' || (p_partkey // 20) AS target_unit,
                ([{_list(LINK_TAGS)}])[p_partkey % {len(LINK_TAGS)} + 1] AS kind
@@ -73,9 +101,16 @@ CTES = {
                                    (1, 'CUSTOMER', 0, 'NAME'), (1, 'CUSTOMER', 1, 'CATEGORY'),
                                    (2, 'ORDER', 0, 'TITLE'), (2, 'ORDER', 1, 'STATUS')) AS t(i, table_db, j, col)
              ON s_suppkey % 3 = i
+        UNION ALL
+        SELECT 'dm#ent' || s_suppkey, 'CUSTOMER', 'Kind ' || s_suppkey, 'att' || (10 * s_suppkey), 'name', 'NAME'
+        FROM supplier WHERE s_suppkey % 6 = 0
+        UNION ALL
+        SELECT 'dm#ent' || s_suppkey, 'CUSTOMER', 'Other ' || s_suppkey, 'att' || (10 * s_suppkey + j), lower(col), col
+        FROM supplier, (VALUES (0, 'NAME'), (1, 'CATEGORY')) AS t(j, col) WHERE s_suppkey % 6 = 1
     """,
     "stored": """
-        SELECT 'PART' AS value_table, 'NAME' AS value_column, p_partkey AS oid, p_name AS value FROM part
+        SELECT 'PART' AS value_table, 'NAME' AS value_column, p_partkey AS oid,
+               CASE WHEN p_partkey % 10 = 1 THEN least(p_name, 'A ' || p_name) ELSE p_name END AS value FROM part
         UNION ALL SELECT 'PART', 'CATEGORY', p_partkey, p_type FROM part
         UNION ALL SELECT 'PART', 'BRAND', p_partkey, p_brand FROM part
         UNION ALL SELECT 'CUSTOMER', 'NAME', c_custkey, c_name FROM customer
@@ -84,7 +119,7 @@ CTES = {
         UNION ALL SELECT 'ORDER', 'STATUS', o_orderkey, o_orderstatus FROM orders
     """,
     "combined": """
-        SELECT u.unit_id, u.unit_name, a.*
+        SELECT DISTINCT u.unit_id, u.unit_name, a.*
         FROM site_units u JOIN site_attributes a
              ON u.entity_id = a.entity_id AND u.displayed_attribute = a.attribute_id
     """,
@@ -95,14 +130,16 @@ CTES = {
         SELECT DISTINCT * EXCLUDE (shape) FROM access
     """,
     "known_hits": """
-        SELECT hits.*, page_name AS requested_page_name FROM hits JOIN site_pages ON requested_page_id = page_id
+        SELECT hits.*, page_name AS requested_page_name FROM hits JOIN named_pages ON requested_page_id = page_id
     """,
     "entity_hits": """
         SELECT h.*, entity_id AS clicked_entity_id, entity_name AS clicked_entity_name
-        FROM known_hits h LEFT JOIN site_attributes ON clicked_attribute_id = attribute_id
+        FROM known_hits h
+        LEFT JOIN (SELECT DISTINCT attribute_id, entity_id, entity_name FROM site_attributes)
+             ON clicked_attribute_id = attribute_id
     """,
     "source_hits": """
-        SELECT h.*, page_name AS source_page_name FROM entity_hits h LEFT JOIN site_pages ON source_page_id = page_id
+        SELECT h.*, page_name AS source_page_name FROM entity_hits h LEFT JOIN named_pages ON source_page_id = page_id
     """,
     "column_hits": """
         SELECT h.*, table_db AS clicked_table, attribute_database_column AS clicked_column
@@ -119,10 +156,12 @@ CTES = {
              ON clicked_oid <> 0 AND clicked_oid = oid AND clicked_table = value_table AND clicked_column = value_column
     """,
     "shown": """
-        SELECT DISTINCT * EXCLUDE (shape, oids, page_id), page_id AS displayed_page_id, unnest(oids) AS oid FROM runtime
+        SELECT DISTINCT * FROM (
+            SELECT * EXCLUDE (shape, oids, page_id), page_id AS displayed_page_id, unnest(oids) AS oid FROM runtime)
+        WHERE oid IS NOT NULL
     """,
     "page_shown": """
-        SELECT shown.*, page_name AS displayed_page_name FROM shown JOIN site_pages ON displayed_page_id = page_id
+        SELECT shown.*, page_name AS displayed_page_name FROM shown JOIN named_pages ON displayed_page_id = page_id
     """,
     "unit_shown": """
         SELECT p.*, unit_name AS displayed_unit_name, entity_id AS displayed_entity_id,
@@ -159,7 +198,7 @@ CTES = {
     """,
     "visits": """
         SELECT requested_page_id || ': ' || requested_page_name AS unit_id,
-               count(DISTINCT (time, session_id)) / (SELECT count(DISTINCT session_id) FROM enriched)
+               count(DISTINCT (time, session_id)) / (SELECT count(*) FROM (SELECT DISTINCT session_id FROM enriched))
                    AS average_visits_per_session
         FROM enriched GROUP BY requested_page_id, requested_page_name
     """,
@@ -204,14 +243,14 @@ CTES = {
     """,
     "shown_values": """
         SELECT unit_id, displayed_unit_name, displayed_oid_value AS value,
-               count(DISTINCT (time, session_id, displayed_attribute_name))::INT AS n
+               count(DISTINCT (time, session_id, displayed_attribute_name))::BIGINT AS n
         FROM enriched
         WHERE displayed_oid_value <> 'NULL' AND displayed_attribute_name IN ('name', 'title', 'category')
         GROUP BY ALL
     """,
     "clicked_values": """
         SELECT clicked_link_id, clicked_link_name, clicked_oid_value AS value,
-               count(DISTINCT (time, session_id, clicked_type_oid))::INT AS n
+               count(DISTINCT (time, session_id, clicked_type_oid))::BIGINT AS n
         FROM enriched
         WHERE clicked_oid_value <> 'NULL' AND clicked_link_name IS NOT NULL
               AND clicked_type_oid IN ('NAME', 'TITLE', 'CATEGORY')
@@ -229,16 +268,16 @@ CTES = {
     """,
     "report": """
         SELECT unit_id, residence_time, average_visits_per_session, bounce_rate, entrance_rate,
-               round(o.link_out, 9) AS link_out, round(i.link_in, 9) AS link_in,
+               round(o.link_out, 9)::DOUBLE AS link_out, round(i.link_in, 9)::DOUBLE AS link_in,
                array_to_string(c.entries, '|') AS top10_clicked_instances,
                array_to_string(d.entries, '|') AS top10_displayed_instances
         FROM residence
         FULL JOIN visits USING (unit_id)
         FULL JOIN bounce USING (unit_id)
         FULL JOIN entrance USING (unit_id)
-        FULL JOIN (SELECT unit_id, sum(link_out) AS link_out FROM link_out WHERE unit_id IS NOT NULL GROUP BY 1) o
+        FULL JOIN (SELECT unit_id, sum(link_out::DECIMAL(28,12)) AS link_out FROM link_out WHERE unit_id IS NOT NULL GROUP BY 1) o
              USING (unit_id)
-        FULL JOIN (SELECT unit_id, sum(link_in) AS link_in FROM link_in WHERE unit_id IS NOT NULL GROUP BY 1) i
+        FULL JOIN (SELECT unit_id, sum(link_in::DECIMAL(28,12)) AS link_in FROM link_in WHERE unit_id IS NOT NULL GROUP BY 1) i
              USING (unit_id)
         FULL JOIN top_clicked c USING (unit_id)
         FULL JOIN top_shown d USING (unit_id)
@@ -256,6 +295,8 @@ SELECTS = {
     "db_dump_scan": """
         SELECT 'PART' AS table_name, p_partkey::VARCHAR AS oid, p_name AS name, p_type AS category, p_brand AS brand,
                NULL::VARCHAR AS title, NULL::VARCHAR AS status FROM part
+        UNION ALL SELECT 'PART', p_partkey::VARCHAR, 'A ' || p_name, p_type, p_brand, NULL, NULL
+        FROM part WHERE p_partkey % 10 = 1
         UNION ALL SELECT 'CUSTOMER', c_custkey::VARCHAR, c_name, c_mktsegment, NULL, NULL, NULL FROM customer
         UNION ALL SELECT 'ORDER', o_orderkey::VARCHAR, NULL, NULL, NULL, o_orderpriority, o_orderstatus FROM orders
     """,
@@ -266,13 +307,43 @@ SELECTS = {
     """,
     "access_log_parse": f"SELECT {TIMED} FROM access",
     "access_log_shapes": """
-        SELECT shape, count(*) AS lines FROM access GROUP BY shape
-        UNION ALL SELECT 0, count(*) FROM lines WHERE et = 'error' AND m = 7 HAVING count(*) > 0
+        SELECT shape, count(*) AS lines
+        FROM (SELECT shape FROM access
+              UNION ALL SELECT 3 FROM lines WHERE et = 'error' AND m = 8
+              UNION ALL SELECT 0 FROM lines WHERE et = 'error' AND m = 7)
+        GROUP BY shape
+    """,
+    "runtime_log_shapes": """
+        SELECT shape, count(*) AS lines
+        FROM (SELECT shape FROM runtime
+              UNION ALL SELECT 1 FROM lines WHERE et = 'error' AND m = 8
+              UNION ALL SELECT 0 FROM lines WHERE et = 'error' AND m = 7)
+        GROUP BY shape
+    """,
+    "rejected_lines": """
+        SELECT 'access' AS log, shape, count(*) AS lines, count(*) FILTER (kind = 'date') AS bad_dates,
+               count(*) FILTER (kind = 'object') AS bad_objects
+        FROM (SELECT shape, CASE WHEN clicked_oid IS NULL THEN 'object' END AS kind FROM access
+              UNION ALL SELECT 3, 'date' FROM lines WHERE et = 'error' AND m = 8
+              UNION ALL SELECT 0, NULL FROM lines WHERE et = 'error' AND m = 7)
+        GROUP BY shape
+        UNION ALL
+        SELECT 'runtime', shape, count(*), count(*) FILTER (kind = 'date'), count(*) FILTER (kind = 'object')
+        FROM (SELECT shape, CASE WHEN message LIKE '%[x, %' THEN 'object' END AS kind FROM runtime
+              UNION ALL SELECT 1, 'date' FROM lines WHERE et = 'error' AND m = 8
+              UNION ALL SELECT 0, NULL FROM lines WHERE et = 'error' AND m = 7)
+        GROUP BY shape
+    """,
+    "log_files_scan": f"""
+        SELECT 'access' AS log, shape, {TIME}, session_id, requested_page_id AS page_id FROM access
+        UNION ALL SELECT 'runtime', shape, strftime(time, '%Y-%m-%d %H:%M:%S'), session_id, page_id FROM runtime
     """,
     "runtime_log_parse": f"SELECT * REPLACE ({TIME}, array_to_string(oids, ',') AS oids) FROM runtime",
     "runtime_oids": f"""
-        SELECT * EXCLUDE (shape, oids, page_id) REPLACE ({TIME}), page_id AS displayed_page_id, unnest(oids) AS oid
-        FROM runtime
+        SELECT * FROM (
+            SELECT * EXCLUDE (shape, oids, page_id) REPLACE ({TIME}), page_id AS displayed_page_id, unnest(oids) AS oid
+            FROM runtime)
+        WHERE oid IS NOT NULL
     """,
     "hits_requested_page": f"SELECT {TIMED} FROM known_hits",
     "hits_clicked_entity": f"SELECT {TIMED} FROM entity_hits",
@@ -299,12 +370,11 @@ SELECTS = {
     "enriched_roundtrip": f"SELECT {TIMED} FROM enriched",
     "incremental_cutoff": """
         SELECT batch, count(*) AS rows, strftime(min(time), '%Y-%m-%d %H:%M:%S') AS first_time,
-               strftime(max(time), '%Y-%m-%d %H:%M:%S') AS last_time
-        FROM (SELECT time, CASE WHEN time < TIMESTAMP '2024-01-16' THEN 0 ELSE
-                     (SELECT epoch(max(time))::BIGINT + 1 FROM enriched WHERE time < TIMESTAMP '2024-01-16') END AS batch
-              FROM enriched)
+               strftime(max(time), '%Y-%m-%d %H:%M:%S') AS last_time, 1::BIGINT AS moments
+        FROM (SELECT time, CASE WHEN time < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END::BIGINT AS batch FROM enriched)
         GROUP BY batch
     """,
+    "late_arrival": f"SELECT {TIMED} FROM enriched",
     "bounce_rate": "SELECT * FROM bounce",
     "entrance_rate": "SELECT * FROM entrance",
     "average_visits": "SELECT * FROM visits",
@@ -329,14 +399,14 @@ SELECTS = {
     """,
     "displayed_counts_merged": """
         SELECT unit_id, displayed_unit_name, displayed_oid_value AS value,
-               count(DISTINCT (time, displayed_attribute_name))::INT AS n
+               count(DISTINCT (time, displayed_attribute_name))::BIGINT AS n
         FROM enriched
         WHERE displayed_oid_value <> 'NULL' AND displayed_attribute_name IN ('name', 'title', 'category')
         GROUP BY ALL
     """,
     "clicked_counts_merged": """
         SELECT clicked_link_id, clicked_link_name, clicked_oid_value AS value,
-               count(DISTINCT (time, clicked_type_oid))::INT AS n
+               count(DISTINCT (time, clicked_type_oid))::BIGINT AS n
         FROM enriched
         WHERE clicked_oid_value <> 'NULL' AND clicked_link_name IS NOT NULL
               AND clicked_type_oid IN ('NAME', 'TITLE', 'CATEGORY')

@@ -8,17 +8,18 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, TimestampType
 
-from footfall.functions.accesslog import count_shapes, parse_access_log
+from footfall.functions.accesslog import parse_access_log
 from footfall.functions.runtimelog import parse_runtime_log
 from footfall.functions.text import last_segment
 from footfall.operators import enrich, instances, links, navigation, sessions, values
 from footfall.operators.combined import all_reports, combined_analysis
+from footfall.operators.lines import count_lines, count_shapes
 from footfall.operators.models import combined_model
 from footfall.plans import pipeline
 from footfall.sinks import reports as sinks
-from footfall.sinks.enriched import write_batch
+from footfall.sinks.enriched import write_enriched
 from footfall.sources import dumps, logs, models
-from footfall.sources.state import fresh
+from footfall.sources.state import usable
 from testbed import inputs
 
 ARRIVAL = "2024-01-16"
@@ -38,11 +39,11 @@ class Data:
 
     @cached_property
     def access(self) -> DataFrame:
-        return fresh(parse_access_log(inputs.access_lines(self.spark, self.sf_dir)), 0)
+        return usable(parse_access_log(inputs.access_lines(self.spark, self.sf_dir)))
 
     @cached_property
     def runtime(self) -> DataFrame:
-        return fresh(parse_runtime_log(inputs.runtime_lines(self.spark, self.sf_dir)), 0)
+        return usable(parse_runtime_log(inputs.runtime_lines(self.spark, self.sf_dir)))
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -149,39 +150,70 @@ def oid_values_joined(d: Data) -> DataFrame:
 
 
 def combined(d: Data) -> DataFrame:
-    """Six of the eight reports share one stored extract of the log."""
-    visits = sinks.write_parquet(d.link_log.select(*pipeline.VISIT).distinct(), f"{d.scratch}/visits")
-    report = combined_analysis(all_reports(visits, d.clicked_log, d.shown_log))
-    return report.withColumns({c: F.round(c, 9) for c in ("link_out", "link_in")})
+    """The reports on pages and links share one stored extract of the log, those on values another."""
+    hits = sinks.write_parquet(enrich.distinct_hits(d.access), f"{d.scratch}/hits")
+    shown = sinks.write_parquet(d.runtime, f"{d.scratch}/shown")
+    linked = enrich.with_clicked_link(enrich.with_requested_page(hits, d.site), d.site)
+    visits = sinks.write_parquet(linked.select(*pipeline.VISIT).distinct(), f"{d.scratch}/visits")
+    clicked, displayed = enrich.valued_hits(hits, d.site), enrich.shown_on_hits(hits, shown, d.site)
+    return combined_analysis(all_reports(visits, clicked, displayed))
 
 
 def enriched_roundtrip(d: Data) -> DataFrame:
-    """Writes the batch twice, as after a failed run; the second time replaces the first."""
+    """Writes the days twice, as after a failed run; the second time replaces the first."""
     for _ in range(2):
-        write_batch(d.enriched, f"{d.scratch}/enriched", 0)
-    return logs.read_enriched(d.spark, f"{d.scratch}/enriched").drop("ingested_at", "batch", "event_date")
+        write_enriched(d.enriched, f"{d.scratch}/enriched")
+    return logs.read_enriched(d.spark, f"{d.scratch}/enriched").drop(*enrich.STAMPS)
 
 
-def incremental_cutoff(d: Data) -> DataFrame:
-    """The logs arrive twice, the second time with all that came since; each event is stored once."""
-    settings = inputs.write_files(d.spark, d.sf_dir, d.scratch)
+def log_files_scan(d: Data) -> DataFrame:
+    """Both logs read from files of two servers."""
+    inputs.deliver(d.spark, d.sf_dir, d.scratch, "front", "event_id % 2 = 0", "event_id % 2 = 1")
+    inputs.deliver(d.spark, d.sf_dir, d.scratch, "back", "event_id % 2 = 1", "event_id % 2 = 0")
+
+    def lines(log):
+        return logs.read_lines(d.spark, [f"{d.scratch}/{log}/{server}*" for server in ("front", "back", "none")])
+
+    access, runtime = usable(parse_access_log(lines("access"))), usable(parse_runtime_log(lines("runtime")))
+    return access.select(
+        F.lit("access").alias("log"), "shape", "time", "session_id", F.col("requested_page_id").alias("page_id")
+    ).union(runtime.select(F.lit("runtime"), "shape", "time", "session_id", "page_id"))
+
+
+def arrivals(d: Data, *parts: tuple[str, str, str]) -> DataFrame:
+    """The enriched log after a run for each delivery (server's name, condition on either log's events)."""
+    settings = inputs.write_site(d.spark, d.sf_dir, d.scratch)
     site = pipeline.FileSite(d.spark, settings)
-    for until in (ARRIVAL, None):
-        pipeline.take_in(
-            inputs.access_lines(d.spark, d.sf_dir, until),
-            inputs.runtime_lines(d.spark, d.sf_dir, until),
-            site,
-            settings,
-        )
-    return (
-        logs.read_enriched(d.spark, settings.enriched)
-        .groupBy("batch")
-        .agg(
-            F.count(F.lit(1)).alias("rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
-        )
+    for name, access, runtime in parts:
+        inputs.deliver(d.spark, d.sf_dir, d.scratch, name, access, runtime)
+        pipeline.take_in(d.spark, site, settings)
+    return logs.read_enriched(d.spark, settings.enriched)
+
+
+def incremental_cutoff(d: Data) -> DataFrame:
+    """The logs arrive in two parts and once more as they were; each event is stored once."""
+    before, after = f"ts < '{ARRIVAL}'", f"ts >= '{ARRIVAL}'"
+    log = arrivals(d, ("front1", before, before), ("front2", after, after), ("back", before, before))
+    return log.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"),
+        F.count_distinct("ingested_at").alias("moments"),
     )
 
 
+def late_arrival(d: Data) -> DataFrame:
+    """The later half of the hits comes first, less the odd ones, and what was shown comes a run after all hits."""
+    late = f"ts >= '{ARRIVAL}' and event_id % 2 = 0"
+    log = arrivals(d, ("back", late, "false"), ("front1", f"not ({late})", "false"), ("front2", "false", "true"))
+    return log.drop(*enrich.STAMPS)
+
+
+def rejected_lines(d: Data) -> DataFrame:
+    access, runtime = inputs.access_lines(d.spark, d.sf_dir), inputs.runtime_lines(d.spark, d.sf_dir)
+    return count_lines(parse_access_log(access), "access").union(count_lines(parse_runtime_log(runtime), "runtime"))
+
+
 def sink_parquet(d: Data) -> DataFrame:
     return sinks.write_parquet(sessions.average_visits(d.page_log), f"{d.scratch}/report")
 
@@ -208,6 +240,9 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "last_segment": segments,
     "access_log_parse": lambda d: d.access,
     "access_log_shapes": lambda d: count_shapes(parse_access_log(inputs.access_lines(d.spark, d.sf_dir))),
+    "runtime_log_shapes": lambda d: count_shapes(parse_runtime_log(inputs.runtime_lines(d.spark, d.sf_dir))),
+    "rejected_lines": rejected_lines,
+    "log_files_scan": log_files_scan,
     "runtime_log_parse": lambda d: d.runtime,
     "runtime_oids": lambda d: enrich.shown_objects(d.runtime),
     "hits_requested_page": lambda d: d.hits,
@@ -222,6 +257,7 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "enriched_log": lambda d: d.enriched,
     "enriched_roundtrip": enriched_roundtrip,
     "incremental_cutoff": incremental_cutoff,
+    "late_arrival": late_arrival,
     "bounce_rate": lambda d: sessions.bounce_rate(d.page_log),
     "entrance_rate": lambda d: sessions.entrance_rate(d.page_log),
     "average_visits": lambda d: sessions.average_visits(d.page_log),

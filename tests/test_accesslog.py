@@ -1,8 +1,9 @@
 from datetime import datetime
 
 import pytest
-from footfall.functions.accesslog import count_shapes, parse_access_log
-from footfall.sources.state import fresh
+from footfall.functions.accesslog import parse_access_log
+from footfall.operators.lines import count_lines, count_shapes
+from footfall.sources.state import usable
 
 HEAD = '10.0.0.1 - - [01/Jan/2024:00:00:07 +0000] "GET /app/'
 TAIL = ' HTTP/1.1" 200 512 s1'
@@ -66,14 +67,9 @@ def test_impossible_day_is_no_time_and_is_not_taken_in(lines):
     log = lines(HEAD.replace("01/Jan", "32/Jan") + "page9.do" + TAIL, HEAD.replace("01/Jan", "1/Jan") + "page9.do" + TAIL)
     parsed = parse_access_log(log)
     assert sorted(str(r.time) for r in parsed.collect()) == ["2024-01-01 00:00:07", "None"]
-    assert fresh(parsed, 0).count() == 1
-
-
-def test_cutoff_keeps_its_own_second(lines):
-    parsed = parse_access_log(lines(HEAD + "page9.do" + TAIL))
-    at = 1704067207
-    assert fresh(parsed, at).count() == 1
-    assert fresh(parsed, at + 1).count() == 0
+    assert usable(parsed).count() == 1
+    counted = {r.shape: (r.lines, r.bad_dates) for r in count_lines(parsed, "access").collect()}
+    assert counted == {3: (2, 1)}
 
 
 def test_separator_characters_in_a_line_do_no_harm(lines):

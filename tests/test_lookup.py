@@ -1,9 +1,9 @@
 import pytest
 from footfall.config import Limits
-from footfall.operators.lookup import Lookup, salted_join
+from footfall.operators.lookup import Lookup, Sizes, shuffled_join
 from pyspark.sql import functions as F
 
-NONE_SMALL = Limits(broadcast_rows=0, salts=8)
+NONE_SMALL = Limits(broadcast_rows=0)
 
 
 @pytest.fixture(scope="module")
@@ -43,18 +43,36 @@ def test_renamed_lookup_keeps_its_measure(names):
     assert not other.is_small and "is_small" in vars(lookup)
 
 
-def test_a_hot_key_and_null_keys_are_spread(spark, facts, names):
-    """No shuffle partition of the salted side holds nearly all rows of the hot key."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
+def test_relations_are_measured_in_one_pass(spark, names):
+    sizes = Sizes(lambda: {"names": names, "none": names.limit(0)})
+    assert sizes.measured == {"names": (27, 2 * len("hotH") + sum(2 * len(f"k{i}") for i in range(0, 50, 2))), "none": (0, 0)}
+    assert sizes.within(Limits(), "names") and sizes.within(NONE_SMALL, "none") and not sizes.within(NONE_SMALL)
+
+
+def test_a_hot_key_is_split_also_after_a_grouping_by_it(spark, facts, names):
+    """Both sides have a shuffle of the join's own, and null keys are spread."""
+    grouped = names.groupBy("key").agg(F.min("name").alias("name"))
+    values = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
-        joined = salted_join(facts, names, ["key"], "left", 32)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p"), "key").count()
-        largest = {r.key: r.most for r in sizes.groupBy("key").agg(F.max("count").alias("most")).collect()}
+        wide = facts.repartition(8).withColumn("text", F.sha2(F.col("n").cast("string"), 256))
+        joined = shuffled_join(wide, grouped, ["key"], "left").withColumn("p", F.spark_partition_id())
+        got = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert largest["hot"] < 2000 / 4
-    assert largest[None] < 1000 / 8
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert len(got) == 3000 and {r.name for r in got if r.key == "hot"} == {"H"}
+    places = {key: len({r.p for r in got if r.key == key}) for key in ("hot", None)}
+    assert places["hot"] > 1 and places[None] > 8
