@@ -24,6 +24,7 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("output", help="folder for the enriched log, the reports and the state")
     parser.add_argument("--tables", nargs="+", help="dumped tables, if not the usual ones")
     parser.add_argument("--merge-sessions", action="store_true", help="count equal events of one second once")
+    parser.add_argument("--single-file", action="store_true", help="write each CSV and JSON report as one file")
     parser.add_argument("--reports-only", action="store_true", help="take in no logs")
     return parser.parse_args(words)
 
@@ -39,6 +40,7 @@ def settings_of(given: argparse.Namespace) -> Settings:
         given.runtime_logs,
         given.output,
         merge_sessions=given.merge_sessions,
+        single_file=given.single_file,
         **more,
     )
 

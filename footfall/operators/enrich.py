@@ -30,8 +30,8 @@ EVENT_KEYS = ("time", "session_id", "requested_page_id")
 class Site:
     """The design model and the dumped values of one site, and the lookups made from them.
 
-    A subclass says where the relations come from. They are read and measured in two groups, pages
-    with links and the rest, when a query needs one of a group.
+    A subclass says where the relations come from. They are measured in one pass, what components
+    display in another, when a query needs them.
     """
 
     pages: DataFrame
@@ -50,25 +50,31 @@ class Site:
         return models.combined_rows(self.units, self.attributes)
 
     @cached_property
-    def navigation_sizes(self) -> Sizes:
-        return Sizes(lambda: {"pages": self.pages, "links": self.links})
-
-    @cached_property
-    def content_sizes(self) -> Sizes:
+    def sizes(self) -> Sizes:
         return Sizes(
             lambda: {
+                "pages": self.pages,
+                "links": self.links,
                 "attributes": self.attributes,
-                "combined": self.combined,
-                "several": models.columns_of_several_tables(self.combined),
+                "several": models.columns_of_several_tables(self.attributes),
             }
         )
 
-    def _small(self, sizes: str, name: str) -> Callable[[], bool]:
-        return lambda: getattr(self, sizes).within(self.limits, name)
+    @cached_property
+    def displayed(self) -> dict[values.Name | None, tuple[int, int]]:
+        """Rows and bytes of the combined model by what they display."""
+        return values.displayed_columns(self.dumps, self.combined)
+
+    def _small(self, name: str) -> Callable[[], bool]:
+        return lambda: self.sizes.within(self.limits, name)
+
+    def _small_model(self) -> bool:
+        rows, total = (sum(size[i] for size in self.displayed.values()) for i in (0, 1))
+        return rows <= self.limits.broadcast_rows and total <= self.limits.broadcast_bytes
 
     @cached_property
     def known_pages(self) -> Lookup:
-        return models.page_lookup(self.pages, self.limits, self._small("navigation_sizes", "pages"))
+        return models.page_lookup(self.pages, self.limits, self._small("pages"))
 
     @cached_property
     def requested_pages(self) -> Lookup:
@@ -84,24 +90,24 @@ class Site:
 
     @cached_property
     def clicked_links(self) -> Lookup:
-        return models.link_lookup(self.links, self.limits, self._small("navigation_sizes", "links"))
+        return models.link_lookup(self.links, self.limits, self._small("links"))
 
     @cached_property
     def clicked_entities(self) -> Lookup:
-        return models.clicked_entity_lookup(self.attributes, self.limits, self._small("content_sizes", "attributes"))
+        return models.clicked_entity_lookup(self.attributes, self.limits, self._small("attributes"))
 
     @cached_property
     def clicked_columns(self) -> Lookup:
-        return models.clicked_column_lookup(self.combined, self.limits, self._small("content_sizes", "combined"))
+        return models.clicked_column_lookup(self.combined, self.limits, self._small_model)
 
     @cached_property
     def shown_units(self) -> Lookup:
-        return models.unit_lookup(self.combined, self.limits, self._small("content_sizes", "combined"))
+        return models.unit_lookup(self.combined, self.limits, self._small_model)
 
     @property
     def one_table(self) -> bool:
-        """Whether each displayed column of an entity is in one table only."""
-        return self.content_sizes.measured["several"][0] == 0
+        """Whether each column of an entity is in one table only."""
+        return self.sizes.measured["several"][0] == 0
 
     def dump_bytes(self) -> int | None:
         """The bytes of the dumps' files; none if they are not files."""
@@ -109,7 +115,7 @@ class Site:
 
     @cached_property
     def stored_values(self) -> values.StoredValues:
-        return values.StoredValues(self.spark, self.dumps, self.shown_units.frame, self.limits, self.dump_bytes)
+        return values.StoredValues(self.spark, self.dumps, lambda: self.displayed, self.limits, self.dump_bytes)
 
 
 def distinct_hits(parsed: DataFrame, stamps: Sequence[str] = ()) -> DataFrame:

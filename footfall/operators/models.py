@@ -25,9 +25,9 @@ def page_names(pages: DataFrame) -> DataFrame:
     return pages.groupBy("page_id").agg(F.min("page_name").alias("page_name"))
 
 
-def columns_of_several_tables(combined: DataFrame) -> DataFrame:
-    """The displayed columns of an entity that several tables have."""
-    tables = combined.groupBy("entity_id", "attribute_database_column").agg(
+def columns_of_several_tables(attributes: DataFrame) -> DataFrame:
+    """The columns of an entity that several tables have."""
+    tables = attributes.groupBy("entity_id", "attribute_database_column").agg(
         F.min(F.coalesce("table_db", F.lit(""))).alias("first"), F.max("table_db").alias("last")
     )
     return tables.where("first <> last").select("entity_id", "attribute_database_column")

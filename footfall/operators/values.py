@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import cached_property, reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.config import Limits
-from footfall.operators.lookup import Lookup, Sizes
+from footfall.operators.lookup import Lookup, Sizes, row_bytes
 from footfall.sources.dumps import dump_columns, dump_values, object_values, one_row_per_object
 
 KEYS = ["oid", "value_table", "value_column"]
 
 
-def needed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[str, list[str]]:
-    """Per dump, those of its columns that ``shown``, the model's displayed attributes, name.
+Name = tuple[str, str]
 
-    Only names that occur in the dumps are collected, so there are no more than the dumps have
-    columns. With them the CSV scans read the columns they need and no others.
+
+def headers(dumps: Mapping[str, DataFrame]) -> dict[str, dict[str, str]]:
+    """By dump, its columns by their names in upper case."""
+    return {table: {c.upper(): c for c in dump_columns(dump)} for table, dump in dumps.items()}
+
+
+def displayed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[Name | None, tuple[int, int]]:
+    """Rows and bytes of ``shown``, the model's displayed attributes, by the (table, column) they name.
+
+    Names that the dumps do not have count together as None, so there are no more than the dumps
+    have columns, and one.
     """
-    headers = {table: {c.upper(): c for c in dump_columns(dump)} for table, dump in dumps.items()}
     table, column = F.upper("table_db"), F.upper("attribute_database_column")
-    known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers.items()]
-    if not known:
-        return {}
-    rows = shown.where(reduce(or_, known)).select(table, column).distinct().collect()
-    found = {tuple(row) for row in rows}
+    known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers(dumps).items()]
+    name = F.when(reduce(or_, known, F.lit(False)), F.struct(table.alias("t"), column.alias("c")))
+    rows = shown.groupBy(name.alias("name")).agg(F.count(F.lit(1)), F.sum(row_bytes(shown))).collect()
+    return {None if name is None else tuple(name): (count, total) for name, count, total in rows}
+
+
+def needed_columns(dumps: Mapping[str, DataFrame], names: Iterable[Name | None]) -> dict[str, list[str]]:
+    """Per dump, those of its columns that are named. The CSV scans read them and no others."""
+    found = set(names)
     return {
-        t: [name for upper, name in names.items() if (t.upper(), upper) in found] for t, names in headers.items()
+        t: [name for upper, name in columns.items() if (t.upper(), upper) in found]
+        for t, columns in headers(dumps).items()
     }
 
 
 class StoredValues:
     """One value per object and displayed column of the dumps; of several, the smallest.
 
-    ``shown`` is the model's displayed attributes. ``listed`` gives the bytes of the dumps' files, if
+    ``names`` gives the displayed (table, column). ``listed`` gives the bytes of the dumps' files, if
     they are files: dumps that are small by that need not be counted.
     """
 
@@ -44,20 +56,20 @@ class StoredValues:
         self,
         spark: SparkSession,
         dumps: Mapping[str, DataFrame],
-        shown: DataFrame,
+        names: Callable[[], Iterable[Name | None]],
         limits: Limits,
         listed: Callable[[], int | None] = lambda: None,
     ):
         self.spark = spark
         self.dumps = dumps
-        self.shown = shown
+        self.names = names
         self.limits = limits
         self.listed = listed
 
     @cached_property
     def columns(self) -> dict[str, list[str]]:
         """By dump, the columns to read; only dumps with any."""
-        return {t: names for t, names in needed_columns(self.dumps, self.shown).items() if names}
+        return {t: names for t, names in needed_columns(self.dumps, self.names()).items() if names}
 
     @cached_property
     def objects(self) -> dict[str, DataFrame]:

@@ -32,8 +32,20 @@ def scratch(spark: SparkSession) -> str:
     return os.path.join(base, f"footfall-{uuid.uuid4().hex}")
 
 
+# What is read of the given tables. Naming it spares a look into the files for each read.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string",
+    "supplier": "s_suppkey bigint, s_name string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_brand string",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_orderpriority string, o_orderstatus string",
+    "pages": "page_id bigint, url string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text(*parts: Column | str) -> Column:

@@ -3,7 +3,7 @@ import os
 import pytest
 from footfall.config import Limits
 from footfall.operators import models as lookups
-from footfall.operators.values import StoredValues, needed_columns
+from footfall.operators.values import StoredValues, displayed_columns, needed_columns
 from footfall.sources import dumps, models
 
 WEB = """<?xml version="1.0"?>
@@ -102,8 +102,12 @@ def test_dump_values_of_displayed_columns(spark, folder, web, data):
     assert list(tables) == ["THING"]
     assert tables["THING"].first().table_name == "THING"
     combined = lookups.combined_model(models.read_units(spark, web), models.read_attributes(spark, data))
-    assert needed_columns(tables, combined) == {"THING": ["NAME", "BRAND"]}
-    stored = StoredValues(spark, tables, combined, Limits())
+    names = displayed_columns(tables, combined)
+    assert {name: rows for name, (rows, _) in names.items()} == {("THING", "NAME"): 1, ("THING", "BRAND"): 1}
+    assert needed_columns(tables, names) == {"THING": ["NAME", "BRAND"]}
+    assert needed_columns(tables, [None]) == {"THING": []}
+    assert list(displayed_columns({}, combined)) == [None]
+    stored = StoredValues(spark, tables, lambda: names, Limits())
     keys = spark.createDataFrame([(o, "THING", c) for o in (1, 2, 3) for c in ("NAME", "BRAND", "OTHER")], ["oid", "value_table", "value_column"])
     lookup = stored.lookup(lambda: keys)
     assert rows(lookup.frame, "oid", "value_table", "value_column", "value") == [
@@ -113,13 +117,13 @@ def test_dump_values_of_displayed_columns(spark, folder, web, data):
         (2, "THING", "NAME", "NULL"),
     ]
     assert stored.is_small and lookup.is_small
-    large = StoredValues(spark, tables, combined, Limits(broadcast_rows=0)).lookup(lambda: keys)
+    large = StoredValues(spark, tables, lambda: names, Limits(broadcast_rows=0)).lookup(lambda: keys)
     assert not large.is_small and sorted(large.frame.collect()) == sorted(lookup.frame.collect())
     # By the size of the files, without counting.
-    assert StoredValues(spark, tables, combined, Limits(broadcast_rows=100), lambda: 100).is_small
+    assert StoredValues(spark, tables, lambda: names, Limits(broadcast_rows=100), lambda: 100).is_small
 
 
 def test_no_dumps_give_no_values(spark, web, data):
     combined = lookups.combined_model(models.read_units(spark, web), models.read_attributes(spark, data))
-    stored = StoredValues(spark, {}, combined, Limits())
+    stored = StoredValues(spark, {}, lambda: [None], Limits())
     assert stored.lookup(lambda: combined.limit(0)).frame.count() == 0
