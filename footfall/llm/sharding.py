@@ -82,10 +82,15 @@ def place(
 
 
 def write_shards(rows: DataFrame, key: Column, path: str, names: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
-    """Writes the rows below a folder ``shard=<name>`` each. Large shards get several files."""
-    placed = place(rows, key, names, slots)
-    flat = placed.select(F.col("shard").alias("_shard"), "row.*").hint("rebalance", "_shard")
-    flat.withColumnRenamed("_shard", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes the rows below a folder ``shard=<name>`` each. Large shards get several files.
+
+    If the rows have a column ``shard`` of their own, the folders are named ``shard_``, and so on.
+    """
+    folder = "shard"
+    while folder in map(str.lower, rows.columns):
+        folder += "_"
+    flat = place(rows, key, names, slots).select(F.col("shard").alias(folder), "row.*")
+    flat.hint("rebalance", folder).write.partitionBy(folder).mode("overwrite").parquet(path)
 
 
 def report(docs: DataFrame) -> DataFrame:

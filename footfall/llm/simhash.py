@@ -125,10 +125,11 @@ def clean(docs: DataFrame, length: int = 3, bits: int = 2) -> DataFrame:
     ids = found.groupBy("id").agg(F.count("*").alias("n"))
     once = ids.where("n = 1 and id is not null").select(F.col("id").alias("own"))
     single = first.join(once, F.col("id") == F.col("own"), "left_semi").select(F.col("id").alias("own"))
-    kept = docs.join(single, F.col("doc_id") == F.col("own"), "left_semi")
+    named = docs.alias("d")
+    kept = named.join(single.alias("s"), F.expr("d.doc_id = s.own"), "left_semi")
     # Where rows share an id, or have none, the fingerprint tells them apart.
     unclear = ids.where("n > 1 or id is null").select(F.col("id").alias("own"))
-    again = docs.join(unclear, F.expr("doc_id <=> own"), "left_semi")
+    again = named.join(unclear.alias("s"), F.expr("d.doc_id <=> s.own"), "left_semi")
     several = first.join(unclear, F.expr("id <=> own"), "left_semi")
     return kept.union(_one_of_each(again, several, length))
 

@@ -20,7 +20,7 @@ def documents(spark):
 @pytest.fixture
 def clashing(spark):
     """Adds columns named like those that the operators use themselves."""
-    names = ("id", "row", "text_", "fp", "k", "key", "component", "spans", "items", "ids", "kept", "measures", "slot", "shard", "n_words")
+    names = ("id", "row", "text_", "fp", "k", "key", "component", "spans", "items", "ids", "kept", "measures", "slot", "shard", "n_words", "own", "root", "n", "s", "d", "pattern", "lookup")
 
     def make(table):
         return table.selectExpr("*", *[f"'x' as `{n}`" for n in names])

@@ -62,8 +62,11 @@ def test_plan_is_native_and_without_shuffle(documents, capsys):
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "Arrow" not in plan and "hashpartitioning" not in plan
 
 
-def test_written_shards(spark, documents, folder):
+def test_written_shards(spark, documents, clashing, folder):
     docs = documents(*["text"] * 40)
     sharding.write_shards(docs, F.col("doc_id"), f"{folder}/out", ["a", "b"], 101)
     back = spark.read.parquet(f"{folder}/out")
     assert back.count() == 40 and {r["shard"] for r in back.collect()} == {"a", "b"}
+    sharding.write_shards(clashing(docs), F.col("doc_id"), f"{folder}/clash", ["a", "b"], 101)
+    back = spark.read.parquet(f"{folder}/clash")
+    assert {r["shard"] for r in back.collect()} == {"x"} and {r["shard_"] for r in back.collect()} == {"a", "b"}
