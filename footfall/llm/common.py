@@ -77,6 +77,25 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+SPANS_SQL = "array<struct<kind:string,start:int,end:int>>"
+
+
+def span_array(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
+    """Spans (kind, start, end) of several texts as a column."""
+    return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in each] for each in spans], SPANS)
+
+
+def joined_spans(spans: str) -> Column:
+    """A column of spans as text: ``kind:start:end``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def spans_of(spans: str, kind: str) -> Column:
+    """How many spans of a kind there are."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows as stored in the cluster's checkpoint folder, without their history.
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.common import map_texts
+from footfall.llm.common import SPANS_SQL, joined_spans, map_texts, span_array, spans_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "birth", "person", "account")
@@ -292,12 +292,8 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
-
-
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``id``, ``base`` and ``spans``, both as text ``kind:start:end`` joined by commas.
+    """``id``, ``base`` and ``spans``: arrays of (kind, start, end), in code points, ends exclusive.
 
     Without a model one is fitted to the given documents.
     """
@@ -305,22 +301,20 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id") ->
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [all_spans(text or "", model) for text in batch.column("text").to_pylist()]
-        columns = [pa.array([joined(f[i]) for f in found], pa.string()) for i in (0, 1)]
+        columns = [span_array([f[i] for f in found]) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "base", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").alias("text"))
-    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, base string, spans string")
+    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, base {SPANS_SQL}, spans {SPANS_SQL}")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: base spans by kind, their digest, and all spans."""
-    each = F.split("base", ",")
-    of_kind = lambda kind: F.size(F.filter(each, lambda s: s.startswith(f"{kind}:"))).cast("bigint")
     return find(docs).select(
         F.col("id").alias("doc_id"),
-        *[of_kind(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
-        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
-        "spans",
+        *[spans_of("base", kind).alias(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"),
     )
 
 
