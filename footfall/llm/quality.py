@@ -210,6 +210,33 @@ def report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
+def spans_of_repeats(texts: list[bytes], least: int) -> tuple[list[list[dict[str, int]]], list[int]]:
+    """For each text the united spans of its repeats of at least that many words, and the longest repeat."""
+    keys, ends = first_ranks([text.split() for text in texts])
+    repeats = longest_repeats(keys, ends)
+    inside = covered(repeats, least)
+    spans = []
+    for start, end in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist()):
+        edges = np.flatnonzero(np.diff(inside[start:end].astype(np.int8), prepend=0, append=0))
+        spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
+    return spans, most_per_text(repeats, ends).tolist()
+
+
+def repeats(docs: DataFrame, least: int = Rules.repeat, id_col: str = "doc_id") -> DataFrame:
+    """``id``, ``spans`` of words in repeats of at least ``least`` words (ends exclusive), ``longest``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, longest = spans_of_repeats(raw_texts(batch.column("text")), least)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.RecordBatch.from_pydict(
+            {"id": batch.column("id"), "spans": pa.array(spans, kind), "longest": pa.array(longest, pa.int64())}
+        )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col("text").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_texts(rows, run, f"id {kind}, spans array<struct<start:int,end:int>>, longest bigint")
+
+
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, with all their columns."""
     others = tuple(c for c in docs.columns if c != "text")

@@ -87,3 +87,11 @@ def test_clean_keeps_columns(documents, clashing):
 
 def test_empty_batch():
     assert quality.longest_repeats(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_spans_of_repeats(documents):
+    same = " ".join(f"s{i}" for i in range(12))
+    rows = {r.id: r for r in quality.repeats(documents(f"a {same} b {same} c", None, PROSE, f"{same} {same}")).collect()}
+    assert [tuple(s) for s in rows[0].spans] == [(1, 13), (14, 26)] and rows[0].longest == 12
+    assert rows[1].spans == [] and rows[1].longest == 0 and rows[2].spans == []
+    assert [tuple(s) for s in rows[3].spans] == [(0, 24)]
