@@ -56,11 +56,12 @@ def text(*parts: Column | str) -> Column:
 def clicks(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
     """The fields that the lines of both logs are built from, of the events for which ``part`` holds."""
     u, k, m = F.col("user_id"), F.col("k"), F.col("k") % 10
+    # As one file the table would be parsed by one task or a few.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
         table(spark, sf_dir, "events")
         .where(part)
-        # So small a table would be parsed by one task or a few; a large one is split anyway.
-        .hint("rebalance")
+        .repartition(tasks, "event_id")
         .select("ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
         .select(
             "ts",
