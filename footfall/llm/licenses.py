@@ -1,8 +1,9 @@
 """Licence detection by ordered signature rules.
 
 A rule is a regex over the normalised words of a text (A-Z in lower case, one blank between words), a
-label, a priority and a confidence. Rules are gated by keywords: a rule is tried only if its keyword
-is among the text's words, and a text with no keyword at all is not searched. A
+label, a priority and a confidence. Rules are gated by keywords: a rule is tried only if one of its
+keywords is among the text's words, and a text with no keyword at all is not searched. Every text that a
+rule's pattern matches has one of its keywords: each alternative of the pattern holds one as a whole word. A
 detection is suppressed if its interval lies in that of a rule that comes earlier. The order is: identifier tags, full phrases with a version, licence texts, links, names.
 
 The base phrases are counted apart, at all places; their labels always stay. Null and empty texts have
@@ -31,9 +32,10 @@ class Rule:
     pattern: str
     keyword: bytes
     confidence: float
+    spare: tuple[bytes, ...] = ()  # further keywords, for spellings without the first
 
 
-# Label: keyword, name, versions (as words), identifier (as words).
+# Label: keywords, name, versions (as words), identifier (as words).
 FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "mit": ("mit", "mit", "", "mit"),
     "mit-0": ("mit", "mit (?:no attribution|0)", "", "mit 0"),
@@ -44,7 +46,7 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "gpl": ("general", "(?:gnu )?general public", "1|2|2 0|3|3 0", "gpl (?:1 0|2 0|3 0)"),
     "gfdl": ("documentation", "(?:gnu )?free documentation", "1 1|1 2|1 3", "gfdl 1 [123]"),
     "bsd": ("bsd", "(?:new |modified |simplified |original )?(?:[234] clause )?bsd(?: [234] clause)?", "", "bsd [1234] clause"),
-    "0bsd": ("0bsd", "0bsd|zero clause bsd", "", "0bsd"),
+    "0bsd": ("0bsd zero", "0bsd|zero clause bsd", "", "0bsd"),
     "isc": ("isc", "isc", "", "isc"),
     "zlib": ("zlib", "zlib(?: libpng)?", "", "zlib"),
     "libpng": ("libpng", "libpng", "2|2 0", "libpng(?: 2 0)?"),
@@ -126,12 +128,12 @@ TEXTS = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event", b"warranty", 0.7),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under", b"applicable", 0.85),
     ("gpl", "this program is free software you can redistribute it and or modify it", b"redistribute", 0.85),
-    ("gpl", "gnu gpl(?: ?v ?[123])?(?: or later)?", b"gpl", 0.9),
-    ("lgpl", "gnu lgpl(?: ?v ?[23])?(?: or later)?", b"lgpl", 0.9),
-    ("agpl", "gnu agpl(?: ?v ?3)?(?: or later)?", b"agpl", 0.9),
+    ("gpl", "gnu gpl(?: ?v ?[123])?(?: or later)?", b"gnu", 0.9),
+    ("lgpl", "gnu lgpl(?: ?v ?[23])?(?: or later)?", b"gnu", 0.9),
+    ("agpl", "gnu agpl(?: ?v ?3)?(?: or later)?", b"gnu", 0.9),
     ("unlicense", "this is free and unencumbered software released into the public domain", b"unencumbered", 0.95),
     ("wtfpl", "do what the fuck you want to public license", b"fuck", 0.95),
-    ("cc0", "(?:cc0|cc zero)(?: 1 0)?(?: universal)?", b"cc0", 0.9),
+    ("cc0", "(?:cc0|cc zero)(?: 1 0)?(?: universal)?", b"cc0 zero", 0.9),
     ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", b"domain", 0.8),
     ("proprietary", "all rights reserved", b"reserved", 0.5),
     ("proprietary", "may not be (?:copied|reproduced|redistributed|distributed) without", b"without", 0.5),
@@ -163,16 +165,16 @@ def rules() -> tuple[Rule, ...]:
     """All rules, in order of priority."""
     tags, versions, texts, links, names = [], [], [], [], []
     for label, (keyword, name, numbers, identifier) in FAMILIES.items():
-        key = keyword.encode()
+        key, *spare = keyword.encode().split()
         tags.append(Rule(label, "tag", f"spdx license identifier (?:{identifier})(?: only| or later)?", b"spdx", 1.0))
         tags.append(Rule(label, "tag", f"license (?:is )?(?:{identifier})(?: only| or later)?", b"license", 0.8))
         stem = f"(?:the )?(?:{name}) licen[cs]e"
         given = f"(?:licensed|released|distributed|available|provided|published|made available) (?:under|with) (?:the )?(?:terms of )?{stem}"
         if numbers:
-            versions.append(Rule(label, "version", f"{given}(?: as published by the free software foundation)? (?:version |v ?)?(?:{numbers})", key, 1.0))
-            versions.append(Rule(label, "version", f"{stem} (?:version |v ?)?(?:{numbers})", key, 0.95))
-        versions.append(Rule(label, "given", given, key, 0.95))
-        names.append(Rule(label, "name", stem, key, 0.8))
+            versions.append(Rule(label, "version", f"{given}(?: as published by the free software foundation)? (?:version |v ?)?(?:{numbers})", key, 1.0, tuple(spare)))
+            versions.append(Rule(label, "version", f"{stem} (?:version |v ?)?(?:{numbers})", key, 0.95, tuple(spare)))
+        versions.append(Rule(label, "given", given, key, 0.95, tuple(spare)))
+        names.append(Rule(label, "name", stem, key, 0.8, tuple(spare)))
     for label, (words, short) in COMMONS.items():
         full, number = f"creative commons {words}", "(?:1 0|2 0|2 5|3 0|4 0)"
         tags.append(Rule(f"cc-{label}", "tag", f"spdx license identifier cc {short} {number}", b"spdx", 1.0))
@@ -183,7 +185,11 @@ def rules() -> tuple[Rule, ...]:
         names.append(Rule(f"cc-{label}", "name", f"cc {short}", b"cc", 0.7))
     # Longer forms of the commons come first, as the shorter ones are their prefixes.
     longer = lambda rule: -len(rule.pattern) if rule.label.startswith("cc-") else 0
-    texts = [Rule(label, "text", pattern, key, sure) for label, pattern, key, sure in TEXTS]
+    texts = [
+        Rule(label, "text", pattern, key, sure, tuple(spare))
+        for label, pattern, keys, sure in TEXTS
+        for key, *spare in [keys.split()]
+    ]
     links += [Rule(label, "link", pattern, key, 0.9) for label, pattern, key in LINKS]
     return tuple(tags + sorted(versions, key=longer) + texts + sorted(links, key=longer) + sorted(names, key=longer))
 
@@ -194,16 +200,17 @@ def gated() -> dict[bytes, list[tuple[int, Rule, re.Pattern]]]:
     by_keyword: dict[bytes, list[tuple[int, Rule, re.Pattern]]] = {}
     for place, rule in enumerate(rules()):
         pattern = re.compile(rb" (?:" + rule.pattern.encode() + rb")(?= )")
-        by_keyword.setdefault(rule.keyword, []).append((place, rule, pattern))
+        for keyword in (rule.keyword, *rule.spare):
+            by_keyword.setdefault(keyword, []).append((place, rule, pattern))
     return by_keyword
 
 
 def detections(text: bytes, keywords: set[bytes]) -> list[tuple[int, int, Rule]]:
     """What stays of the detections in normalised text, as (start, end, rule) by start."""
     found = []
-    for keyword in keywords:
-        for place, rule, pattern in gated()[keyword]:
-            found += [(m.start(), -m.end(), place, rule) for m in pattern.finditer(text)]
+    tried = {entry[0]: entry for keyword in keywords for entry in gated()[keyword]}
+    for place, rule, pattern in tried.values():
+        found += [(m.start(), -m.end(), place, rule) for m in pattern.finditer(text)]
     # What contains an interval comes before it here, and still reaches beyond its start.
     kept: list[tuple[int, int, Rule]] = []
     reaching: list[tuple[int, int]] = []

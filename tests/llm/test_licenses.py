@@ -1,6 +1,7 @@
 """Base phrases against a plain search; rules, gates and suppression by example."""
 
 import re
+from re import _parser
 
 import pytest
 from footfall.llm import licenses
@@ -70,3 +71,51 @@ def test_tables(documents, clashing):
     assert (rows[1].n_words, rows[1].first_word, rows[1].labels, rows[1].score) == (0, None, "", 0.0)
     assert (rows[3].n_base, rows[3].last_word) == (30_000, 89_998)
     assert licenses.report(docs.limit(0)).collect() == []
+
+
+def spellings(parsed):
+    """Texts for all alternatives of a parsed pattern; optional parts with and without, sets by each member."""
+    texts = [""]
+    for op, given_ in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            options = [chr(given_)]
+        elif kind == "BRANCH":
+            options = [x for branch in given_[1] for x in spellings(branch)]
+        elif kind == "SUBPATTERN":
+            options = spellings(given_[3])
+        elif kind == "MAX_REPEAT":
+            options = [""] * (given_[0] == 0) + [x * max(1, given_[0]) for x in spellings(given_[2])]
+        elif kind == "IN":
+            options = [chr(c) for k, v in given_ for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        else:
+            assert kind == "ANY"
+            options = ["x"]
+        texts = [a + b for a in texts for b in options]
+    return texts
+
+
+def test_no_gate_hides_a_rule():
+    """Of every alternative of every rule's pattern, so that gated and ungated searches give the same."""
+    for rule in licenses.rules():
+        gates = {rule.keyword.decode(), *(k.decode() for k in rule.spare)}
+        for text in spellings(_parser.parse(rule.pattern)):
+            assert not gates.isdisjoint(text.split()), (rule.label, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("GNU GPLv3", "gpl"),
+        ("GNU LGPLv3 or later", "lgpl"),
+        ("GNU AGPLv3", "agpl"),
+        ("Zero Clause BSD License", "0bsd"),
+        ("CC Zero", "cc0"),
+        ("CC0 and CC Zero", "cc0"),
+    ],
+)
+def test_gated_search_is_the_ungated_one(text, label):
+    normal = b" " + b" ".join(text.lower().encode().split()) + b" "
+    every = licenses.detections(normal, set(licenses.gated()))
+    assert licenses.detections(normal, licenses.gated().keys() & set(normal.split())) == every
+    assert label in licenses.scan_text(text.encode())["labels"].split(",")
