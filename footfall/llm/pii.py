@@ -63,6 +63,7 @@ HIDDEN = re.compile(
     r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}"
 )
 PERSON = re.compile(r"(?<!\w)(?:" + "|".join(sorted(NAMES)) + r")\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?(?!\w)")
+WORD = re.compile(r"\w+")
 WORD_BEFORE = re.compile(r"[A-Za-z-]+")
 DIGIT = re.compile(r"[0-9]")
 
@@ -138,7 +139,8 @@ def more_candidates(text: str) -> list[tuple[str, int, int]]:
                 found.append(("account", start, end))
     if "at]" in text or "at)" in text:
         found += [("email", *m.span()) for m in HIDDEN.finditer(text)]
-    if not NAMES.isdisjoint(text.replace(".", " ").split()):
+    # A name in PERSON is a whole run of \w, as nothing but a point or a blank follows it.
+    if not NAMES.isdisjoint(WORD.findall(text)):
         found += [("person", *m.span()) for m in PERSON.finditer(text)]
     return found
 

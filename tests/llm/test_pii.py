@@ -108,3 +108,19 @@ def test_counts_cover_all_texts(documents):
     assert sum(n for p, n in counts.items() if p[0] == "email") == 5
     assert sum(n for p, n in counts.items() if p[0] == "ip") == 10
     assert np.isfinite(pii.fit(counts).likelihood(next(iter(counts))))
+
+
+AROUND = ["James", "Smith", "Mary Jones", "John", "Dr", "x", "é", "_", "1", " ", ".", "(", '"', "-", ":", "\n", "\u00a0", "’", "İ"]
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(AROUND), max_size=12))
+def test_prefilter_loses_no_person(parts):
+    text = "".join(parts)
+    found = [s for s in pii.more_candidates(text) if s[0] == "person"]
+    assert found == [("person", *m.span()) for m in pii.PERSON.finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["(James Smith)", '"Mary Jones said', "author:John Brown", "-David Miller"])
+def test_persons_after_punctuation(text):
+    assert [k for k, _, _ in pii.more_candidates(text)] == ["person"]
