@@ -1,4 +1,4 @@
-"""What the operators share: words of a text as bytes, row samples, and cutting lineage."""
+"""What the operators share: words of a text as bytes, and cutting lineage."""
 
 from __future__ import annotations
 
@@ -117,11 +117,3 @@ def new_key(key: Column) -> Column:
     execution cannot split a hot key. With this, both sides get a shuffle that it can split.
     """
     return key.bitwiseXOR(F.lit(0).cast("bigint"))
-
-
-def sampled(rows: DataFrame, count: int, total: int, key: str, seed: int) -> DataFrame:
-    """About ``count`` of ``total`` rows, chosen by a hash of their key; all if there are fewer."""
-    if total <= count:
-        return rows
-    share = max(1, count * (1 << 30) // total)
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share)

@@ -6,10 +6,10 @@ bound on endings and on every symbol, for the states and all that follow them).
 probabilistic automaton that loops and generalises. A token is scored by how much more likely a
 credential's automaton makes it than the one of ordinary tokens.
 
-Labels are the base patterns' own matches. The automata are fitted to a bounded sample: the tokens of
-about ``SAMPLE_ROWS`` documents chosen by a hash of their id, at most ``SAMPLE_TOKENS`` different
-ones of each kind and of at most ``LONGEST`` characters, the first by hash. All texts are scanned and
-all their tokens scored, whatever their length.
+Labels are the base patterns' own matches. The automata are fitted to a bounded sample of the labelled
+tokens of all documents: ``SAMPLE_TOKENS`` different ones of each kind, the first by hash of those of at
+most ``LONGEST`` characters, or all if there are fewer. All texts are scanned and all their tokens
+scored, whatever their length.
 
 Base spans always stay; scored tokens that overlap none are added as ``like_<kind>``. Null and empty
 texts have no spans; without labelled credentials nothing is added. Repeated rows are searched each;
@@ -18,20 +18,22 @@ other columns do not matter.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.llm.common import SPANS_SQL, cut, joined_spans, map_texts, sampled, span_array, spans_of
+from footfall.llm.common import SPANS_SQL, cut, joined_spans, map_texts, span_array, spans_of
 
 KINDS = ("assign", "access", "hex")
 ORDER = (*KINDS, *[f"like_{k}" for k in KINDS])
 ORDINARY = "ordinary"
-SAMPLE_ROWS, SAMPLE_TOKENS, LONGEST = 20_000, 500, 200
+SAMPLE_TOKENS, LONGEST = 500, 200
 LEAST_ODDS = 1.5  # log odds per character
 
 ASSIGN = re.compile(
@@ -216,25 +218,27 @@ def fit(tokens: dict[str, list[str]]) -> Model:
     return Model(automata | {ORDINARY: Automaton(tokens.get(ORDINARY, []))})
 
 
-def labelled_tokens(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_TOKENS) -> dict[str, list[str]]:
-    """By kind the different tokens of a bounded sample of documents; see the module's text."""
+def labelled_tokens(docs: DataFrame, most: int = SAMPLE_TOKENS) -> dict[str, list[str]]:
+    """By kind the first different tokens of all documents by hash; see the module's text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = set()
+        found: dict[str, set[str]] = {k: set() for k in (*KINDS, ORDINARY)}
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
-            found.update((k, text[at:end]) for k, _, end, at in spans if end - at <= LONGEST)
-            found.update((ORDINARY, text[s:e]) for s, e in other_tokens(text or "", spans) if e - s <= LONGEST)
-        return pa.RecordBatch.from_pydict(
-            {"kind": pa.array([k for k, _ in found], pa.string()), "token": pa.array([t for _, t in found], pa.string())}
-        )
-
-    source = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    source = sampled(source, rows, source.count(), "id", 3).select("text")
-    tokens = cut(map_texts(source, run, "kind string, token string").distinct())
-    first = [F.xxhash64("token"), F.col("token")]
+            for k, _, end, at in spans:
+                if end - at <= LONGEST:
+                    found[k].add(text[at:end])
+            found[ORDINARY].update(text[s:e] for s, e in other_tokens(text or "", spans) if e - s <= LONGEST)
+        # The first of all are among the first of each slice.
+        hashed = {k: ((xxhash.xxh64_intdigest(t) >> 1, t) for t in tokens) for k, tokens in found.items()}
+        rows = [(k, h, t) for k, tokens in hashed.items() for h, t in heapq.nsmallest(most, tokens)]
+        kinds = zip(("kind", "h", "token"), (pa.string(), pa.int64(), pa.string()))
+        return pa.RecordBatch.from_pydict({c: pa.array([row[i] for row in rows], t) for i, (c, t) in enumerate(kinds)})
+
+    source = docs.select(F.col("text").alias("text"))
+    tokens = cut(map_texts(source, run, "kind string, h bigint, token string").distinct())
     return {
-        kind: [r["token"] for r in tokens.where(F.col("kind") == kind).orderBy(*first).limit(most).collect()]
+        kind: [r["token"] for r in tokens.where(F.col("kind") == kind).orderBy("h", "token").limit(most).collect()]
         for kind in (*KINDS, ORDINARY)
     }
 
