@@ -69,7 +69,7 @@ def clicks(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
             "event_type",
             "k",
             m.alias("m"),
-            F.when(u % 25 == 24, "-").otherwise(text("s", u, "d", F.dayofmonth("ts"))).alias("session"),
+            F.when(u % 10 == 9, "-").otherwise(text("s", u, "d", F.dayofmonth("ts"))).alias("session"),
             F.when(
                 (F.col("event_type") == "view") & (m == 3), text("mpage", u % 28)
             ).otherwise(text("page", F.floor((3 * u + m % 4) / 4))).alias("page"),

@@ -36,7 +36,7 @@ def _list(texts) -> str:
 CTES = {
     "clicks": """
         SELECT date_trunc('second', ts) AS time, user_id AS u, event_type AS et, k, k % 10 AS m,
-               CASE WHEN user_id % 25 = 24 THEN '-' ELSE 's' || user_id || 'd' || day(ts) END AS session,
+               CASE WHEN user_id % 10 = 9 THEN '-' ELSE 's' || user_id || 'd' || day(ts) END AS session,
                CASE WHEN event_type = 'view' AND k % 10 = 3 THEN 'mpage' || (user_id % 28)
                     ELSE 'page' || ((3 * user_id + k % 10 % 4) // 4) END AS page,
                'page' || ((3 * user_id + k % 10 % 3) // 4) AS sp,
@@ -66,11 +66,17 @@ CTES = {
                           WHEN 2 THEN ' done {}' WHEN 3 THEN 'started' ELSE 'no unit' END AS message,
                CASE WHEN shape = 1 THEN [oid + 1, oid + 2] END AS oids
         FROM (SELECT *, CASE k % 8 WHEN 0 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 4 ELSE 1 END AS shape
-              FROM lines WHERE et IN ('view', 'click'))
+              FROM lines WHERE et IN ('view', 'click') AND session <> '-')
         UNION ALL
         SELECT 1, time, 'INFO', 'h1', 'com.x.Unit', session, NULL, page, 'dau' || e, 't-1',
                ' shown {oid=[x, ' || (oid + 1) || ']}', [NULL, oid + 1]
-        FROM lines WHERE et = 'error' AND m = 6
+        FROM lines WHERE et = 'error' AND m = 6 AND session <> '-'
+    """,
+    "other_runtime": """
+        SELECT CASE WHEN m = 7 OR session = '-' THEN 0 ELSE 1 END AS shape, m = 8 AND session <> '-' AS no_date,
+               time, u, k, session, page, e, oid
+        FROM lines
+        WHERE et = 'error' AND m IN (7, 8) OR session = '-' AND (et IN ('view', 'click') OR et = 'error' AND m = 6)
     """,
     "site_pages": """
         SELECT 'page' || s_suppkey AS page_id, s_name AS page_name, 'Page' AS kind FROM supplier
@@ -315,9 +321,7 @@ SELECTS = {
     """,
     "runtime_log_shapes": """
         SELECT shape, count(*) AS lines
-        FROM (SELECT shape FROM runtime
-              UNION ALL SELECT 1 FROM lines WHERE et = 'error' AND m = 8
-              UNION ALL SELECT 0 FROM lines WHERE et = 'error' AND m = 7)
+        FROM (SELECT shape FROM runtime UNION ALL SELECT shape FROM other_runtime)
         GROUP BY shape
     """,
     "rejected_lines": """
@@ -330,8 +334,7 @@ SELECTS = {
         UNION ALL
         SELECT 'runtime', shape, count(*), count(*) FILTER (kind = 'date'), count(*) FILTER (kind = 'object')
         FROM (SELECT shape, CASE WHEN message LIKE '%[x, %' THEN 'object' END AS kind FROM runtime
-              UNION ALL SELECT 1, 'date' FROM lines WHERE et = 'error' AND m = 8
-              UNION ALL SELECT 0, NULL FROM lines WHERE et = 'error' AND m = 7)
+              UNION ALL SELECT shape, CASE WHEN no_date THEN 'date' END FROM other_runtime)
         GROUP BY shape
     """,
     "log_files_scan": f"""
