@@ -14,6 +14,7 @@ from footfall.llm import (
     passages,
     pii,
     quality,
+    runs,
     secrets,
     sharding,
     simhash,
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": _on_documents(licenses.report),
         "op9_decontamination": _decontaminated,
         "op10_pii": _on_documents(pii.report),
+        "op12_runs": _on_documents(runs.report),
     }
 
 
