@@ -18,6 +18,7 @@ from footfall.llm import (
     secrets,
     sharding,
     simhash,
+    whitening,
 )
 
 
@@ -43,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": _decontaminated,
         "op10_pii": _on_documents(pii.report),
         "op12_runs": _on_documents(runs.report),
+        "op13_whitening": lambda spark, sf_dir: whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
