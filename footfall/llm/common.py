@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -86,6 +88,25 @@ def span_array(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in each] for each in spans], SPANS)
 
 
+class Taken:
+    """The places of a text that given spans cover, for asking whether a further span meets any of them."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        # Of the covered places, which do not meet each other, only the last to start before the end can reach in.
+        before = bisect_right(self.starts, end - 1) - 1
+        return before >= 0 and self.ends[before] > start
+
+
 def joined_spans(spans: str) -> Column:
     """A column of spans as text: ``kind:start:end``, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -96,20 +117,33 @@ def spans_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows as stored in the cluster's checkpoint folder, without their history.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in tests, it lies
-    in the warehouse folder.
+    Where that is unset and all runs in one process, as in tests, it lies in the warehouse folder; on
+    a cluster it has to be set.
     """
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return own or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows as stored in the cluster's checkpoint folder, without their history."""
     spark = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(own or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a new Parquet table in the shared folder, for results that are read by column or more than once."""
+    path = os.path.join(shared_folder(rows.sparkSession), f"table-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def new_key(key: Column) -> Column:
     """A bigint key equal to the given one that is not known to be partitioned.
 

@@ -11,6 +11,7 @@ from footfall.llm import (
     decontaminate,
     langid,
     licenses,
+    maxent,
     passages,
     pii,
     quality,
@@ -43,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": _on_documents(licenses.report),
         "op9_decontamination": _decontaminated,
         "op10_pii": _on_documents(pii.report),
+        "op11_maxent": _on_documents(maxent.report),
         "op12_runs": _on_documents(runs.report),
         "op13_whitening": lambda spark, sf_dir: whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
