@@ -19,12 +19,13 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.common import SPANS_SQL, joined_spans, map_texts, span_array, spans_of
+from footfall.llm.common import SPANS_SQL, Taken, joined_spans, map_texts, span_array, spans_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "birth", "person", "account")
@@ -148,7 +149,8 @@ def more_candidates(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Base spans, and the other candidates that no base span overlaps."""
     base = base_spans(text)
-    return base + [c for c in more_candidates(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
+    taken = Taken((s, e) for _, s, e in base)
+    return base + [c for c in more_candidates(text) if not taken.meets(c[1], c[2])]
 
 
 def well_formed(kind: str, value: str) -> int:
@@ -283,15 +285,14 @@ def patterns(docs: DataFrame) -> dict[tuple, int]:
 def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: both by kind as listed, then start."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    added = []
-    for kind, start, end in more_candidates(text):
-        if any(s < end and start < e for s, e in taken):
-            continue
-        if model.likelihood(votes_and_features(text, kind, start, end)) >= 0.5:
-            added.append((kind, start, end))
-            taken.append((start, end))
-    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+    found = list(base)
+    # Candidates of one kind do not meet each other, so the spans of the kinds before are all that can be in their way.
+    for _, group in groupby(more_candidates(text), key=lambda s: s[0]):
+        taken = Taken((s, e) for _, s, e in found)
+        found += [
+            span for span in group if not taken.meets(*span[1:]) and model.likelihood(votes_and_features(text, *span)) >= 0.5
+        ]
+    return base, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id") -> DataFrame:

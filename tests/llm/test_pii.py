@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pytest
 from footfall.llm import pii
+from footfall.llm.common import Taken
 from hypothesis import given, settings, strategies as st
 
 
@@ -40,12 +41,22 @@ def test_base(parts):
 def test_long_texts_take_linear_time():
     model = pii.fit({})
     start = time.process_time()
-    for text in ("1" * 300_000, "a" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "a@" * 150_000, "AB12" * 70_000, "James " * 50_000, "1-" * 150_000):
+    for text in ("1" * 300_000, "a" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "a@" * 150_000, "AB12" * 70_000, "James " * 50_000, "1-" * 150_000, "James Smith a@b.com 1.2.3.4 " * 20_000):
         pii.all_spans(text, model)
         pii.candidates(text)
     assert time.process_time() - start < 20
 
 
+def test_spans_taken():
+    random_ = random.Random(2)
+    for _ in range(300):
+        spans = [(s, s + random_.randrange(1, 9)) for s in random_.choices(range(40), k=random_.randrange(8))]
+        taken = Taken(spans)
+        for start in range(40):
+            for end in range(start + 1, 46):
+                assert taken.meets(start, end) == any(s < end and start < e for s, e in spans)
+
+
 def test_reliabilities_are_found():
     random_ = random.Random(6)
     right = [0.95, 0.9, 0.85, 0.6, 0.75, 0.8]
