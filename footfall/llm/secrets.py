@@ -3,12 +3,13 @@
 For each kind of credential, and for ordinary long tokens, a prefix tree is built from labelled
 strings and its states are merged while their frequencies are statistically compatible (Hoeffding's
 bound on endings and on every symbol, for the states and all that follow them). The result is a
-probabilistic automaton that loops and generalises. A token is scored by how much more likely a
-credential's automaton makes it than the one of ordinary tokens.
+probabilistic automaton that loops and generalises. Every token of eight characters or more, the
+least that labels have, is scored by how much more likely each credential's automaton makes it than
+the one of ordinary tokens; what an automaton has no path for it still scores by how classes of characters follow each other.
 
 Labels are the base patterns' own matches. The automata are fitted to a bounded sample of the labelled
-tokens of all documents: ``SAMPLE_TOKENS`` different ones of each kind, the first by hash of those of at
-most ``LONGEST`` characters, or all if there are fewer. All texts are scanned and all their tokens
+tokens of all documents: ``SAMPLE_TOKENS`` different ones of each kind, ``ORDINARY_TOKENS`` of ordinary ones,
+the first by hash of those of at most ``LONGEST`` characters, or all if there are fewer. All texts are scanned and all their tokens
 scored, whatever their length.
 
 Base spans always stay; scored tokens that overlap none are added as ``like_<kind>``. Null and empty
@@ -23,18 +24,20 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.llm.common import SPANS_SQL, cut, joined_spans, map_texts, span_array, spans_of
+from footfall.llm.common import SPANS_SQL, Taken, cut, joined_spans, map_texts, span_array, spans_of
 
 KINDS = ("assign", "access", "hex")
 ORDER = (*KINDS, *[f"like_{k}" for k in KINDS])
 ORDINARY = "ordinary"
-SAMPLE_TOKENS, LONGEST = 500, 200
-LEAST_ODDS = 1.5  # log odds per character
+SAMPLE_TOKENS, ORDINARY_TOKENS, LONGEST = 500, 4000, 200
+LEAST_ODDS = 1.5  # log odds a character
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -42,7 +45,8 @@ ASSIGN = re.compile(
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+# As long as the shortest labels.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -60,9 +64,8 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
 def other_tokens(text: str, spans: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
     """The long tokens that no base span overlaps."""
     tokens = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
-        return tokens
-    return [(s, e) for s, e in tokens if not any(a < e and s < b for _, a, b, _ in spans)]
+    taken = Taken((a, b) for _, a, b, _ in spans)
+    return [t for t in tokens if not taken.meets(*t)]
 
 
 # Symbols of the automata: the first characters of a token as they are, as issuers mark their
@@ -70,7 +73,7 @@ def other_tokens(text: str, spans: list[tuple[str, int, int, int]]) -> list[tupl
 LITERAL = 4
 CLASSES = {"d": "0123456789", "x": "abcdef", "l": "ghijklmnopqrstuvwxyz", "X": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}
 CLASS_OF = {c: name for name, members in CLASSES.items() for c in members}
-WIDTH = {name: math.log(len(members)) for name, members in CLASSES.items()}
+ALPHABET = "".join(CLASSES.values()) + "+/_.=-"
 
 
 def symbols(token: str) -> list[str]:
@@ -88,7 +91,7 @@ class State:
 class Automaton:
     """A probabilistic automaton inferred from tokens by merging compatible states of their prefix tree."""
 
-    def __init__(self, tokens: list[str], alpha: float = 0.05, mixed: float = 0.05):
+    def __init__(self, tokens: list[str], alpha: float = 0.05, mixed: float = 0.05, trust: float = 2.0):
         self.states = [State()]
         for token in tokens:
             at = self.states[0]
@@ -103,10 +106,16 @@ class Automaton:
             at.ends += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
-        plain = Counter(CLASS_OF.get(c, c) for t in tokens for c in t)
-        total = sum(plain.values())
-        kinds = len(CLASSES) + 6
-        self.plain = {s: math.log((plain[s] + 1) / (total + kinds)) for s in (*CLASSES, *"+/_.=-")}
+        # How often a class of characters follows another, with ``trust`` moves' worth of how often it stands anywhere.
+        moves = Counter(pair for t in tokens for pair in pairwise(["", *(CLASS_OF.get(c, c) for c in t)]))
+        names = (*CLASSES, *"+/_.=-")
+        anywhere = {b: 1 + sum(moves[a, b] for a in ("", *names)) for b in names}
+        total = sum(anywhere.values())
+        self.moves = {
+            (a, b): (moves[a, b] + trust * anywhere[b] / total) / (sum(moves[a, c] for c in names) + trust)
+            for a in ("", *names)
+            for b in names
+        }
         self.mixed = mixed
 
     def _differ(self, a: int, b: int, n: int, m: int) -> bool:
@@ -169,56 +178,91 @@ class Automaton:
         for state in self.states:
             state.nexts = {s: order[t] for s, t in state.nexts.items()}
 
-    def follows(self, token: str) -> bool:
-        """Whether the automaton has a path for the token."""
-        at = 0
-        for s in symbols(token):
-            if s not in self.states[at].nexts:
-                return False
-            at = self.states[at].nexts[s]
-        return True
+    @cached_property
+    def tables(self) -> tuple[list[dict[str, tuple[float, int]]], list[dict[str, tuple[float, int]]], dict[str, dict[str, float]]]:
+        """What a character adds to a token's chance, by what is before it.
+
+        For a token's first characters, and for the others, by state: the share of the state's
+        frequency, and where it leads to; the last state is the one off all paths. Then, by the
+        character before: the share of the classes' moves.
+        """
+        both: tuple[list, list] = [], []
+        for literal, table in zip((True, False), both, strict=True):
+            for state in (*self.states, None):
+                own = dict.fromkeys(ALPHABET, (0.0, -1))
+                for c in ALPHABET if state is not None else "":
+                    name = CLASS_OF.get(c, c)
+                    s, size = ("=" + c, 1) if literal else (name, len(CLASSES.get(name, " ")))
+                    own[c] = (1 - self.mixed) * state.counts[s] / max(1, state.count) / size, state.nexts.get(s, -1)
+                table.append(own)
+        moves = {
+            a: {c: self.mixed * self.moves[CLASS_OF.get(a, a), name] / len(CLASSES.get(name, " ")) for c in ALPHABET for name in (CLASS_OF.get(c, c),)}
+            for a in ("", *ALPHABET)
+        }
+        return *both, moves
 
     def log_likelihood(self, token: str) -> float:
-        """Per character its state's frequencies, mixed with those of all characters; then the end."""
-        at: State | None = self.states[0]
-        result = 0.0
-        for i, c in enumerate(token):
-            name = CLASS_OF.get(c, c)
-            s, width = ("=" + c, 0.0) if i < LITERAL else (name, WIDTH.get(name, 0.0))
-            chance = self.mixed * math.exp(self.plain[name] - WIDTH.get(name, 0.0))
-            if at is not None:
-                chance += (1 - self.mixed) * at.counts[s] / max(1, at.count) * math.exp(-width)
-                at = self.states[at.nexts[s]] if s in at.nexts else None
-            result += math.log(chance)
-        stop = at.ends / max(1, at.count) if at is not None else 0.0
+        """Per character its state's frequencies, mixed with how classes follow each other; then the end."""
+        first, others, moves = self.tables
+        at, before, result = 0, "", 0.0
+        for table, part in ((first, token[:LITERAL]), (others, token[LITERAL:])):
+            for c in part:
+                chance, at = table[at][c]
+                result += math.log(chance + moves[before][c])
+                before = c
+        stop = self.states[at].ends / max(1, self.states[at].count) if at >= 0 else 0.0
         return result + math.log((1 - self.mixed) * stop + self.mixed)
 
 
 @dataclass(frozen=True)
 class Model:
+    """The automata, and by kind the log odds a character that a token needs."""
+
     automata: dict[str, Automaton]
+    least: dict[str, float]
 
-    def judge(self, token: str) -> tuple[str | None, float]:
-        """The most likely kind if it beats an ordinary token by ``LEAST_ODDS`` a character, and the log odds.
+    def odds(self, kind: str, token: str) -> float:
+        """Log odds a character."""
+        return (self.automata[kind].log_likelihood(token) - self.automata[ORDINARY].log_likelihood(token)) / len(token)
 
-        Only kinds whose automaton has a path for the token are asked.
-        """
-        kinds = [k for k in KINDS if k in self.automata and self.automata[k].follows(token)]
-        if not kinds:
+    def judge(self, token: str) -> tuple[str | None, float]:
+        """Of the kinds whose limit the token reaches, the one with the highest log odds a character, and these odds."""
+        if not self.least:
             return None, 0.0
         ordinary = self.automata[ORDINARY].log_likelihood(token)
-        best = max(kinds, key=lambda k: self.automata[k].log_likelihood(token))
-        odds = self.automata[best].log_likelihood(token) - ordinary
-        return (best if odds >= LEAST_ODDS * len(token) else None), odds
+        odds = {k: (self.automata[k].log_likelihood(token) - ordinary) / len(token) for k in self.least}
+        kinds = [k for k in odds if odds[k] >= self.least[k]] or list(odds)
+        best = max(kinds, key=odds.__getitem__)
+        return (best if odds[best] >= self.least[best] else None), odds[best]
 
 
 def fit(tokens: dict[str, list[str]]) -> Model:
-    """Automata of the kinds that have tokens, and of ordinary ones."""
-    automata = {k: Automaton(tokens[k]) for k in KINDS if tokens.get(k)}
-    return Model(automata | {ORDINARY: Automaton(tokens.get(ORDINARY, []))})
+    """Automata of the kinds that have tokens, and of ordinary ones, and the limits between.
+
+    Four of five tokens make the automata. The others say what odds ordinary tokens reach: the limit is
+    where one in a thousand of them would pass, not below ``LEAST_ODDS``, and not so high that more than
+    a tenth of a kind's own tokens would fail.
+    """
+
+    def parts(kind: str) -> tuple[list[str], list[str]]:
+        own = tokens.get(kind, [])
+        return [t for i, t in enumerate(own) if i % 5 < 4], own[4::5] or own
+
+    kinds = [k for k in KINDS if tokens.get(k)]
+    model = Model({k: Automaton(parts(k)[0]) for k in (*kinds, ORDINARY)}, {})
+    for k in kinds:
+        own = sorted(model.odds(k, t) for t in parts(k)[1])
+        low = own[len(own) // 10]
+        others = sorted(model.odds(k, t) for t in parts(ORDINARY)[1])
+        high = others[len(others) - 1 - len(others) // 1000] if others else low
+        model.least[k] = max(LEAST_ODDS, min(low, high))
+    return model
+
+
+MOST = {**dict.fromkeys(KINDS, SAMPLE_TOKENS), ORDINARY: ORDINARY_TOKENS}
 
 
-def labelled_tokens(docs: DataFrame, most: int = SAMPLE_TOKENS) -> dict[str, list[str]]:
+def labelled_tokens(docs: DataFrame) -> dict[str, list[str]]:
     """By kind the first different tokens of all documents by hash; see the module's text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,7 +275,7 @@ def labelled_tokens(docs: DataFrame, most: int = SAMPLE_TOKENS) -> dict[str, lis
             found[ORDINARY].update(text[s:e] for s, e in other_tokens(text or "", spans) if e - s <= LONGEST)
         # The first of all are among the first of each slice.
         hashed = {k: ((xxhash.xxh64_intdigest(t) >> 1, t) for t in tokens) for k, tokens in found.items()}
-        rows = [(k, h, t) for k, tokens in hashed.items() for h, t in heapq.nsmallest(most, tokens)]
+        rows = [(k, h, t) for k, tokens in hashed.items() for h, t in heapq.nsmallest(MOST[k], tokens)]
         kinds = zip(("kind", "h", "token"), (pa.string(), pa.int64(), pa.string()))
         return pa.RecordBatch.from_pydict({c: pa.array([row[i] for row in rows], t) for i, (c, t) in enumerate(kinds)})
 
@@ -239,7 +283,7 @@ def labelled_tokens(docs: DataFrame, most: int = SAMPLE_TOKENS) -> dict[str, lis
     tokens = cut(map_texts(source, run, "kind string, h bigint, token string").distinct())
     return {
         kind: [r["token"] for r in tokens.where(F.col("kind") == kind).orderBy("h", "token").limit(most).collect()]
-        for kind in (*KINDS, ORDINARY)
+        for kind, most in MOST.items()
     }
 
 
