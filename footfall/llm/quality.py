@@ -36,7 +36,7 @@ class Rules:
     window: int = 3
     max_window_percent: int = 50
     repeat: int = 10
-    max_covered_percent: int = 50
+    max_covered_percent: int = 30
     max_repeat: int = 100
 
 

@@ -25,7 +25,7 @@ def plain_version(documents, benchmark):
                 counts.setdefault(tuple(words[i : i + size]), []).append(i)
             repeats[size] = len({at + j for places in counts.values() if len(places) > 1 for at in places for j in range(size)})
         n = len(words)
-        if n < 50 or 100 * repeats[3] > 50 * n or 100 * repeats[10] > 50 * n or repeats[101]:
+        if n < 50 or 100 * repeats[3] > 50 * n or 100 * repeats[10] > rules.max_covered_percent * n or repeats[101]:
             continue
         kept.append(row)
     fps = {r["doc_id"]: simhash.fingerprint(simhash.shingle_hashes((r["text"] or "").encode(), 3)) for r in kept}

@@ -64,8 +64,12 @@ PROSE = " ".join(f"w{i}" for i in range(80))
         (" ".join(f"w{i}" for i in range(50)), False, True),
         ("the same again " * 30, True, False),
         (PROSE, False, True),
-        # Half of the words in repeats of ten or more: kept; one more: rejected.
-        (" ".join(f"w{i}" for i in range(25)) + " " + " ".join(f"w{i}" for i in range(25)) + " " + " ".join(f"v{i}" for i in range(50)), False, True),
+        # Three of ten words in repeats of ten or more: kept; more, though the base rule lets it pass: rejected.
+        (" ".join([*(f"w{i}" for i in range(15)), *(f"v{i}" for i in range(70)), *(f"w{i}" for i in range(15))]), False, True),
+        (" ".join([*(f"w{i}" for i in range(16)), *(f"v{i}" for i in range(70)), *(f"w{i}" for i in range(16))]), False, False),
+        (" ".join([*(f"w{i}" for i in range(25)), *(f"w{i}" for i in range(25)), *(f"v{i}" for i in range(50))]), False, False),
+        # Repeats of fewer than ten words do not count.
+        (" ".join([*(f"w{i % 9} x{i // 9}" if i % 9 == 8 else f"w{i % 9}" for i in range(18)), *(f"v{i}" for i in range(40))]), False, True),
         # A repeat of 101 words in a long text.
         (" ".join([*(f"w{i}" for i in range(101)), *(f"v{i}" for i in range(500)), *(f"w{i}" for i in range(101))]), False, False),
         (" ".join([*(f"w{i}" for i in range(100)), *(f"v{i}" for i in range(500)), *(f"w{i}" for i in range(100))]), False, True),
