@@ -4,14 +4,14 @@ A text is its words and one end. The leading bits of a word's hash, three at a t
 subclass and so on, so a word's probability after a history is a product of softmaxes over eight
 classes each, and of the word's share in the last class. Each softmax adds the logarithm of the
 classes' counts and weights of three features: the word before (n-gram of two), the two words before
-(n-gram of three), and the word before the last (skip). Weights lie in ``ROWS`` hashed rows of eight.
+(n-gram of three), and the word before the last (skip). Weights lie in ``ROWS`` hashed rows of eight for each level of classes.
 There are as many classes as the training words ask for, at most ``8 ** MAX_DEPTH``. With all weights
 zero the model is the smoothed unigram model; within a last class words keep their smoothed shares,
 and each has one place for all words not seen.
 
 Training goes over all training rows, one part of them in each of ``ROUNDS`` rounds: tasks sum the gradient of the
 log-likelihood over their texts, Spark adds the sums row by row, and the weights take a step along
-them, scaled by how often a row was met. What is broadcast is bounded: ``ROWS`` rows of eight weights,
+them, scaled by how often a row was met. What is broadcast is bounded: the rows of weights,
 the classes' counts, and the head of the vocabulary, the words of at most ``HEAD_BYTES`` bytes that
 make up at least one in ``HEAD`` training tokens, of which there can be no more than ``HEAD``. The counts
 of all other words, however many there are, meet the texts by a shuffle join.
@@ -38,10 +38,10 @@ from footfall.llm.common import BLANKS, UPPER, map_texts, raw_texts, show_packag
 from footfall.operators.lookup import shuffled_join
 
 FAN, FAN_BITS, MAX_DEPTH = 8, 3, 5
-ROW_BITS = 18
-ROWS = 1 << ROW_BITS
+ROW_BITS = 16
+ROWS = 1 << ROW_BITS  # of each level
 FEATURES = 3
-ROUNDS, RATE, PRIOR = 3, 0.25, 3.0
+ROUNDS, RATE, PRIOR = 2, 0.3, 3.0
 HEAD, HEAD_BYTES = 1 << 18, 64
 SMOOTH = 0.1
 END_WORD = " "  # no word of a text has a blank
@@ -53,6 +53,7 @@ CHUNK = 1 << 20  # bytes whose words are hashed at once
 FOLDED = bytes(b + 32 if b in UPPER else 32 if b in BLANKS else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
 END, START = np.uint64(0x8F1BBCDC8F1BBCDC), np.uint64(0x5A8279995A827999)
+NODE = 0xD6E8FEB86659FD93
 SHIFT = np.uint64(64 - ROW_BITS)
 ONES = np.ones(FAN, np.float32)
 
@@ -154,8 +155,8 @@ def last_classes(hashes: np.ndarray, depth: int) -> np.ndarray:
 class Gradient:
     """Sums over tokens: what was seen less what was expected, by weight, and how often a row was met."""
 
-    wrong: np.ndarray = field(default_factory=lambda: np.zeros(ROWS * FAN, np.float32))
-    met: np.ndarray = field(default_factory=lambda: np.zeros(ROWS, np.float32))
+    wrong: np.ndarray = field(default_factory=lambda: np.zeros((MAX_DEPTH, ROWS, FAN), np.float32))
+    met: np.ndarray = field(default_factory=lambda: np.zeros((MAX_DEPTH, ROWS), np.float32))
 
 
 class Model:
@@ -163,55 +164,54 @@ class Model:
 
     def __init__(self, mass: np.ndarray, weights: np.ndarray | None = None):
         self.depth = round(math.log(len(mass), FAN))
-        self.weights = np.zeros((ROWS, FAN), np.float32) if weights is None else weights
+        self.weights = np.zeros((MAX_DEPTH, ROWS, FAN), np.float32) if weights is None else weights
         # By level: the logarithms of the classes' shares in the class above, a row for each of these.
         masses = [mass.reshape(FAN**level, FAN, -1).sum(axis=2) for level in range(self.depth)]
         self.biases = [np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32) for m in masses]
         self.log_mass = np.log(mass)
 
-    def _levels(self, tokens: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level: the rows of weights by feature, the places of the classes taken, the logits, and the sums of their exponentials.
+    def _level(self, level: int, tokens: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of weights by feature, the places of the classes taken, the logits, and their exponentials.
 
         Logits are below the weights' few steps, so that no exponential is too large.
         """
-        first = np.arange(len(tokens)) * FAN
-        for level in range(self.depth):
-            node = np.full(len(tokens), (FAN**level - 1) // (FAN - 1) + 1, np.uint64)
-            above = tokens >> np.uint64(64 - FAN_BITS * level) if level else np.zeros(len(tokens), np.uint64)
-            node += above
-            node *= np.uint64(0xD6E8FEB86659FD93)
-            taken = (tokens >> np.uint64(64 - FAN_BITS * (level + 1))) & np.uint64(FAN - 1)
-            rows = (((features ^ node) * np.uint64(BASE)) >> SHIFT).astype(np.int64)
-            logits = self.biases[level].take(above.astype(np.int64), axis=0)
-            for own in rows:
-                logits += self.weights.take(own, axis=0)
-            powers = np.exp(logits)
-            yield rows, first + taken.astype(np.int64), logits, powers
+        above = tokens >> np.uint64(64 - FAN_BITS * level) if level else np.zeros(len(tokens), np.uint64)
+        taken = (tokens >> np.uint64(64 - FAN_BITS * (level + 1))) & np.uint64(FAN - 1)
+        node = (above + np.uint64(1)) * np.uint64(NODE)
+        rows = (((features ^ node) * np.uint64(BASE)) >> SHIFT).astype(np.int64)
+        logits = self.biases[level].take(above.astype(np.int64), axis=0)
+        for own in rows:
+            logits += self.weights[level].take(own, axis=0)
+        return rows, np.arange(len(tokens)) * FAN + taken.astype(np.int64), logits, np.exp(logits)
 
     def log_chances(self, texts: Stream) -> np.ndarray:
         """By token, the logarithm of the chance of its last class, less that class's mass."""
-        result = np.empty(len(texts.tokens))
-        for i, tokens, features in texts.blocks():
-            total = -self.log_mass.take(last_classes(tokens, self.depth))
-            for _, taken, logits, powers in self._levels(tokens, features):
-                total += logits.ravel().take(taken) - np.log(powers @ ONES)
-            result[i : i + len(tokens)] = total
+        result = -self.log_mass.take(last_classes(texts.tokens, self.depth))
+        blocks = list(texts.blocks())
+        # One level after the other, so that its weights stay near the processor.
+        for level in range(self.depth):
+            for i, tokens, features in blocks:
+                _, taken, logits, powers = self._level(level, tokens, features)
+                result[i : i + len(tokens)] += logits.ravel().take(taken) - np.log(powers @ ONES)
         return result
 
     def add_gradient(self, texts: Stream, gradient: Gradient) -> None:
         columns = np.arange(FAN)
-        for _, tokens, features in texts.blocks():
-            for rows, taken, _, powers in self._levels(tokens, features):
+        blocks = list(texts.blocks())
+        for level in range(self.depth):
+            sums, met = gradient.wrong[level].ravel(), gradient.met[level]
+            for _, tokens, features in blocks:
+                rows, taken, _, powers = self._level(level, tokens, features)
                 powers *= (-1 / (powers @ ONES))[:, None]
                 wrong = powers.ravel()
                 wrong[taken] += 1
                 for own in rows:
-                    np.add.at(gradient.wrong, np.add.outer(own * FAN, columns).ravel(), wrong)
-                    np.add.at(gradient.met, own, np.float32(1))
+                    np.add.at(sums, np.add.outer(own * FAN, columns).ravel(), wrong)
+                    np.add.at(met, own, np.float32(1))
 
     def stepped(self, wrong: np.ndarray, met: np.ndarray) -> Model:
         """The model after a step along the gradient; rows met more often take it with more certainty."""
-        step = RATE * wrong.reshape(ROWS, FAN) / (met[:, None] / FAN + PRIOR)
+        step = RATE * wrong / (met[..., None] / FAN + PRIOR)
         after = Model.__new__(Model)
         after.__dict__.update(self.__dict__)
         after.weights = self.weights + np.clip(step, -1, 1).astype(np.float32)
@@ -280,9 +280,9 @@ def trained(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             for batch in slices(batches, "text", SLICE):
                 shared.value.add_gradient(stream([t.translate(FOLDED) for t in raw_texts(batch.column("text"))]), gradient)
             met = np.flatnonzero(gradient.met)
-            wrong = gradient.wrong.reshape(ROWS, FAN)[met]
+            wrong = gradient.wrong.reshape(-1, FAN)[met]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(met.astype(np.int32)), pa.array(gradient.met[met]), *[pa.array(wrong[:, i].copy()) for i in range(FAN)]],
+                [pa.array(met.astype(np.int32)), pa.array(gradient.met.ravel()[met]), *[pa.array(wrong[:, i].copy()) for i in range(FAN)]],
                 ["row", "met", *parts],
             )
 
@@ -295,11 +295,11 @@ def trained(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         sums = own.mapInArrow(gradients(shared), schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("met", *parts)])
         found = sums.toArrow()
         at = found.column("row").to_numpy()
-        wrong, met = np.zeros((ROWS, FAN)), np.zeros(ROWS)
+        wrong, met = np.zeros((MAX_DEPTH * ROWS, FAN)), np.zeros(MAX_DEPTH * ROWS)
         met[at] = found.column("met").to_numpy()
         for i, name in enumerate(parts):
             wrong[at, i] = found.column(name).to_numpy()
-        model = model.stepped(wrong, met)
+        model = model.stepped(wrong.reshape(MAX_DEPTH, ROWS, FAN), met.reshape(MAX_DEPTH, ROWS))
         shared.unpersist()
     return model
 
