@@ -170,6 +170,12 @@ class Model:
         self.biases = [np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32) for m in masses]
         self.log_mass = np.log(mass)
 
+    def __setstate__(self, state: dict) -> None:
+        """After unpickling, arrays have types of their own, with which numpy adds many times slower than with its."""
+        self.__dict__.update(state)
+        self.weights = self.weights.view(np.float32)
+        self.biases = [b.view(np.float32) for b in self.biases]
+
     def _level(self, level: int, tokens: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The rows of weights by feature, the places of the classes taken, the logits, and their exponentials.
 
