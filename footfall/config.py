@@ -54,6 +54,10 @@ class Settings:
     ``merge_sessions`` leaves the session out of the keys by which repeated events of one second
     are collapsed, so that equal events of two sessions in the same second count once.
     ``single_file`` writes each CSV and JSON report as one file, by one task.
+
+    ``files_per_batch`` is how many new log files a step of the intake reads. ``buckets`` is into how
+    many parts a day's lines, and the dumped values, are divided by the keys they are joined on; it
+    holds from the first run on. A day whose lines lie in more than ``parts_per_day`` parts is folded into one.
     """
 
     web_model: tuple[str, ...]
@@ -66,6 +70,13 @@ class Settings:
     merge_sessions: bool = False
     single_file: bool = False
     limits: Limits = Limits()
+    files_per_batch: int = 10_000
+    buckets: int = 64
+    parts_per_day: int = 4
+
+    @property
+    def logs(self) -> dict[str, tuple[str, ...]]:
+        return {"access": self.access_logs, "runtime": self.runtime_logs}
 
     @property
     def enriched(self) -> str:
@@ -79,6 +90,27 @@ class Settings:
     def extracts(self) -> str:
         return f"{self.output}/extracts"
 
+    @property
+    def staged(self) -> str:
+        return f"{self.output}/staged"
+
+    @property
+    def quarantine(self) -> str:
+        return f"{self.output}/quarantine"
+
+    @property
+    def aggregates(self) -> str:
+        # Counts that keep sessions apart and counts that do not are not the same.
+        return f"{self.output}/aggregates/{'merged' if self.merge_sessions else 'apart'}"
+
+    @property
+    def values(self) -> str:
+        return f"{self.output}/values"
+
+    @property
+    def model(self) -> str:
+        return f"{self.output}/model"
+
     @property
     def line_counts(self) -> str:
         return f"{self.output}/lines"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.text import blank_to_null, groups, pinned, utc_time
@@ -26,8 +28,8 @@ def _parameter(url: Column, mark: str, pattern: str) -> Column:
     return F.when(url.contains(mark), F.regexp_extract(url, pattern, 1)).otherwise("")
 
 
-def parse_access_log(lines: DataFrame) -> DataFrame:
-    """One row per line of column ``value``; ``shape`` is null where no shape fits.
+def parse_access_log(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per line of column ``value``; ``shape`` is null where no shape fits. Columns in ``keep`` stay.
 
     The first shape that fits decides how every field is read:
 
@@ -37,7 +39,7 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     4. only the source counts;
     5. a request with the session in its URL, which needs no status, bytes or session field.
     """
-    framed = lines.select(groups("value", LINE, 5).alias("f"))
+    framed = lines.select(groups("value", LINE, 5).alias("f"), *keep)
     rest = F.get("f", 4)
     url = F.substring_index(rest, " ", 1)
     fields = pinned(
@@ -52,6 +54,7 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
             _parameter(url, "link=", LINK).alias("link"),
             _parameter(url, "att", OBJECT).alias("object"),
             F.when(rest.startswith(";"), F.regexp_extract(rest, URL_SESSION, 1)).alias("url_session"),
+            *keep,
         )
     )
     full = F.col("tail").isNotNull()
@@ -78,6 +81,7 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
         F.when(is_click, F.substring_index("object", "=", -1).try_cast("bigint"))
         .when(shape.isNotNull(), F.lit(0).cast("bigint"))
         .alias("clicked_oid"),
+        *keep,
     )
 
 

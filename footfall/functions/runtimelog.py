@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions.text import blank_to_null, groups, pinned, utc_time
@@ -38,13 +40,13 @@ def split_oids(text: Column) -> Column:
     return F.transform(F.split(text, ", "), lambda x: x.try_cast("bigint"))
 
 
-def parse_runtime_log(lines: DataFrame) -> DataFrame:
-    """One row per line of column ``value``; ``shape`` is null where no shape fits.
+def parse_runtime_log(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per line of column ``value``; ``shape`` is null where no shape fits. Columns in ``keep`` stay.
 
     Shapes: 1 with the objects shown, 2 with an empty object list, 3 without a trace, 4 without a
     unit. The pattern tries them in this order and all fields come from the one that fits.
     """
-    framed = lines.select(groups("value", LINE, GROUP_COUNT).alias("f"))
+    framed = lines.select(groups("value", LINE, GROUP_COUNT).alias("f"), *keep)
 
     def group(number: int) -> Column:
         return blank_to_null(F.get("f", number))
@@ -71,5 +73,6 @@ def parse_runtime_log(lines: DataFrame) -> DataFrame:
         field(4).alias("trace"),
         F.when(shape.isNotNull(), F.coalesce(field(5), F.lit(""))).alias("message"),
         split_oids(field(6)).alias("oids"),
+        *keep,
     )
     return pinned(fields)

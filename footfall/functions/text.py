@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SEPARATOR = "\u0001"
+DAY = 24 * 60 * 60
 
 
 def last_segment(text: Column | str, mark: str) -> Column:
@@ -38,6 +39,11 @@ def utc_time(text: Column, form: str) -> Column:
     return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(form))
 
 
+def day_of(time: str) -> Column:
+    """The day in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_timestamp(time) / DAY).cast("int"))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.operators.instances import top10_clicked, top10_displayed
-from footfall.operators.links import input_link, output_link
-from footfall.operators.navigation import residence_time
-from footfall.operators.sessions import average_visits, bounce_rate, entrance_rate
+from footfall.operators.instances import (
+    CLICKED_UNIT,
+    SHOWN_UNIT,
+    top10_clicked,
+    top10_displayed,
+    top_clicked,
+    top_displayed,
+)
+from footfall.operators.links import STEP, input_link, link_share, output_link
+from footfall.operators.navigation import mean_stay, residence_time
+from footfall.operators.sessions import (
+    PAGE,
+    average_visits,
+    bounce_rate,
+    end_share,
+    entrance_rate,
+    visit_share,
+)
 
 # Report name -> its measure in the combined report, in the order of the columns there.
 MEASURES = {
@@ -48,6 +62,30 @@ def all_reports(
     }
 
 
+def counted_reports(sums: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same reports from counts by day: ``visits``, ``clicks``, ``clicked``, ``shown``, ``stays`` and ``ends``.
+
+    A day's counts are of seconds, stays and sessions that no other day counts, so they add up.
+    """
+
+    def added(name: str, keys: Sequence[str], *counts: str) -> DataFrame:
+        return sums[name].groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+    ends = added("ends", ("end", *PAGE), "sessions")
+    last = ends.where("end = 'last'")
+    clicks = added("clicks", STEP, "clicks")
+    return {
+        "residence_time": mean_stay(sums["stays"]),
+        "average_visits": visit_share(added("visits", PAGE, "visits"), last.agg(F.sum("sessions"))),
+        "bounce_rate": end_share(last, "bounce_rate"),
+        "entrance_rate": end_share(ends.where("end = 'first'"), "entrance_rate"),
+        "output_link": link_share(clicks, "source_page_id", "link_out"),
+        "input_link": link_share(clicks, "requested_page_id", "link_in"),
+        "top10_clicked": top_clicked(added("clicked", (*CLICKED_UNIT, "value"), "n")),
+        "top10_displayed": top_displayed(added("shown", (*SHOWN_UNIT, "value"), "n")),
+    }
+
+
 def combined_analysis(reports: Mapping[str, DataFrame]) -> DataFrame:
     """Per page, link or component, every measure any report has for it.
 

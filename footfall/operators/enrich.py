@@ -63,7 +63,12 @@ class Site:
     @cached_property
     def displayed(self) -> dict[values.Name | None, tuple[int, int]]:
         """Rows and bytes of the combined model by what they display."""
-        return values.displayed_columns(self.dumps, self.combined)
+        return values.displayed_names(self.headers, self.combined)
+
+    @property
+    def headers(self) -> values.Headers:
+        """The dumps' columns."""
+        return values.headers(self.dumps)
 
     def _small(self, name: str) -> Callable[[], bool]:
         return lambda: self.sizes.within(self.limits, name)
@@ -114,7 +119,7 @@ class Site:
         return None
 
     @cached_property
-    def stored_values(self) -> values.StoredValues:
+    def stored_values(self) -> values.StoredValues | values.KeptValues:
         return values.StoredValues(self.spark, self.dumps, lambda: self.displayed, self.limits, self.dump_bytes)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.text import counted, unit_label
@@ -58,41 +60,56 @@ def extract(log: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, *EXTRACT).distinct()
 
 
-def shown_values(extracted: DataFrame) -> DataFrame:
-    return _named(extracted, "shown", SHOWN)
+def shown_values(extracted: DataFrame, *keep: str) -> DataFrame:
+    return _named(extracted, "shown", SHOWN, keep)
 
 
-def clicked_values(extracted: DataFrame) -> DataFrame:
-    return _named(extracted, "clicked", CLICKED)
+def clicked_values(extracted: DataFrame, *keep: str) -> DataFrame:
+    return _named(extracted, "clicked", CLICKED, keep)
 
 
-def _named(extracted: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
+def _named(extracted: DataFrame, kind: str, names: dict[str, str], keep: Sequence[str]) -> DataFrame:
     rows = extracted.where(F.col("kind") == kind)
-    return rows.select("time", "session_id", *[F.col(name).alias(c) for name, c in names.items()])
+    return rows.select("time", "session_id", *[F.col(name).alias(c) for name, c in names.items()], *keep)
 
 
-def _count(events: DataFrame, once: list[str], unit: tuple[str, str], value: str, merge_sessions: bool) -> DataFrame:
+def _count(
+    events: DataFrame, once: list[str], unit: tuple[str, str], value: str, merge_sessions: bool, by: Sequence[str]
+) -> DataFrame:
     session = [] if merge_sessions else ["session_id"]
     return (
-        events.select("time", *session, *unit, value, *once)
+        events.select("time", *session, *unit, value, *once, *by)
         .distinct()
-        .groupBy(*unit, F.col(value).alias("value"))
+        .groupBy(*unit, F.col(value).alias("value"), *by)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def displayed_counts(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
-    """How often each component showed each naming value; once per session, second and attribute."""
+SHOWN_UNIT = ("unit_id", "displayed_unit_name")
+CLICKED_UNIT = ("clicked_link_id", "clicked_link_name")
+
+
+def displayed_counts(log: DataFrame, merge_sessions: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """How often each component showed each naming value; once per session, second and attribute.
+
+    ``by`` names further columns to count by. Counts by day add up, as a second is on one day.
+    """
     shown = log.where(_is_shown())
-    unit = ("unit_id", "displayed_unit_name")
-    return _count(shown, ["displayed_attribute_name"], unit, "displayed_oid_value", merge_sessions)
+    return _count(shown, ["displayed_attribute_name"], SHOWN_UNIT, "displayed_oid_value", merge_sessions, by)
 
 
-def clicked_counts(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
+def clicked_counts(log: DataFrame, merge_sessions: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """How often each named link was clicked on each naming value; once per session, second and column."""
     clicked = log.where(_is_clicked())
-    unit = ("clicked_link_id", "clicked_link_name")
-    return _count(clicked, ["clicked_type_oid"], unit, "clicked_oid_value", merge_sessions)
+    return _count(clicked, ["clicked_type_oid"], CLICKED_UNIT, "clicked_oid_value", merge_sessions, by)
+
+
+def top_displayed(counts: DataFrame) -> DataFrame:
+    return _top(counts, SHOWN_UNIT, "top10_displayed_instances")
+
+
+def top_clicked(counts: DataFrame) -> DataFrame:
+    return _top(counts, CLICKED_UNIT, "top10_clicked_instances")
 
 
 def _top(counts: DataFrame, unit: tuple[str, str], name: str) -> DataFrame:
@@ -110,8 +127,8 @@ def _top(counts: DataFrame, unit: tuple[str, str], name: str) -> DataFrame:
 
 
 def top10_displayed(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
-    return _top(displayed_counts(log, merge_sessions), ("unit_id", "displayed_unit_name"), "top10_displayed_instances")
+    return top_displayed(displayed_counts(log, merge_sessions))
 
 
 def top10_clicked(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
-    return _top(clicked_counts(log, merge_sessions), ("clicked_link_id", "clicked_link_name"), "top10_clicked_instances")
+    return top_clicked(clicked_counts(log, merge_sessions))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from footfall.functions.text import DAY, day_of
 from footfall.operators.sessions import PAGE, page_label
 
 # Fixed value: a page counts as the next one only if it follows within this many seconds.
@@ -72,16 +76,38 @@ def next_navigation(log: DataFrame) -> DataFrame:
     )
 
 
-def residence_time(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
-    """Per page, the mean seconds to the next page; repeated views count from the first."""
-    session = [] if merge_sessions else ["session_id"]
-    stays = (
+def _stays(log: DataFrame, session: Sequence[str]) -> DataFrame:
+    """Each way from a page to the next, from its first view on."""
+    return (
         next_navigation(log)
         .groupBy(*PAGE, "next_time", "next_page_id", *session)
         .agg(F.min("time").alias("time"))
+        .withColumn("seconds", F.unix_timestamp("next_time") - F.unix_timestamp("time"))
     )
-    seconds = F.unix_timestamp("next_time") - F.unix_timestamp("time")
-    return (
-        stays.groupBy(page_label().alias("unit_id"))
-        .agg((F.sum(seconds) / F.count(F.lit(1))).alias("residence_time"))
-    )
+
+
+def mean_stay(sums: DataFrame) -> DataFrame:
+    """From ``seconds`` and ``stays`` by page the mean of a stay."""
+    return sums.groupBy(page_label().alias("unit_id")).agg((F.sum("seconds") / F.sum("stays")).alias("residence_time"))
+
+
+def residence_time(log: DataFrame, merge_sessions: bool = False) -> DataFrame:
+    """Per page, the mean seconds to the next page; repeated views count from the first."""
+    session = [] if merge_sessions else ["session_id"]
+    return mean_stay(_stays(log, session).withColumn("stays", F.lit(1)))
+
+
+def stays_of_days(visits: DataFrame, days: Sequence[date], merge_sessions: bool = False) -> DataFrame:
+    """Per page and day, the ``seconds`` and number of the ``stays`` that end on that day; they add up over days.
+
+    ``visits`` have an ``event_date``. All views that a stay of a day begins with are on that day or in the
+    hour before it, so these are all that is read, and lines that come in for a day change the stays of
+    that day and of the next one only.
+    """
+    before = [d - timedelta(days=1) for d in days]
+    last_hour = F.unix_timestamp("time") % DAY >= DAY - HORIZON
+    needed = F.col("event_date").isin(list(days)) | (F.col("event_date").isin(before) & last_hour)
+    session = [] if merge_sessions else ["session_id"]
+    stays = _stays(visits.where(F.col("event_date").isin([*days, *before]) & needed), session)
+    ending = stays.withColumn("event_date", day_of("next_time")).where(F.col("event_date").isin(list(days)))
+    return ending.groupBy("event_date", *PAGE).agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("stays"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from footfall.config import Limits
 from footfall.operators.lookup import Lookup, Sizes, row_bytes
 from footfall.sources.dumps import dump_columns, dump_values, object_values, one_row_per_object
+from footfall.sources.valuestore import ValueStore
 
 KEYS = ["oid", "value_table", "value_column"]
 
@@ -23,14 +24,21 @@ def headers(dumps: Mapping[str, DataFrame]) -> dict[str, dict[str, str]]:
     return {table: {c.upper(): c for c in dump_columns(dump)} for table, dump in dumps.items()}
 
 
+Headers = Mapping[str, Mapping[str, str]]
+
+
 def displayed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[Name | None, tuple[int, int]]:
     """Rows and bytes of ``shown``, the model's displayed attributes, by the (table, column) they name.
 
     Names that the dumps do not have count together as None, so there are no more than the dumps
     have columns, and one.
     """
+    return displayed_names(headers(dumps), shown)
+
+
+def displayed_names(headers: Headers, shown: DataFrame) -> dict[Name | None, tuple[int, int]]:
     table, column = F.upper("table_db"), F.upper("attribute_database_column")
-    known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers(dumps).items()]
+    known = [table.isin(t.upper()) & column.isin(*names) for t, names in headers.items()]
     name = F.when(reduce(or_, known, F.lit(False)), F.struct(table.alias("t"), column.alias("c")))
     rows = shown.groupBy(name.alias("name")).agg(F.count(F.lit(1)), F.sum(row_bytes(shown))).collect()
     return {None if name is None else tuple(name): (count, total) for name, count, total in rows}
@@ -38,11 +46,12 @@ def displayed_columns(dumps: Mapping[str, DataFrame], shown: DataFrame) -> dict[
 
 def needed_columns(dumps: Mapping[str, DataFrame], names: Iterable[Name | None]) -> dict[str, list[str]]:
     """Per dump, those of its columns that are named. The CSV scans read them and no others."""
+    return named_columns(headers(dumps), names)
+
+
+def named_columns(headers: Headers, names: Iterable[Name | None]) -> dict[str, list[str]]:
     found = set(names)
-    return {
-        t: [name for upper, name in columns.items() if (t.upper(), upper) in found]
-        for t, columns in headers(dumps).items()
-    }
+    return {t: [name for upper, name in columns.items() if (t.upper(), upper) in found] for t, columns in headers.items()}
 
 
 class StoredValues:
@@ -97,6 +106,32 @@ class StoredValues:
         return Lookup(object_values(self.spark, self.objects, self.columns, keys()), KEYS, self.limits, small=lambda: False)
 
 
+class KeptValues:
+    """The same from a store that is kept by table and column, in buckets of the keys."""
+
+    def __init__(self, store: ValueStore, names: Callable[[], Iterable[Name | None]], limits: Limits):
+        self.store = store
+        self.names = names
+        self.limits = limits
+
+    @cached_property
+    def columns(self) -> dict[str, list[str]]:
+        return {t: names for t, names in named_columns(self.store.headers, self.names()).items() if names}
+
+    @cached_property
+    def is_small(self) -> bool:
+        """Whether the tables with needed columns may be broadcast; their sizes were stored with them."""
+        values, total = self.store.size(self.columns)
+        return values <= self.limits.broadcast_rows and total <= self.limits.broadcast_bytes
+
+    def lookup(self, keys: Callable[[], DataFrame]) -> Lookup:
+        """What to join facts with: small values as they are, else those of the different ``keys``, found bucket by bucket."""
+        values = self.store.values(self.columns)
+        if self.is_small:
+            return Lookup(values, KEYS, self.limits, small=lambda: True)
+        return Lookup(keys().join(values, KEYS).select(*values.columns), KEYS, self.limits, small=lambda: False)
+
+
 def clicked_keys(hits: DataFrame) -> DataFrame:
     """The different (object, table, column) that clicks refer to."""
     return (
@@ -123,7 +158,7 @@ def lookup_keys(hits: DataFrame, shown: DataFrame) -> DataFrame:
     return clicked_keys(hits).union(displayed_keys(shown)).distinct()
 
 
-def oid_values(keys: DataFrame, stored: StoredValues) -> DataFrame:
+def oid_values(keys: DataFrame, stored: StoredValues | KeptValues) -> DataFrame:
     """Each key with its value; null if the dumps have none."""
     return stored.lookup(lambda: keys).join(keys, "left")
 

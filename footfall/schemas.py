@@ -22,6 +22,8 @@ PAGE_ROW = strings("_id", "_name")
 LINK_ROW = strings("_id", "_name", "_to")
 UNIT_ROW = strings("_id", "_name", "_entity", "_displayAttributes")
 ENTITY_ROW = strings("_id", "_name", "_table").add("Attribute", ArrayType(strings("_id", "_name", "_column")))
+# Any element; each kind has some of these.
+ELEMENT_ROW = StructType([*UNIT_ROW.fields, *strings("_to").fields, *ENTITY_ROW.fields[2:]])
 
 VALUE = StructType(
     [
@@ -80,54 +82,79 @@ ENRICHED = StructType([StructField(name, _TYPES.get(name, StringType())) for nam
 
 LINE = strings("value")
 
-# Parsed lines as stored. ``shape`` and ``time`` are null where a line has none.
+# Parsed lines. ``shape`` and ``time`` are null where a line has none.
+FIELDS = {
+    "access": [
+        StructField("shape", IntegerType()),
+        StructField("ip", StringType()),
+        StructField("time", TimestampType()),
+        *strings("session_id", "requested_page_id", "source_page_id", "clicked_link_id", "clicked_attribute_id"),
+        StructField("clicked_oid", LongType()),
+    ],
+    "runtime": [
+        StructField("shape", IntegerType()),
+        StructField("time", TimestampType()),
+        *strings("log_level", "host", "java_class", "session_id", "miu_id", "page_id", "unit_id", "trace", "message"),
+        StructField("oids", ArrayType(LongType())),
+    ],
+}
 _STAMPS = [
     StructField("ingested_at", TimestampType()),
     StructField("batch", LongType()),
     StructField("event_date", DateType()),
 ]
-PARSED = {
-    "access": StructType(
-        [
-            StructField("shape", IntegerType()),
-            StructField("ip", StringType()),
-            StructField("time", TimestampType()),
-            *strings("session_id", "requested_page_id", "source_page_id", "clicked_link_id", "clicked_attribute_id"),
-            StructField("clicked_oid", LongType()),
-            *_STAMPS,
-        ]
-    ),
-    "runtime": StructType(
-        [
-            StructField("shape", IntegerType()),
-            StructField("time", TimestampType()),
-            *strings("log_level", "host", "java_class", "session_id", "miu_id", "page_id", "unit_id", "trace", "message"),
-            StructField("oids", ArrayType(LongType())),
-            *_STAMPS,
-        ]
-    ),
+# As stored by day.
+PARSED = {log: StructType([*fields, *_STAMPS]) for log, fields in FIELDS.items()}
+
+# Where a line was read.
+_ORIGIN = [StructField("file", StringType()), StructField("length", LongType()), StructField("modified", TimestampType())]
+# Lines on their way in, by run; ``value`` is the text of those that cannot be used.
+STAGED = {
+    log: StructType([*fields, StructField("value", StringType()), *_ORIGIN, StructField("run", LongType())])
+    for log, fields in FIELDS.items()
 }
 STORED = StructType([*ENRICHED, *_STAMPS])
 
 # What became of lines: shape 0 is none; bad objects are those that are no number.
 LINE_COUNTS = StructType(
     [
-        StructField("log", StringType()),
         StructField("shape", IntegerType()),
+        StructField("event_date", DateType()),
         StructField("lines", LongType()),
         StructField("bad_dates", LongType()),
         StructField("bad_objects", LongType()),
+        StructField("log", StringType()),
         StructField("batch", LongType()),
     ]
 )
 
-# Files taken in, by batch.
-TAKEN = StructType(
+# Lines that could not be used, with the run that read them.
+QUARANTINED = StructType(
     [
-        StructField("log", StringType()),
-        StructField("path", StringType()),
-        StructField("length", LongType()),
-        StructField("modified", TimestampType()),
+        StructField("value", StringType()),
+        StructField("shape", IntegerType()),
+        StructField("file", StringType()),
         StructField("batch", LongType()),
+        StructField("log", StringType()),
+        StructField("run", LongType()),
+    ]
+)
+
+# Files taken in, by run, and the runs that were completed.
+TAKEN = StructType([*_ORIGIN, StructField("log", StringType()), StructField("run", LongType())])
+RUNS = StructType([StructField("kind", StringType()), StructField("run", LongType())])
+# Up to which run a day's lines are folded into one part.
+FOLDS = StructType(
+    [StructField("event_date", DateType()), StructField("high", LongType()), StructField("log", StringType()), StructField("run", LongType())]
+)
+# The dumped tables whose values are stored.
+STORED_DUMPS = StructType(
+    [
+        StructField("value_table", StringType()),
+        StructField("columns", ArrayType(StringType())),
+        StructField("values", LongType()),
+        StructField("bytes", LongType()),
+        StructField("files", LongType()),
+        StructField("dump", StringType()),
     ]
 )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.schemas import LINE, LINE_COUNTS, PARSED, STORED
-from footfall.sources.files import literal, present, stored
+from footfall.schemas import LINE_COUNTS, QUARANTINED, STORED
+from footfall.sources.files import present, stored
 
 
 def read_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -18,17 +18,6 @@ def read_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return spark.read.text(present(spark, paths))
 
 
-def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """The lines of the very files named; no rows if there are none."""
-    paths = [literal(p) for p in paths]
-    return spark.read.text(paths) if paths else spark.createDataFrame([], LINE)
-
-
-def read_parsed(spark: SparkSession, path: str, log: str) -> DataFrame:
-    """The parsed lines of ``access`` or ``runtime`` of all batches."""
-    return stored(spark, f"{path}/{log}", PARSED[log])
-
-
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     """The enriched log so far; no rows before the first batch."""
     return stored(spark, path, STORED)
@@ -36,4 +25,14 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
 
 def read_line_counts(spark: SparkSession, path: str) -> DataFrame:
     """What became of the lines of each batch."""
-    return stored(spark, path, LINE_COUNTS)
+    counts = stored(spark, path, LINE_COUNTS)
+    sums = [F.sum(c).alias(c) for c in ("lines", "bad_dates", "bad_objects")]
+    return counts.groupBy("log", "shape", "batch").agg(*sums).select("log", "shape", "lines", "bad_dates", "bad_objects", "batch")
+
+
+def read_quarantined(spark: SparkSession, path: str, again: int) -> DataFrame:
+    """The lines that could not be used: ``value``, ``shape``, ``file``, ``batch`` and ``log``.
+
+    ``again`` is the last run that has tried all of them again; what earlier ones stored does not count any more.
+    """
+    return stored(spark, path, QUARANTINED).where(F.col("run") >= again).drop("run")

@@ -1,19 +1,18 @@
 """The site's design model: pages, links, view components and entities from XML.
 
-``read_rows`` reads elements with an explicit schema; the other functions turn such rows into
-relations, so they also work on rows that come from elsewhere.
+``read_elements`` reads all elements with an explicit schema; ``pages``, ``links``, ``units`` and
+``attributes`` turn such rows into relations, so they also work on rows that come from elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from footfall.functions.text import bare_id
-from footfall.schemas import ENTITY_ROW, LINK_ROW, PAGE_ROW, UNIT_ROW
+from footfall.functions.text import bare_id, pinned
+from footfall.schemas import ELEMENT_ROW, ENTITY_ROW, LINK_ROW, PAGE_ROW, UNIT_ROW
 from footfall.sources.files import present
 
 # Element names of the design model.
@@ -32,19 +31,39 @@ ENTITY_TAGS = ("SelectorUnit", "EntryUnit", "MultiEntryUnit")
 PLAIN_TAGS = ("ModuleInstanceUnit", "MultiMessageUnit", "NoOpContentUnit", "TimeUnit", "GetUnit")
 UNIT_TAGS = DISPLAY_TAGS + ENTITY_TAGS + PLAIN_TAGS
 ENTITY_TAG = "Entity"
+ALL_TAGS = (*PAGE_TAGS, *LINK_TAGS, *UNIT_TAGS, ENTITY_TAG)
 
+# What is no element, and an element's start: its attributes hold no bare quote, and what is in (?:...)*+
+# is not tried again.
+NO_ELEMENT = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+START = r"""(?=[\s/>])(?:[^<>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+"""
+# Starts count alone, as elements may lie in each other; entities count with the attributes in them.
+ELEMENT = rf"(?s)<(?:{'|'.join(t for t in ALL_TAGS if t != ENTITY_TAG)}){START}/?>|<{ENTITY_TAG}{START}(?:/>|>.*?</{ENTITY_TAG}\s*>)"
 
-def read_rows(spark: SparkSession, paths: Iterable[str], tags: Iterable[str], schema: StructType) -> DataFrame:
-    """Every element named in ``tags`` at any depth, its name as ``kind``.
 
-    A missing element gives no rows, a missing attribute null.
+def read_elements(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Every element of the design model at any depth, its name as ``kind``, in one pass over the files.
+
+    A missing element gives no rows, a missing attribute null. Each file is one text.
     """
-    paths = present(spark, paths)
-    kinds = [
-        spark.read.format("xml").option("rowTag", tag).schema(schema).load(paths).withColumn("kind", F.lit(tag))
-        for tag in tags
-    ]
-    return reduce(DataFrame.unionByName, kinds)
+    files = spark.read.text(present(spark, paths), wholetext=True)
+    plain = F.regexp_replace("value", NO_ELEMENT, "")
+    elements = files.select(F.explode(F.regexp_extract_all(plain, F.lit(ELEMENT), F.lit(0))).alias("element"))
+    text = F.col("element")
+    closed = F.when(text.endswith("/>") | text.startswith(f"<{ENTITY_TAG}"), text).otherwise(
+        F.concat(F.expr("left(element, length(element) - 1)"), F.lit("/>"))
+    )
+    kind = F.regexp_extract("element", r"^<(\w+)", 1)
+    return pinned(elements.select(kind.alias("kind"), F.from_xml(closed, ELEMENT_ROW).alias("e"))).select("kind", "e.*")
+
+
+def of_kind(rows: DataFrame, tags: Iterable[str]) -> DataFrame:
+    return rows.where(F.col("kind").isin(*tags))
+
+
+def read_rows(spark: SparkSession, paths: Iterable[str], tags: Iterable[str], schema: StructType) -> DataFrame:
+    """The elements named in ``tags``, with the columns of ``schema``."""
+    return of_kind(read_elements(spark, paths), tags).select("kind", *schema.names)
 
 
 def pages(rows: DataFrame) -> DataFrame:

@@ -1,39 +1,42 @@
-"""Which log files have been taken in."""
+"""What runs have done: files taken in, parts folded, runs completed.
 
-from __future__ import annotations
+Each run writes its own part and counts once it is recorded as completed, which it does last of all.
+"""
 
-from collections.abc import Iterable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.schemas import TAKEN
-from footfall.sources.files import listed, stored
+from footfall.schemas import RUNS, TAKEN
+from footfall.sources.files import ORIGIN, stored
+from footfall.sources.intake import is_usable
 
 
 def usable(parsed: DataFrame) -> DataFrame:
     """The lines that fit a shape and have a date."""
-    return parsed.where(F.col("shape").isNotNull() & F.col("time").isNotNull())
+    return parsed.where(is_usable())
 
 
-def read_taken(spark: SparkSession, path: str) -> DataFrame:
-    """The files of all batches so far; no rows before the first one."""
-    return stored(spark, path, TAKEN)
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The completed runs; none before the first one."""
+    return stored(spark, f"{path}/runs", RUNS)
 
 
-def next_batch(taken: DataFrame) -> int:
-    return taken.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+def next_run(spark: SparkSession, path: str) -> int:
+    return read_runs(spark, path).agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
 
 
-def new_files(spark: SparkSession, taken: DataFrame, log: str, paths: Iterable[str]) -> list[Row]:
-    """The files of a log that were not taken in as they are now: new, grown or changed ones.
+def save_run(spark: SparkSession, path: str, run: int, kind: str) -> None:
+    """Completes a run: what it wrote counts from now on."""
+    spark.createDataFrame([(kind,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/run={run}")
 
-    Only names, sizes and times are read, and collected, as a scan has to list them anyway.
-    """
-    known = taken.where(F.col("log") == log).select("path", "length", "modified")
-    return listed(spark, paths).join(known, ["path", "length", "modified"], "left_anti").sort("path").collect()
+
+def read_taken(spark: SparkSession, path: str) -> DataFrame:
+    """The files of all completed runs; no rows before the first one."""
+    done = next_run(spark, path)
+    return stored(spark, f"{path}/taken", TAKEN).where(F.col("run") < done)
 
 
-def save_taken(spark: SparkSession, path: str, batch: int, files: dict[str, list[Row]]) -> None:
-    """Commits a batch: its files count as taken in from now on."""
-    rows = [(log, f.path, f.length, f.modified, batch) for log, found in files.items() for f in found]
-    spark.createDataFrame(rows, TAKEN).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={batch}")
+def save_taken(lines: DataFrame, path: str, log: str, run: int) -> None:
+    """Records the files that lines are from."""
+    lines.select(*ORIGIN).distinct().write.mode("overwrite").parquet(f"{path}/taken/log={log}/run={run}")

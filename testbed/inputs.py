@@ -302,6 +302,7 @@ def write_site(spark: SparkSession, sf_dir: str, folder: str) -> Settings:
         runtime_logs=(f"{folder}/runtime/front*", f"{folder}/runtime/back*"),
         output=f"{folder}/output",
         dump_tables=DUMPS,
+        buckets=4,
     )
 
 

@@ -272,6 +272,30 @@ CTES = {
                list(value || ': ' || n ORDER BY n DESC, value)[1:10] AS entries
         FROM clicked_values GROUP BY clicked_link_id, clicked_link_name
     """,
+    "unused_runtime": """
+        SELECT CASE WHEN session = '-' OR m = 7 AND et = 'error' THEN 0 ELSE 1 END AS shape,
+               CASE WHEN et = 'error' AND m = 7 THEN 'java.lang.IllegalStateException: ' || k
+                    ELSE CASE WHEN et = 'error' AND m = 8 THEN '31 Feb 2024 10:00:00'
+                              ELSE strftime(time, '%d %b %Y %H:%M:%S') END
+                         || ',123  INFO [h1]  (com.x.Unit) - [' || session || ']'
+                         || CASE WHEN et = 'error' AND m = 8 THEN '[' || page || '][dau' || e || '][step][t-1] shown {oid=[1, 2]}'
+                                 WHEN et = 'error' THEN '[' || page || '][dau' || e || '][step][t-1] shown {oid=[x, ' || (oid + 1) || ']}'
+                                 WHEN k % 8 = 6 THEN '[' || page || ']no unit'
+                                 ELSE CASE WHEN k % 3 = 0 THEN '[m1]' ELSE '' END || '[' || page || '][dau' || e || ']'
+                                      || CASE k % 8 WHEN 0 THEN '[step][t-1] done {}' WHEN 4 THEN 'started'
+                                              ELSE '[step][t-1] shown {oid=[' || (oid + 1) || ', ' || (oid + 2) || ']}' END
+                            END
+               END AS value
+        FROM lines
+        WHERE et = 'error' AND m IN (7, 8) OR session = '-' AND (et IN ('view', 'click') OR et = 'error' AND m = 6)
+    """,
+    "unused_access": """
+        SELECT CASE m WHEN 7 THEN 0 ELSE 3 END AS shape,
+               CASE m WHEN 7 THEN '10.0.0.' || u || ' - - [' || strftime(time, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /app/login'
+                      ELSE '10.0.0.1 - - [31/Feb/2024:10:00:00 +0000] "GET /app/' || page END
+               || '.do HTTP/1.1" 200 512 ' || session AS value
+        FROM lines WHERE et = 'error' AND m IN (7, 8)
+    """,
     "report": """
         SELECT unit_id, residence_time, average_visits_per_session, bounce_rate, entrance_rate,
                round(o.link_out, 9)::DOUBLE AS link_out, round(i.link_in, 9)::DOUBLE AS link_in,
@@ -378,6 +402,32 @@ SELECTS = {
         GROUP BY batch
     """,
     "late_arrival": f"SELECT {TIMED} FROM enriched",
+    "compacted_log": f"SELECT {TIMED} FROM enriched",
+    "reports_by_day": "SELECT * FROM report",
+    "session_state": """
+        SELECT session_id, strftime(f.time, '%Y-%m-%d %H:%M:%S') AS first_time, f.p AS first_requested_page_id,
+               f.n AS first_requested_page_name, strftime(l.time, '%Y-%m-%d %H:%M:%S') AS last_time,
+               l.p AS last_requested_page_id, l.n AS last_requested_page_name
+        FROM (SELECT session_id, min({'time': time, 'p': requested_page_id, 'n': requested_page_name}) AS f,
+                     max({'time': time, 'p': requested_page_id, 'n': requested_page_name}) AS l
+              FROM enriched GROUP BY session_id)
+    """,
+    "residence_by_day": """
+        SELECT requested_page_id, requested_page_name, sum(seconds)::BIGINT AS seconds, count(*) AS stays,
+               strftime(next_time, '%Y-%m-%d') AS event_date
+        FROM (SELECT requested_page_id, requested_page_name, next_time,
+                     (epoch(next_time) - epoch(min(time)))::BIGINT AS seconds
+              FROM next_page GROUP BY requested_page_id, requested_page_name, next_time, next_page_id, session_id)
+        GROUP BY requested_page_id, requested_page_name, strftime(next_time, '%Y-%m-%d')
+    """,
+    "value_store": """
+        SELECT oid, value_table, value_column, value FROM stored
+        UNION ALL SELECT DISTINCT oid, value_table, 'OID', oid::VARCHAR FROM stored
+    """,
+    "quarantined_lines": """
+        SELECT 'access' AS log, shape, value, 0::BIGINT AS batch FROM unused_access
+        UNION ALL SELECT 'runtime', shape, value, 0 FROM unused_runtime
+    """,
     "bounce_rate": "SELECT * FROM bounce",
     "entrance_rate": "SELECT * FROM entrance",
     "average_visits": "SELECT * FROM visits",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, TimestampType
 
+from footfall.config import Settings
 from footfall.functions.accesslog import parse_access_log
 from footfall.functions.runtimelog import parse_runtime_log
 from footfall.functions.text import last_segment
@@ -20,6 +22,7 @@ from footfall.sinks import reports as sinks
 from footfall.sinks.enriched import write_enriched
 from footfall.sources import dumps, logs, models
 from footfall.sources.state import usable
+from footfall.sources.valuestore import ValueStore
 from testbed import inputs
 
 ARRIVAL = "2024-01-16"
@@ -180,14 +183,23 @@ def log_files_scan(d: Data) -> DataFrame:
     ).union(runtime.select(F.lit("runtime"), "shape", "time", "session_id", "page_id"))
 
 
-def arrivals(d: Data, *parts: tuple[str, str, str]) -> DataFrame:
-    """The enriched log after a run for each delivery (server's name, condition on either log's events)."""
-    settings = inputs.write_site(d.spark, d.sf_dir, d.scratch)
+def deliveries(d: Data, *parts: tuple[str, str, str], **more) -> Settings:
+    """A run for each delivery (server's name, condition on either log's events); ``more`` are settings."""
+    settings = replace(inputs.write_site(d.spark, d.sf_dir, d.scratch), **more)
     site = pipeline.FileSite(d.spark, settings)
     for name, access, runtime in parts:
         inputs.deliver(d.spark, d.sf_dir, d.scratch, name, access, runtime)
         pipeline.take_in(d.spark, site, settings)
-    return logs.read_enriched(d.spark, settings.enriched)
+    return settings
+
+
+def arrivals(d: Data, *parts: tuple[str, str, str]) -> DataFrame:
+    """The enriched log after all deliveries."""
+    return logs.read_enriched(d.spark, deliveries(d, *parts).enriched)
+
+
+# Everything but every third event, then these: late first and last pages of sessions, on all days.
+LATE = (("front", "event_id % 3 <> 0", "event_id % 3 <> 1"), ("back", "event_id % 3 = 0", "event_id % 3 = 1"))
 
 
 def incremental_cutoff(d: Data) -> DataFrame:
@@ -209,6 +221,48 @@ def late_arrival(d: Data) -> DataFrame:
     return log.drop(*enrich.STAMPS)
 
 
+def compacted_log(d: Data) -> DataFrame:
+    """Three runs on the same days, whose lines are folded into one part from the second run on."""
+    parts = tuple((f"front{i}", f"event_id % 3 = {i}", f"event_id % 3 = {2 - i}") for i in range(3))
+    settings = deliveries(d, *parts, parts_per_day=0)
+    return logs.read_enriched(d.spark, settings.enriched).drop(*enrich.STAMPS)
+
+
+def reports_by_day(d: Data) -> DataFrame:
+    """The combined report from counts that two runs have stored by day."""
+    settings = deliveries(d, *LATE)
+    pipeline.write_reports(d.spark, settings)
+    return d.spark.read.parquet(f"{settings.reports}/combined_analysis.parquet")
+
+
+def session_state(d: Data) -> DataFrame:
+    """First and last page of each session, kept over two runs."""
+    settings = deliveries(d, *LATE)
+    ends = [F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in ("time", *sessions.PAGE)]
+    return pipeline.read_counts(d.spark, settings, "sessions").select("session_id", *ends)
+
+
+def residence_by_day(d: Data) -> DataFrame:
+    """Stays by page and the day they end on, kept over two runs."""
+    stays = pipeline.read_counts(d.spark, deliveries(d, *LATE), "stays")
+    return stays.withColumn("event_date", F.col("event_date").cast("string"))
+
+
+def value_store(d: Data) -> DataFrame:
+    """All dumped values from the store; the second time it is asked nothing has changed."""
+    settings = inputs.write_site(d.spark, d.sf_dir, d.scratch)
+    store = ValueStore(d.spark, settings)
+    store.refresh()
+    store.refresh()
+    return store.values()
+
+
+def quarantined_lines(d: Data) -> DataFrame:
+    settings = deliveries(d, ("front", "true", "true"))
+    lines = pipeline.quarantined(d.spark, settings)
+    return lines.select("log", F.coalesce("shape", F.lit(0)).alias("shape"), "value", "batch")
+
+
 def rejected_lines(d: Data) -> DataFrame:
     access, runtime = inputs.access_lines(d.spark, d.sf_dir), inputs.runtime_lines(d.spark, d.sf_dir)
     return count_lines(parse_access_log(access), "access").union(count_lines(parse_runtime_log(runtime), "runtime"))
@@ -258,6 +312,12 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "enriched_roundtrip": enriched_roundtrip,
     "incremental_cutoff": incremental_cutoff,
     "late_arrival": late_arrival,
+    "compacted_log": compacted_log,
+    "reports_by_day": reports_by_day,
+    "session_state": session_state,
+    "residence_by_day": residence_by_day,
+    "value_store": value_store,
+    "quarantined_lines": quarantined_lines,
     "bounce_rate": lambda d: sessions.bounce_rate(d.page_log),
     "entrance_rate": lambda d: sessions.entrance_rate(d.page_log),
     "average_visits": lambda d: sessions.average_visits(d.page_log),

@@ -79,6 +79,28 @@ def test_attributes_without_a_column_drop_out(spark, data):
     ]
 
 
+def test_files_are_read_once(spark, web):
+    for read in (models.read_pages, models.read_links, models.read_units):
+        plan = read(spark, web)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == plan.count("FileScan text") == 1
+
+
+def test_elements_in_odd_text(spark, folder):
+    """Comments, other sections, quotes, line breaks, references and names that only begin alike."""
+    text = """<Web><!-- <Page id="no1"/> --><![CDATA[<Page id="no2"/>]]><Pages id="no3"/><PageX/>
+<Page
+  id='a#p1' name="a &gt; b &amp; 'c' > d / e"
+><Page id="p2" name='say "x"' other="no>"  /></Page><Page id="p3" name="&#228;é"></Page><Page/>
+<Entity id="e1" name="E" table="T"></Entity><Entity id="e2" name="F" table="T">
+<!-- <Attribute id="x" column="X"/> --><Attribute id="e2#a1" name="n" column="N"></Attribute></Entity ></Web>"""
+    with open(os.path.join(folder, "odd.wr"), "w") as file:
+        file.write(text)
+    assert rows(models.read_pages(spark, [f"{folder}/odd.wr"]), "page_id", "page_name") == [
+        ("p1", "a > b & 'c' > d / e"), ("p2", 'say "x"'), ("p3", "äé"), (None, None)
+    ]
+    assert rows(models.read_attributes(spark, [f"{folder}/odd.wr"]), "entity_id", "attribute_id") == [("e2", "a1")]
+
+
 def test_absent_elements_give_no_rows(spark, data):
     assert models.read_pages(spark, data).count() == 0
     assert models.read_units(spark, data).count() == 0
