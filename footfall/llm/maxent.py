@@ -42,7 +42,8 @@ ROW_BITS = 16
 ROWS = 1 << ROW_BITS  # of each level
 FEATURES = 3
 ROUNDS, RATE, PRIOR = 2, 0.3, 3.0
-HEAD, HEAD_BYTES = 1 << 18, 64
+HEAD, HEAD_BYTES = 1 << 20, 64
+PARTS = 4  # of the input that a task of training reads, where there are more than can run at once
 SMOOTH = 0.1
 END_WORD = " "  # no word of a text has a blank
 SLICE = 4_000_000  # bytes of text handled at once
@@ -294,9 +295,11 @@ def trained(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         return run
 
+    # What a task sends is of one size whatever it reads, so a task reads several of the input's parts.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // PARTS)
     for number in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(model)
-        own = rows.where(part == number).select("text")
+        own = rows.where(part == number).select("text").coalesce(tasks)
         schema = "row int, met float, " + ", ".join(f"{p} float" for p in parts)
         sums = own.mapInArrow(gradients(shared), schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("met", *parts)])
         found = sums.toArrow()
@@ -382,24 +385,23 @@ def score(docs: DataFrame, fitted: LanguageModel, id_col: str = "doc_id") -> Dat
     passed = map_texts(rows, run, f"id {kind}, {sums}, rest array<struct<word:string,n:bigint>>", size=SLICE)
     numbered = passed.withColumn("row", F.monotonically_increasing_id())
     # One entry has a text's own sums, under a key that no word has; the others are its rare words.
-    own = F.struct(
-        F.concat(F.lit("  "), F.col("row").cast("string")).alias("word"), F.lit(0).cast("bigint").alias("n"), "id", "tokens", "seen", "logs", "chances"
-    )
-    rare = F.transform(
-        "rest",
-        lambda r: F.struct(
-            r["word"].alias("word"), r["n"].alias("n"), F.lit(None).cast(kind).alias("id"), F.lit(0).cast("bigint").alias("tokens"),
-            F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("logs"), F.lit(0.0).alias("chances"),
-        ),
-    )
+    sums_of = F.struct("id", "tokens", "seen", "logs", "chances")
+    key = F.concat(F.lit("  "), F.col("row").cast("string"))
+    own = F.struct(key.alias("word"), F.lit(0).cast("bigint").alias("n"), sums_of.alias("own"))
+    nothing = F.lit(None).cast(numbered.select(sums_of.alias("own")).schema["own"].dataType)
+    rare = F.transform("rest", lambda r: F.struct(r["word"].alias("word"), r["n"].alias("n"), nothing.alias("own")))
     entries = numbered.select("row", F.inline(F.concat(F.array(own), rare)))
     joined = shuffled_join(entries, fitted.counts.withColumnRenamed("n", "count"), ["word"], "left")
-    total = joined.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.sum("tokens").alias("n_tokens"),
-        (F.sum("seen") + F.sum(F.when(F.col("count").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("logs") + F.sum(F.col("n") * _known("count"))).alias("known"),
-        F.sum("chances").alias("chances"),
+    found = F.sum(F.when(F.col("count").isNotNull(), F.col("n")).otherwise(0))
+    added = joined.groupBy("row").agg(
+        F.max("own").alias("own"), found.alias("found"), F.sum(F.col("n") * _known("count")).alias("more")
+    )
+    total = added.select(
+        "own.id",
+        F.col("own.tokens").alias("n_tokens"),
+        (F.col("own.seen") + F.col("found")).alias("n_known"),
+        (F.col("own.logs") + F.col("more")).alias("known"),
+        "own.chances",
     )
     # Of all V words and one place for those not seen.
     norm = math.log10(fitted.tokens + SMOOTH * (fitted.words + 1))
