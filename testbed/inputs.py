@@ -27,8 +27,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the place the session names for shared files, or else in its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the place the session names for shared files; on one machine its warehouse will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, f"footfall-{uuid.uuid4().hex}")
 
 
