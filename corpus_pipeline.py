@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.llm import bpe, decontaminate, pii, quality, simhash
+from footfall.llm.common import shared_folder
 
 SHINGLE, BITS = 3, 2
 
@@ -60,11 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage. What a stage returns is stored, and read again by the next one.
 
-    The tables are in a new folder below ``spark.checkpoint.dir``, or below the warehouse where that
-    is unset, as in tests.
+    The tables are in a new folder below the shared one that ``spark.checkpoint.dir`` names.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = os.path.join(shared, f"corpus-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"corpus-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = os.path.join(folder, f"{number}-{name}")
