@@ -1,6 +1,7 @@
 """The automaton against looking up every window."""
 
 import hashlib
+import time
 
 from footfall.llm import decontaminate as d
 from footfall.llm.common import folded_words
@@ -69,14 +70,45 @@ def test_blocks_give_the_same(spark, documents):
     docs = documents(*[" ".join(f"w{j}" for j in range(i, 3 * i)) for i in range(40)])
     whole = sorted(d.with_hits(docs, benchmark).collect())
     assert sorted(d.with_hits(docs, benchmark, block=30).collect()) == whole
-    assert len(list(d.blocks(benchmark, 13, 30))) > 3
+    assert d.automata(benchmark, block=30).count() > 3
+
+
+def test_many_blocks_are_one_stage(spark, documents):
+    items = [" ".join(f"b{i}w{j}" for j in range(40)) for i in range(60)]
+    benchmark = items_table(spark, *enumerate(items), *enumerate(items))
+    docs = documents(*[f"x {item} y" for item in items], "none of them")
+    assert d.automata(benchmark, block=45).count() == 60
+    rows = d.with_hits(docs, benchmark, block=45)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {r.row.doc_id: (r.n_hit, r.items) for r in rows.collect()}
+    assert found == {i: (40, [str(i)]) for i in range(60)} | {60: (0, [])}
+
+
+def test_windows_of_many_items_take_linear_time():
+    shared = [b"s%d" % i for i in range(2000)]
+    automaton = d.Automaton([(str(i), shared[:50], True) for i in range(2000)] + [("all", shared, True)], 13)
+    start = time.process_time()
+    spans, found = automaton.hits(shared[:50] * 4000)
+    assert time.process_time() - start < 10
+    assert spans == [(0, 200_000)] and len(found) == 2001
 
 
 def test_spans_are_cut(spark, documents):
     benchmark = items_table(spark, (1, LONG), (2, "alpha beta"))
     docs = documents(f"Before, {LONG}; after.", "x " * 60 + "alpha beta. End", "no hit", None)
-    texts = {r.doc_id: r.text for r in d.without_spans(docs, benchmark).collect()}
-    assert texts == {0: "Before, after.", 1: "x " * 60 + "alpha beta. End", 2: "no hit", 3: None}
+    rows = {r.doc_id: (r.text, r.n_chars) for r in d.without_spans(docs, benchmark).collect()}
+    kept = "x " * 60 + "alpha beta. End"
+    assert rows == {0: ("Before, after.", 14), 1: (kept, len(kept)), 2: ("no hit", 6), 3: (None, None)}
+
+
+def test_long_spans_leave_kept_documents(spark, documents, clashing):
+    benchmark = items_table(spark, (1, LONG), (2, " ".join(f"u{i}" for i in range(13))))
+    rest = "x " * 600
+    docs = clashing(documents(rest + f"Before, {LONG}; after.", rest + " ".join(f"u{i}" for i in range(13)), f"é {LONG}"))
+    rows = d.clean(docs, benchmark)
+    assert rows.columns == docs.columns
+    texts = {r.doc_id: (r.text, r.n_chars) for r in rows.collect()}
+    assert texts == {0: (rest + "Before, after.", 1214), 1: (docs.collect()[1].text, docs.collect()[1].n_chars)}
 
 
 def test_words():
