@@ -179,7 +179,7 @@ def packed(items: Iterable[tuple[str | None, bytes]], window: int, block: int) -
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The automata of all items, pickled, one row each, as a stored table.
+    """The automata of all items, pickled, one row each, as a stored table; an empty one if there are no words.
 
     Equal rows of the benchmark become one before that. Partitions are sized for one automaton each.
     """
@@ -201,7 +201,10 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
         for own in packed(items, window, block):
             yield pa.RecordBatch.from_pydict({"automaton": pa.array([pickle.dumps(Automaton(own, window), 5)], pa.binary())})
 
-    return stored(rows.mapInArrow(run, "automaton binary"))
+    table = stored(rows.mapInArrow(run, "automaton binary"))
+    if not table.isEmpty():
+        return table
+    return stored(benchmark.sparkSession.createDataFrame([(pickle.dumps(Automaton([], window), 5),)], "automaton binary"))
 
 
 def with_hits(
@@ -222,7 +225,7 @@ def with_hits(
     table = automata(benchmark, window, block)
     number = table.count()
     files = []
-    for path in table.inputFiles() if number else ():
+    for path in table.inputFiles():
         context.addFile(path)
         files.append(unquote(path.rsplit("/", 1)[1]))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
@@ -256,7 +259,7 @@ def _streaming(files: list[str], number: int, cut: tuple[int, int] | None) -> Ca
         for part in slices(batches, "text"):
             held.append(part)
             size += part.column("text").nbytes
-            if number <= 1 or size >= HELD:
+            if single or size >= HELD:
                 yield from _judged(held, single or _loaded(files), cut)
                 held, size = [], 0
         if held:
@@ -267,15 +270,17 @@ def _streaming(files: list[str], number: int, cut: tuple[int, int] | None) -> Ca
 
 def _judged(parts: list[pa.RecordBatch], several: Iterable[Automaton], cut: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     texts = [raw_texts(part.column("text")) for part in parts]
+    sizes = [[0] * len(own) for own in texts]
     hits: list[list[tuple[list[Span], set[str | None]]]] = [[([], set())] * len(own) for own in texts]
     for automaton in several:
-        for own, before in zip(texts, hits):
+        for own, counts, before in zip(texts, sizes, hits):
             for i, text in enumerate(own):
-                spans, found = automaton.hits(folded_words(text))
+                words = folded_words(text)
+                counts[i] = len(words)
+                spans, found = automaton.hits(words)
                 if spans:
                     before[i] = (merged(before[i][0] + spans) if before[i][0] else spans, before[i][1] | found)
-    for part, own, found in zip(parts, texts, hits):
-        counts = [len(folded_words(text)) for text in own]
+    for part, own, counts, found in zip(parts, texts, sizes, hits):
         columns = {
             "row": part.column("row"),
             "n_words": pa.array(counts, pa.int64()),
