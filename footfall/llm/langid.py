@@ -274,14 +274,20 @@ def pieces(text: Column) -> Column:
 
 
 def samples(rows: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, list[bytes]]]:
-    """From ``id``, ``text`` and ``lang``: about ``most`` rows of each language, all if it has fewer."""
+    """From ``id``, ``text`` and ``lang``: about ``most`` rows of each language, all if it has fewer.
+
+    Rows are chosen by a hash of id and text. Rows equal in both are chosen together, so of all pieces
+    of the chosen rows the first by that hash are taken, twice as many as are expected at most.
+    """
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     shares = F.create_map(*[x for a, n in sorted(counts.items()) for x in (F.lit(a), F.lit(-(-most * (1 << 30) // n)))])
-    hashed = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30))
-    chosen = known.where(hashed < shares[F.col("lang")]).select("lang", F.explode(pieces(F.col("text"))).alias("piece"))
+    hashed = F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 30))
+    chosen = known.select("text", "lang", hashed.alias("hashed")).where(F.col("hashed") < shares[F.col("lang")])
+    chosen = chosen.select("hashed", "lang", F.explode(pieces(F.col("text"))).alias("piece"))
+    chosen = chosen.orderBy("hashed", "lang", "piece").limit(2 * most * PIECES * len(counts))
     found = sorted((r["lang"], r["piece"]) for r in chosen.collect())
     return [(language, word_bytes(piece.encode()).split()) for language, piece in found]
 

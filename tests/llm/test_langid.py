@@ -86,3 +86,11 @@ def test_held_out_accuracy(spark):
 def test_word_labels(documents, model):
     labels = {r.id: r.labels for r in langid.words(documents("kato 12 blorg drung", None), model).collect()}
     assert labels[0][0] == "aa" and labels[0][2] == "bb" and labels[1] == []
+
+
+def test_sample_is_bounded_when_rows_repeat(spark):
+    rows = spark.range(3000).selectExpr("cast(null as bigint) id", "concat('word', id % 1500, ' and more') text", "'aa' lang")
+    assert 50 < len(langid.samples(rows, 100)) < 200
+    rows = spark.range(3000).selectExpr("7L id", "'equal words' text", "if(id % 3 = 0, 'aa', 'bb') lang")
+    assert len(langid.samples(rows, 100)) <= 2 * 100 * langid.PIECES * 2
+    assert langid.samples(rows.where("false")) == []
