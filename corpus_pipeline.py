@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: five stages, each on all that the one before kept.
 
 Documents that the quality rules reject go; of near-duplicates (SimHash over three words, two bits)
-one stays; contaminated documents go; personal data is masked in the texts that have any; what is
-left is encoded. All stages but the last return the columns of ``documents``.
+one stays; contaminated documents go, and others lose benchmark spans of over 13 words; personal data
+is masked in the texts that have any; what is left is encoded. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
