@@ -19,6 +19,8 @@ from footfall.operators.enrich import Site
 from footfall.sources import dumps, models
 
 DUMPS = ("PART", "CUSTOMER", "ORDER")
+# How many elements a file of the design model has at most: each is read as one text, by one task.
+MODEL_ROWS = 50_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -273,6 +275,7 @@ def write_model(spark: SparkSession, sf_dir: str, folder: str) -> None:
         (
             rows.select(*[F.when(F.col("kind") == tag, fields).alias(tag) for tag in tags])
             .write.format("xml")
+            .option("maxRecordsPerFile", MODEL_ROWS)
             .option("rootTag", "Model")
             .option("rowTag", "Area")
             .save(f"{folder}/{name}")

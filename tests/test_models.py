@@ -1,10 +1,12 @@
 import os
+from pathlib import Path
 
 import pytest
 from footfall.config import Limits
 from footfall.operators import models as lookups
 from footfall.operators.values import StoredValues, displayed_columns, needed_columns
 from footfall.sources import dumps, models
+from testbed import inputs
 
 WEB = """<?xml version="1.0"?>
 <Web><Area id="a1"><Page id="sv1#a1#page1" name="Home"><Inner>
@@ -149,3 +151,17 @@ def test_no_dumps_give_no_values(spark, web, data):
     combined = lookups.combined_model(models.read_units(spark, web), models.read_attributes(spark, data))
     stored = StoredValues(spark, {}, lambda: [None], Limits())
     assert stored.lookup(lambda: combined.limit(0)).frame.count() == 0
+
+
+def test_no_file_of_the_model_is_large(spark, folder, monkeypatch):
+    """A file is one text of one task, so a larger model is more files; it reads the same."""
+
+    def links(name):
+        inputs.write_model(spark, "/root/testdata/sf0.001", f"{folder}/{name}")
+        return sorted(map(tuple, models.read_links(spark, [f"{folder}/{name}/web/links"]).collect()))
+
+    whole = links("whole")
+    monkeypatch.setattr(inputs, "MODEL_ROWS", 50)
+    assert links("parts") == whole
+    files = list(Path(folder, "parts/web/links").glob("part-*"))
+    assert len(files) == -(-len(whole) // 50) and all(f.read_text().count("<Area>") <= 50 for f in files)

@@ -483,3 +483,20 @@ def test_counts_are_wide(spark):
     from footfall.operators.instances import displayed_counts
 
     assert dict(displayed_counts(Data(spark, SMALL).shown_log).dtypes)["n"] == "bigint"
+
+
+def test_large_first_inputs_lie_in_more_buckets(spark, small_site, monkeypatch):
+    """A bucket is one task's, so their number follows the first input; later runs keep it."""
+    put, settings = small_site
+    put("access/a", "".join(hit(i) for i in range(10)))
+    put("runtime/r", SHOWN)
+    logs, dumps = (sum(p.stat().st_size for f in names for p in Path(settings.dumps).parent.glob(f)) for names in (("access/*", "runtime/*"), ("dumps/*",)))
+    monkeypatch.setattr("footfall.sources.tables.BUCKET_BYTES", 4)
+    assert ValueStore(spark, settings).table.buckets == -(-dumps // 4) > settings.buckets
+    monkeypatch.setattr("footfall.sources.tables.BUCKET_BYTES", 100)
+    pipeline.take_in(spark, pipeline.FileSite(spark, settings), settings)
+    assert len(seconds(spark, settings)) == 10
+    put("access/b", "".join(hit(i) for i in range(10, 20)))
+    pipeline.take_in(spark, pipeline.FileSite(spark, settings), settings)
+    assert len(seconds(spark, settings)) == 20
+    assert {Lines(spark, settings, log).table.buckets for log in ("access", "runtime")} == {-(-logs // 100)}
