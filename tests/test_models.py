@@ -147,6 +147,36 @@ def test_dump_values_of_displayed_columns(spark, folder, web, data):
     assert StoredValues(spark, tables, lambda: names, Limits(broadcast_rows=100), lambda: 100).is_small
 
 
+def test_large_values_are_joined_without_looking_for_keys(spark, folder):
+    """The facts are described once: nothing asks them for their keys before the join."""
+    write_dump(folder, "THING", "OID;NAME;BRAND\n1;b;x\n1;a;\n2;NULL;\nx;c;c\n;d;d\n")
+    write_dump(folder, "ORDER", "OID;TITLE\n1;t\n3;u\n")
+    tables = dumps.read_dumps(spark, f"{folder}/dumps", ["THING", "ORDER"])
+    names = [("THING", "NAME"), ("THING", "BRAND"), ("ORDER", "TITLE"), ("ORDER", "OID")]
+    keys = [(o, t, c) for o in (1, 2, 3, None) for t in ("THING", "ORDER", None) for c in ("NAME", "BRAND", "TITLE", "OID", None)]
+    facts = spark.createDataFrame([(*k, i) for k in keys for i in range(2)], "oid long, value_table string, value_column string, n int")
+    small = StoredValues(spark, tables, lambda: names, Limits()).lookup(lambda: facts)
+    asked = []
+    large = StoredValues(spark, tables, lambda: names, Limits(broadcast_rows=0)).lookup(lambda: asked.append(1))
+    columns = ("oid", "value_table", "value_column", "n", "value")
+    joined = large.join(facts, "left")
+    assert small.is_small and not large.is_small and not asked
+    assert sorted(joined.columns) == sorted(columns)
+    got, want = (sorted(f.select(*columns).collect(), key=str) for f in (joined, small.join(facts, "left")))
+    assert got == want and len(got) == len(keys) * 2
+    assert {r.value for r in got} == {"a", "x", "NULL", "t", "u", "1", "3", None}
+    with pytest.raises(ValueError):
+        large.join(facts, "inner")
+
+
+def test_lines_are_made_once(spark):
+    """No filter on lines is moved below the shuffle of the events they are made of."""
+    for made in (inputs.access_lines, inputs.runtime_lines):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("RepartitionByExpression"):]
+        assert "date_format" in plan and "date_format" not in below
+
+
 def test_no_dumps_give_no_values(spark, web, data):
     combined = lookups.combined_model(models.read_units(spark, web), models.read_attributes(spark, data))
     stored = StoredValues(spark, {}, lambda: [None], Limits())
