@@ -479,6 +479,20 @@ def test_large_dumps_are_joined_key_by_key(spark):
     ).first().value
 
 
+def test_the_log_is_made_once_for_both_writes(spark, monkeypatch):
+    from testbed import queries as registered
+
+    plans, write = [], registered.write_enriched
+
+    def recorded(rows, path):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        write(rows, path)
+
+    monkeypatch.setattr(registered, "write_enriched", recorded)
+    registered.QUERIES["enriched_roundtrip"](Data(spark, SMALL))
+    assert len(plans) == 2 and all("Join" not in plan for plan in plans)
+
+
 def test_counts_are_wide(spark):
     from footfall.operators.instances import displayed_counts
 
